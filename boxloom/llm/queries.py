@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import decontam, packing, records, simhash, url_filter
+from boxloom.llm import decontam, packing, records, simhash, syncmers, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("w0")).alias("fingerprint"), "component_id")
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -88,6 +92,7 @@ FROM k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_syncmers": op2_syncmers,
     "op4_packing": op4_packing,
     "op8_records": op8_records,
     "op9_decontam": op9_decontam,
