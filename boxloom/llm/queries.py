@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import decontam, packing, records, secrets, simhash, syncmers, url_filter
+from boxloom.llm import decontam, language, packing, records, secrets, simhash, syncmers, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = records.write_records(docs, records.records_folder(spark), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": op2_syncmers,
     "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
+    "op7_language": op7_language,
     "op8_records": op8_records,
     "op9_decontam": op9_decontam,
     "op10_url_filter": op10_url_filter,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,3 +22,16 @@ def lower_ascii(text: Column) -> Column:
 def words(text: Column, breaks: str = SPACES) -> Column:
     """The words of a text after :func:`lower_ascii`; null and blank texts have none."""
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), breaks), "")
+
+
+def bounded(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows of at most ``limit`` in total; a larger row is a range of its own."""
+    sizes = list(sizes)
+    lo = total = 0
+    for at, size in enumerate(sizes):
+        if at > lo and total + size > limit:
+            yield lo, at
+            lo, total = at, 0
+        total += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
