@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.tokens import encoder
+from boxloom.llm.tokens import encoder, slices
 from boxloom.runtime import write_table
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,7 +34,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cutter(path: str, end_id: int, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids, at = enc.encode_ended(batch.column(1), end_id)
             totals = np.diff(at)
             count = -(-totals // size)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm.tokens import encoder
+from boxloom.llm.tokens import encoder, slices
 from boxloom.runtime import new_path, write_table
 
 MASK = 0xA282EAD8
@@ -86,7 +86,7 @@ def _writer(folder: str, path: str, end_id: int):
         system, place = _open(name)
         done = False
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 if out is None:
                     out, index = system.open_output_stream(place), system.open_output_stream(f"{place}.idx")
                 ids, cuts = enc.encode_ended(batch.column(1), end_id)
