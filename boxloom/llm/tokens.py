@@ -1,14 +1,18 @@
 """Token ids of whole texts by a public tokenizer file.
 
 A text is cut at single spaces into units whose ids do not depend on their
-neighbours; each worker encodes a unit once and keeps its ids. Texts in which a
-cut could change the ids (a space beside other white space, in a vocabulary
-whose tokens carry spaces) go to the tokenizer whole.
+neighbours; each worker finds a unit's ids once and keeps them. A unit of Latin
+letters, digits and signs is cut once more, into runs of letters and the rest,
+which are tokens' own borders, so that a word is encoded once however it is
+punctuated. Texts in which a cut could change the ids (a space beside other
+white space, in a vocabulary whose tokens carry spaces) go to the tokenizer
+whole, as do units with an apostrophe or with characters beyond Latin-1.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -20,8 +24,12 @@ from boxloom.llm.text import bounded
 
 #: Unicode's white space, as the tokenizers' patterns know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Units kept by a worker; beyond it the store starts anew.
-STORE = 400_000
+#: Units kept by a worker, and as many pieces of units; beyond it a store starts anew.
+STORE = 1_000_000
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: What keeps a unit whole: an apostrophe, other characters than ASCII and Latin-1 letters, white space side by side.
+WHOLE = re.compile(f"[^ -&(-~\n{LETTERS}]|\n[\n ]|(?<=.) |^ $")
+PIECE = re.compile(f" ?[{LETTERS}]+| ?[^ {LETTERS}]+")
 
 #: Bytes of text encoded at once; the arrays of a step take some thirty times as much.
 SLICE = 2 << 20
@@ -57,6 +65,44 @@ def _cut(spec: dict) -> str:
     return "whole"
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it shows, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return [chr(rest.get(b, b)) for b in range(256)]
+
+
+class _Store:
+    """Ids of strings, in one array."""
+
+    def __init__(self):
+        self.slots: dict[str, int] = {}
+        self.flat, self.starts = array("I"), array("q", [0])
+
+    def add(self, key: str, ids) -> None:
+        self.slots[key] = len(self.slots)
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+
+
+class _Pieces(dict):
+    """Ids of pieces, found when first asked for."""
+
+    def __init__(self, owner: UnitEncoder):
+        super().__init__()
+        self.tokenizer, self.shown, self.lower = owner.tokenizer, owner.shown, owner.cut == "dropped"
+        self.model = owner.tokenizer.model
+
+    def __missing__(self, piece: str) -> array:
+        if piece[-1].isalpha():
+            word = piece.lower() if self.lower else piece
+            ids = array("I", [t.id for t in self.model.tokenize(word.translate(self.shown))])
+        else:
+            ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self[piece] = ids
+        return ids
+
+
 class UnitEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,15 +111,31 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
             self.cut = _cut(json.load(f))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.flat, self.starts = array("I"), array("q", [0])
+        letters = _byte_letters()
+        self.shown = {c: "".join(letters[b] for b in chr(c).encode()) for c in (*range(128), *range(0xC0, 0x100))}
+        self.units, self.pieces = _Store(), _Pieces(self)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, units: list[str]) -> None:
+        """Find the ids of units not in the store."""
+        if len(self.pieces) + 2 * len(units) > STORE:
+            self.pieces = _Pieces(self)
+        known, store, hard = self.pieces, self.units, []
+        slots, flat, starts = store.slots, store.flat, store.starts
+        whole, cut, ids_of, put = WHOLE.search, PIECE.findall, known.__getitem__, flat.extend
+        for unit in units:
+            if whole(unit):
+                hard.append(unit)
+                continue
+            for ids in map(ids_of, cut(unit)):
+                put(ids)
+            slots[unit] = len(slots)
+            starts.append(len(flat))
+        for unit, found in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
+            store.add(unit, found.ids)
+
     def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.cut == "kept":
             parts = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
@@ -81,15 +143,11 @@ class UnitEncoder:
             parts = pc.split_pattern(texts, " ")
         coded = parts.flatten().dictionary_encode()
         units = coded.dictionary.to_pylist()
-        if len(self.slots) + len(units) > STORE:
-            self._clear()
-        fresh = [u for u in units if u not in self.slots]
-        for unit, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.slots[unit] = len(self.slots)
-            self.flat.extend(found.ids)
-            self.starts.append(len(self.flat))
-        slot = np.fromiter(map(self.slots.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy(zero_copy_only=False)]
-        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.uint32)
+        if len(self.units.slots) + len(units) > STORE:
+            self.units = _Store()
+        self._learn([u for u in units if u not in self.units.slots])
+        slot = np.fromiter(map(self.units.slots.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy(zero_copy_only=False)]
+        starts, flat = np.array(self.units.starts, np.int64), np.array(self.units.flat, np.uint32)
         first, sizes = starts[slot], starts[slot + 1] - starts[slot]
         ends = np.cumsum(sizes)
         ids = flat[np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
