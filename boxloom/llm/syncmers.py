@@ -3,13 +3,13 @@
 A k-mer (``k`` consecutive code points) is a closed syncmer if the least hash
 among its s-mers is that of the first or of the last one. The choice looks at
 nothing outside the k-mer, so a passage keeps its anchors wherever it stands.
-With k = 2s the first and the last s-mer tile the k-mer, and their two hashes
+With 2s >= k the first and the last s-mer cover the k-mer, and their two hashes
 give its own.
 
-A fingerprint keeps, of ``bins`` bins of syncmer hashes, the least hash of each
-(8 hex digits a bin, ``-`` digits where a bin is empty). The likeness of two
-fingerprints is the share of bins with the same hash among those that either
-fills: an unbiased estimate of the overlap of the syncmer sets. Two empty
+A fingerprint keeps, of ``bins`` bins of syncmer hashes, the least hash of each:
+10 hex digits a filled bin, two for the bin and eight for the hash. The likeness
+of two fingerprints is the share of bins with the same hash among those that
+either fills: an unbiased estimate of the overlap of the syncmer sets. Two empty
 fingerprints are alike (1.0); an empty and a full one are not (0.0).
 
 Native: JVM expressions only; the texts cross the network once.
@@ -25,48 +25,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, BINS = 12, 6, 64
+K, S, BINS = 12, 8, 64
 #: Rows a bucket of neighbouring documents holds, about, and buckets at most.
 BUCKET, BUCKETS = 400, 4096
 
 
-def _smers(text: Column, s: int) -> Column:
-    """The hashes of all s-mers of a text; none if it is shorter."""
-    wide = F.encode(text, "UTF-32")  # four bytes a code point: a slice costs the same anywhere
-    n = F.char_length(text)
-    places = F.when(n >= s, F.sequence(F.lit(0), n - s)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * s))))
+def _smer(i: int, s: int) -> Column:
+    """The hash of the s-mer ``i`` places into the k-mer at ``pos``; ``_wide`` has four bytes a code point, so that a slice costs the same anywhere."""
+    return F.xxhash64(F.substring(F.col("_wide"), F.col("pos") * 4 + (4 * i + 1), F.lit(4 * s)))
 
 
-def anchors(texts: DataFrame, text: str, keep: list[str], k: int = K, s: int = S) -> DataFrame:
-    """The columns ``keep`` with pos and hash (unsigned in a long's bits) of every closed syncmer of ``text``."""
-    if k != 2 * s:
-        raise ValueError("k must be twice s")
-    cut = texts.select(*keep, F.col(text), _smers(F.col(text), s).alias("_s"), F.char_length(text).alias("_n"))
-    last = F.greatest(F.col("_n") - k, F.lit(0))
-    places = cut.where("_n > 0").select(*keep, text, "_s", "_n", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
-    inner = [F.get("_s", F.col("pos") + i) for i in range(k - s + 1)]
-    least = F.least(*inner)  # nulls, beyond a short text, are skipped
+def _syncmers(places: DataFrame, keep: list[Column], k: int, s: int, also: Column, value: Column) -> DataFrame:
+    """Of rows with _text, _wide, _n and pos those that are closed syncmers (or ``also``): ``keep`` and hash (``value`` where ``also``).
+
+    Each s-mer is hashed once to decide; the few kept rows hash two again.
+    """
+    if not s < k <= 2 * s:
+        raise ValueError("k must be above s, and 2s at most")
+    w = k - s + 1
+    edge = F.least(_smer(0, s), _smer(w - 1, s))
+    inner = [_smer(i, s) for i in range(1, w - 1)]
+    closed = edge <= (inner[0] if len(inner) == 1 else F.least(*inner)) if inner else F.lit(True)
     short = F.col("_n") < k
-    kept = places.where(short | (inner[0] == least) | (inner[-1] == least))
-    whole = F.xxhash64(F.col(text))
-    return kept.select(*keep, "pos", F.when(short, whole).otherwise(F.xxhash64(inner[0], inner[-1])).alias("hash"))
+    made = F.when(also, value).when(short, F.xxhash64("_text")).otherwise(F.xxhash64(_smer(0, s), _smer(w - 1, s)))
+    return places.where(also | short | closed).select(*keep, made.alias("hash"))
+
+
+def _prepared(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
+    return texts.select(*keep, F.col(text).alias("_text"), F.encode(text, "UTF-32").alias("_wide"), F.char_length(text).alias("_n"))
 
 
-def _value() -> Column:
-    return F.shiftrightunsigned("hash", 32)
+def anchors(texts: DataFrame, text: str, keep: list[str], k: int = K, s: int = S) -> DataFrame:
+    """The columns ``keep`` with pos and hash of every closed syncmer of ``text``."""
+    last = F.greatest(F.col("_n") - k, F.lit(0))
+    places = _prepared(texts, keep, text).where("_n > 0").select("*", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    return _syncmers(places, [*map(F.col, keep), F.col("pos")], k, s, F.lit(False), F.lit(0).cast("long"))
 
 
 def digits(marks: Column) -> Column:
-    return F.array_join(F.transform(marks, lambda m: F.coalesce(F.lpad(F.lower(F.hex(m)), 8, "0"), F.lit("-" * 8))), "")
+    return F.array_join(F.transform(marks, lambda m: F.lpad(F.lower(F.hex(m)), 10, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two marks, 0 to 1."""
-    both = F.zip_with(a, b, lambda x, y: F.struct((x == y).alias("same"), (x.isNotNull() | y.isNotNull()).alias("full")))
-    full = F.size(F.filter(both, lambda z: z["full"]))
-    same = F.size(F.filter(both, lambda z: z["same"]))
-    return F.when(full == 0, 1.0).otherwise(same / full).cast("double")
+
+    def bins(marks: Column) -> Column:
+        return F.transform(marks, lambda m: F.shiftrightunsigned(m, 32))
+
+    full = F.size(F.array_union(bins(a), bins(b)))
+    return F.when(full == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / full).cast("double")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, bins: int = BINS) -> DataFrame:
@@ -145,16 +152,22 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _sketch_with(texts: DataFrame, keys: list[str], facts: list[str], k: int, s: int, bins: int) -> DataFrame:
-    """``keys``, ``facts`` and marks of every row; place -1 of a text stands for its facts, so that blank texts stay too."""
-    cut = texts.select(*keys, *facts, "_text", _smers(F.col("_text"), s).alias("_s"), F.char_length("_text").alias("_n"))
+    """``keys``, ``facts`` (numbers) and marks (bin and least hash in one long, by bin) of every row.
+
+    The facts take places before a text's first, and negative bins after that,
+    so that one least number a bin is all there is to aggregate.
+    """
+    n = len(facts)
     last = F.when(F.col("_n") > 0, F.greatest(F.col("_n") - k, F.lit(0))).otherwise(F.lit(-1))
-    places = cut.select("*", F.explode(F.sequence(F.lit(-1), last)).alias("pos"))
-    inner = [F.get("_s", F.col("pos") + i) for i in range(k - s + 1)]
-    least, short, fact = F.least(*inner), F.col("_n") < k, F.col("pos") < 0
-    kept = places.where(fact | short | (inner[0] == least) | (inner[-1] == least))
-    made = F.when(~fact, F.when(short, F.xxhash64("_text")).otherwise(F.xxhash64(inner[0], inner[-1])))
-    found = kept.select(*keys, *[F.when(fact, F.col(c)).alias(c) for c in facts], made.alias("hash"))
-    dealt = found.select(*keys, *facts, F.pmod("hash", F.lit(bins)).cast("int").alias("_bin"), _value().alias("_value"))
-    least_of = [F.min(F.when(F.col("_bin") == j, F.col("_value"))).alias(f"_m{j}") for j in range(bins)]
-    summed = dealt.groupBy(*keys).agg(*[F.max(c).alias(c) for c in facts], *least_of)
-    return summed.select(*keys, *facts, F.array(*[F.col(f"_m{j}") for j in range(bins)]).alias("marks"))
+    places = _prepared(texts, [*keys, *facts], "_text").select("*", F.explode(F.sequence(F.lit(-n), last)).alias("pos"))
+    told = F.lit(None).cast("long")
+    for i, c in enumerate(facts):
+        told = F.when(F.col("pos") == i - n, F.col(c).cast("long")).otherwise(told)
+    is_fact = F.col("pos") < 0
+    found = _syncmers(places, [*map(F.col, keys), F.when(is_fact, F.col("pos")).otherwise(F.lit(0)).alias("_fact")], k, s, is_fact, told)
+    bin_ = F.when(F.col("_fact") < 0, F.col("_fact")).otherwise(F.pmod("hash", F.lit(bins)).cast("int"))
+    value = F.when(F.col("_fact") < 0, F.col("hash")).otherwise(F.shiftrightunsigned("hash", 32))
+    least = found.select(*keys, bin_.alias("_bin"), value.alias("_value")).groupBy(*keys, "_bin").agg(F.min("_value").alias("_value"))
+    listed = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_bin", "_value"))).alias("_all"))
+    marks = F.transform(F.filter("_all", lambda e: e["_bin"] >= 0), lambda e: F.shiftleft(e["_bin"].cast("long"), 32).bitwiseOR(e["_value"]))
+    return listed.select(*keys, *[F.get("_all", F.lit(i))["_value"].alias(c) for i, c in enumerate(facts)], marks.alias("marks"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ def words(text: Column, breaks: str = SPACES) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), breaks), "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, though ``use`` may name it many times or inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bounded(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring rows of at most ``limit`` in total; a larger row is a range of its own."""
     sizes = list(sizes)

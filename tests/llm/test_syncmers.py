@@ -20,7 +20,7 @@ def signed(x):
     return x - 2**64 if x >= 2**63 else x
 
 
-def brute(text, k=12, s=6, bins=64):
+def brute(text, k=12, s=8, bins=64):
     if not text:
         hashes = set()
     elif len(text) < k:
@@ -32,20 +32,20 @@ def brute(text, k=12, s=6, bins=64):
             inner = smers[i : i + k - s + 1]
             if min(inner) in (inner[0], inner[-1]):
                 hashes.add(chained([inner[0], inner[-1]]))
-    marks = [None] * bins
+    marks = {}
     for h in hashes:
         j, v = h % bins, h >> 32
-        marks[j] = v if marks[j] is None else min(v, marks[j])
-    return marks
+        marks[j] = min(v, marks.get(j, v))
+    return sorted(j << 32 | v for j, v in marks.items())
 
 
 def alike(a, b):
-    full = sum(x is not None or y is not None for x, y in zip(a, b, strict=True))
-    return sum(x is not None and x == y for x, y in zip(a, b, strict=True)) / full if full else 1.0
+    full = {m >> 32 for m in a} | {m >> 32 for m in b}
+    return len(set(a) & set(b)) / len(full) if full else 1.0
 
 
 def show(marks):
-    return "".join("-" * 8 if m is None else f"{m:08x}" for m in marks)
+    return "".join(f"{m:010x}" for m in marks)
 
 
 def check(spark, rows):
@@ -77,7 +77,7 @@ def test_small_tables(spark):
 def test_fingerprints_and_anchors(spark):
     df = spark.createDataFrame([(1, "a passage that is long enough to have anchors"), (2, "lead: a passage that is long enough to have anchors"), (3, None)], SCHEMA)
     prints = {r["doc_id"]: r["marks"] for r in syncmers.fingerprints(df).collect()}
-    assert prints[1] == brute("a passage that is long enough to have anchors") and prints[3] == [None] * 64
+    assert prints[1] == brute("a passage that is long enough to have anchors") and prints[3] == []
     places = {}
     for r in syncmers.anchors(df, "text", ["doc_id"]).collect():
         places.setdefault(r["hash"], {})[r["doc_id"]] = r["pos"]
