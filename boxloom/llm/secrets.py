@@ -33,6 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.text import let
 from boxloom.runtime import write_table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -85,7 +86,10 @@ def base_spans(text: Column) -> Column:
 
 def _normal_tail(z: Column) -> Column:
     """P(|Z| > |z|) of the standard normal, to about 1e-7 (Abramowitz and Stegun 7.1.26)."""
-    x = F.abs(z) / F.lit(math.sqrt(2))
+    return let(F.abs(z) / F.lit(math.sqrt(2)), _erfc)
+
+
+def _erfc(x: Column) -> Column:
     t = 1 / (1 + 0.3275911 * x)
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     return poly * F.exp(-x * x)
@@ -105,7 +109,7 @@ def _symbols(token: Column, name: Column) -> Column:
     plain = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
     plain = F.when(name.isin("hex", "base36"), F.lower(plain)).otherwise(plain)
     table = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])
-    return F.transform(F.split(plain, ""), lambda c: F.instr(table[name], c) - 1)
+    return let(table[name], lambda letters: F.transform(F.split(plain, ""), lambda c: F.instr(letters, c) - 1))
 
 
 def _classes(token: Column) -> Column:
@@ -124,31 +128,47 @@ def _sum(values: Column) -> Column:
 
 def looks_random(symbols: Column, size: Column) -> Column:
     """Whether the battery leaves uniform randomness standing. ``symbols``: numbers below ``size``; 20 or more of them."""
-    n, a = F.size(symbols).cast("double"), size.cast("double")
+    return let(symbols, lambda x: _battery(x, size.cast("double")))
+
+
+def _battery(symbols: Column, a: Column) -> Column:
+    n = F.size(symbols).cast("double")
     squares = _sum(F.transform(F.array_distinct(symbols), lambda s: F.pow(F.size(F.filter(symbols, lambda x: x == s)).cast("double"), F.lit(2.0))))
     chi, df = a / n * squares - n, a - 1
     # Wilson-Hilferty: the cube root of chi-squared over df is nearly normal
     z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    p_chi = F.when(z_chi > 0, _normal_tail(z_chi) / 2).otherwise(1.0)
-    high = F.transform(symbols, lambda s: (s >= a / 2).cast("int"))
-    n1 = _sum(F.transform(high, lambda h: h.cast("double")))
-    n0 = n - n1
-    mean = 2 * n1 * n0 / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    p_runs = F.when(spread > 0, _normal_tail((_changes(high) + 1 - mean) / F.sqrt(F.greatest(spread, F.lit(1e-12))))).otherwise(0.0)
+    p_chi = let(z_chi, lambda z: F.when(z > 0, _normal_tail(z) / 2).otherwise(1.0))
+    p_runs = let(F.transform(symbols, lambda s: (s >= a / 2).cast("int")), lambda high: _runs(high, n))
     average = _sum(F.transform(symbols, lambda s: s.cast("double"))) / n
-    off = F.transform(symbols, lambda s: s - average)
-    k = F.size(symbols)
+    off = let(average, lambda m: F.transform(symbols, lambda s: s - m))
+    return F.least(p_chi, p_runs, let(off, lambda x: _serial(x, n))) * 3 >= REFUTE
+
+
+def _runs(high: Column, n: Column) -> Column:
+    n1 = _sum(F.transform(high, lambda h: h.cast("double")))
+
+    def judged(n1: Column) -> Column:
+        mean = 2 * n1 * (n - n1) / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        return F.when(spread > 0, _normal_tail((_changes(high) + 1 - mean) / F.sqrt(F.greatest(spread, F.lit(1e-12))))).otherwise(0.0)
+
+    return let(n1, judged)
+
+
+def _serial(off: Column, n: Column) -> Column:
+    k = F.size(off)
     lagged = _sum(F.zip_with(F.slice(off, 1, k - 1), F.slice(off, 2, k - 1), lambda x, y: x * y))
     power = _sum(F.transform(off, lambda x: x * x))
-    p_serial = F.when(power > 0, _normal_tail(lagged / F.greatest(power, F.lit(1e-12)) * F.sqrt(n))).otherwise(0.0)
-    return F.least(p_chi, p_runs, p_serial) * 3 >= REFUTE
+    return let(power, lambda p: F.when(p > 0, _normal_tail(lagged / F.greatest(p, F.lit(1e-12)) * F.sqrt(n))).otherwise(0.0))
 
 
 def evidence(token: Column) -> Column:
     """-10 log10 of the p-value of an ordinary word, rounded down, 0 to ``STEPS``."""
     n = F.char_length(token).cast("double")
-    rate = _changes(_classes(token)) / (n - 1)
+    return let(let(_classes(token), _changes) / (n - 1), lambda rate: _bound(rate, n))
+
+
+def _bound(rate: Column, n: Column) -> Column:
     far = F.when(rate >= 1, F.lit(math.log(1 / SWITCH))).otherwise(
         rate * F.log(F.greatest(rate, F.lit(1e-12)) / SWITCH) + (1 - rate) * F.log(F.greatest(1 - rate, F.lit(1e-12)) / (1 - SWITCH))
     )
@@ -163,8 +183,7 @@ def candidates(text: Column, base: Column) -> Column:
         value = t["value"]
         name = encoding(value)
         size = F.when(name == "hex", 16).when(name == "base32", 32).when(name == "base36", 36).otherwise(64)
-        score = evidence(value)
-        kept = F.when(value.rlike(UUID), 0).when((score > 0) & looks_random(_symbols(value, name), size), score).otherwise(0)
+        kept = let(evidence(value), lambda score: F.when(value.rlike(UUID), 0).when((score > 0) & looks_random(_symbols(value, name), size), score).otherwise(0))
         level = F.floor(F.log2(F.char_length(value).cast("double"))).cast("int")
         return F.struct(t["start"].alias("start"), t["end"].alias("end"), level.alias("level"), kept.alias("score"))
 
