@@ -60,23 +60,22 @@ def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, id_col: st
     # get() is null beyond the end and concat_ws skips nulls: a shorter text is one shingle of all its words
     grams = places.select("doc_id", "_row", F.when(F.size("_words") > 0, F.concat_ws(" ", *[F.get("_words", F.col("_at") + i) for i in range(shingle)])).alias("_gram"))
     hashed = grams.select("doc_id", "_row", F.when(F.col("_gram").isNotNull(), F.xxhash64("_gram")).alias("_h0"))
-    hashed = hashed.select("*", *[F.when(F.col("_h0").isNotNull(), F.xxhash64("_h0", F.lit(i))).alias(f"_h{i}") for i in range(1, n_words)])
-    sums = [
-        F.sum(F.shiftrightunsigned(f"_h{w}", i).bitwiseAND(F.lit(_HALVES))).alias(f"_s{w}_{i}")
-        for w in range(n_words)
-        for i in range(32)
-    ]
-    counted = hashed.groupBy("_row", "doc_id").agg(F.count("_h0").alias("_n"), *sums)
-
-    def word(w: int) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(32):
-            for count, bit in ((F.col(f"_s{w}_{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i), (F.shiftrightunsigned(f"_s{w}_{i}", 32), i + 32)):
-                value = (1 << bit) - (1 << 64 if bit == 63 else 0)
-                out = out.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
-        return out
-
-    return counted.select("doc_id", *[word(w).alias(_name(w)) for w in range(n_words)])
+    # a fingerprint word has hashes of its own; a row each keeps the aggregate's loop small enough to be compiled
+    each = F.explode(F.array(*[F.lit(w) for w in range(n_words)])) if n_words > 1 else F.lit(0)
+    dealt = hashed.select("doc_id", "_row", "_h0", each.alias("_w"))
+    own = F.when(F.col("_w") == 0, F.col("_h0")).otherwise(F.xxhash64("_h0", "_w"))
+    told = dealt.select("doc_id", "_row", "_w", F.when(F.col("_h0").isNotNull(), own).alias("_h"))
+    sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(_HALVES))).alias(f"_s{i}") for i in range(32)]
+    counted = told.groupBy("_row", "doc_id", "_w").agg(F.count("_h").alias("_n"), *sums)
+    word = F.lit(0).cast("long")
+    for i in range(32):
+        for count, bit in ((F.col(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i), (F.shiftrightunsigned(f"_s{i}", 32), i + 32)):
+            value = (1 << bit) - (1 << 64 if bit == 63 else 0)
+            word = word.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
+    if n_words == 1:
+        return counted.select("doc_id", word.alias(_name(0)))
+    wide = counted.select("_row", "doc_id", "_w", word.alias("_word")).groupBy("_row", "doc_id")
+    return wide.agg(*[F.max(F.when(F.col("_w") == w, F.col("_word"))).alias(_name(w)) for w in range(n_words)]).drop("_row")
 
 
 def hex_digits(word: Column) -> Column:
