@@ -25,7 +25,7 @@ from boxloom.llm.text import bounded
 #: Unicode's white space, as the tokenizers' patterns know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Units kept by a worker, and as many pieces of units; beyond it a store starts anew.
-STORE = 1_000_000
+STORE = 500_000
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: What keeps a unit whole: an apostrophe, other characters than ASCII and Latin-1 letters, white space side by side.
 WHOLE = re.compile(f"[^ -&(-~\n{LETTERS}]|\n[\n ]|(?<=.) |^ $")
