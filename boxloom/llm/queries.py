@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import chat, decontam, language, packing, records, secrets, simhash, syncmers, url_filter
+from boxloom.llm import chat, decontam, language, packing, pii, records, secrets, simhash, syncmers, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+PII_KEY = "boxloom surrogate key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with surrogates, and what was replaced where: kind:start:end, without the entities themselves."""
+    found = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", F.get(names, e["kind"]), e["start"].cast("string"), e["end"].cast("string"))), ",")
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), spans.alias("spans"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -126,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmers": op2_syncmers,
     "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
     "op6_chat": op6_chat,
     "op7_language": op7_language,
     "op8_records": op8_records,

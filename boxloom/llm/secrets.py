@@ -58,13 +58,13 @@ ALPHABETS = {
 }
 
 
-def _spans(text: Column, pattern: str, kind: str, hint: str | None = None, group: int | None = None, least: int = 0) -> Column:
+def _spans(text: Column, pattern: str, kind: str | int, hint: str | None = None, group: int | None = None, least: int = 0) -> Column:
     """Array of (start, end, order, kind, value) of a pattern's matches; those whose ``group`` is under ``least`` are dropped."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     both = F.zip_with(found, values, lambda m, v: F.struct(m.alias("m"), v.alias("v")))
     rows = F.zip_with(F.slice(between, 1, F.size(found)), both, lambda b, x: F.struct(F.char_length(b).alias("gap"), x["m"].alias("m"), x["v"].alias("v")))
-    order = KINDS.index(kind)
+    order = kind if isinstance(kind, int) else KINDS.index(kind)
     kind_of = "array<struct<start:bigint,end:bigint,kind:int,value:string>>"
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind_of).alias("out"))
 
