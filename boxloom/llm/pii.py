@@ -65,46 +65,36 @@ def _shifted(text: Column, stream: Column) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         by = F.conv(F.substring(stream, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        out = c
-        for letters in CLASSES:
-            at = F.instr(F.lit(letters), c)
-            out = F.when((c != "") & (at > 0), F.substring(F.lit(letters), F.pmod(at - 1 + by, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
-        return out
+        class_ = F.coalesce(*[F.when(F.instr(F.lit(letters), c) > 0, letters) for letters in CLASSES], F.lit(""))
+        moved = lambda k: F.substring(k, F.pmod(F.instr(k, c) - 1 + by, F.char_length(k)) + 1, F.lit(1))
+        return let(class_, lambda k: F.when((c == "") | (k == ""), c).otherwise(moved(k)))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _round(moved: Column, by: Column, key: str, tag: Column, n: int) -> Column:
-    return let(_hash(key, tag, str(n), F.lower(by)), lambda stream: _shifted(moved, stream))
-
-
-def permuted(text: Column, key: str, tag: Column) -> Column:
+def permuted(text: Column, key: Column, tag: Column) -> Column:
     """The keyed permutation of texts of one format; ``tag`` picks the permutation and must itself be kept."""
     half = F.floor(F.char_length(text) / 2).cast("int")
-    left, right = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
-
-    def after(l0: Column, r0: Column) -> Column:
-        return let(_round(r0, l0, key, tag, 1), lambda r1: let(_round(l0, r1, key, tag, 2), lambda l1: F.concat(l1, _round(r1, l1, key, tag, 3))))
-
-    return let(left, lambda l0: let(right, lambda r0: after(l0, r0)))
+    sides = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.char_length(text)).alias("b"))
 
+    # a round moves the second half by a hash of the first and swaps the two; after three they are swapped once too often
+    def step(s: Column, n: Column) -> Column:
+        moved = let(_hash(key, tag, n.cast("string"), F.lower(s["a"])), lambda stream: _shifted(s["b"], stream))
+        return F.struct(moved.alias("a"), s["a"].alias("b"))
 
-def _email(v: Column, key: str) -> Column:
-    local, domain = F.regexp_extract(v, "^([^@]*)@", 1), F.regexp_extract(v, "@(.*)$", 1)
-    name, last = F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    return F.concat(permuted(local, key, F.concat(F.lit("email"), F.lower(domain))), F.lit("@"), permuted(name, key, F.concat(F.lit("domain"), F.lower(last))), last)
+    return F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), sides, step, lambda s: F.concat(s["b"], s["a"]))
 
 
-def _ip(v: Column, key: str) -> Column:
+def _ip(v: Column, key: Column) -> Column:
     part = lambda p, i: F.get(p, F.lit(i)).cast("int")
-    mix = lambda x, by, n: x.bitwiseXOR(F.conv(F.substring(_hash(key, "ip", str(n), by.cast("string")), 1, 4), 16, 10).cast("int"))
     show = lambda x: F.concat_ws(".", F.shiftright(x, 8).cast("string"), x.bitwiseAND(F.lit(255)).cast("string"))
 
-    def made(p: Column) -> Column:
-        hi, lo = part(p, 0) * 256 + part(p, 1), part(p, 2) * 256 + part(p, 3)
-        return let(mix(lo, hi, 1), lambda l1: let(mix(hi, l1, 2), lambda h1: let(mix(l1, h1, 3), lambda l2: F.concat_ws(".", show(h1), show(l2)))))
+    def step(s: Column, n: Column) -> Column:
+        by = F.conv(F.substring(_hash(key, "ip", n.cast("string"), s["a"].cast("string")), 1, 4), 16, 10).cast("int")
+        return F.struct(s["b"].bitwiseXOR(by).alias("a"), s["a"].alias("b"))
 
-    return let(F.split(v, r"\."), made)
+    sides = let(F.split(v, r"\."), lambda p: F.struct((part(p, 0) * 256 + part(p, 1)).alias("a"), (part(p, 2) * 256 + part(p, 3)).alias("b")))
+    return F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), sides, step, lambda s: F.concat_ws(".", show(s["b"]), show(s["a"])))
 
 
 def check_digit(body: Column) -> Column:
@@ -114,40 +104,33 @@ def check_digit(body: Column) -> Column:
     return F.pmod(-F.aggregate(doubled, F.lit(0), lambda s, x: s + x), F.lit(10))
 
 
-def _card(v: Column, key: str) -> Column:
-    n = F.char_length(v)
-    first, body, last = F.substring(v, 1, 1), F.substring(v, F.lit(2), n - 2), F.substring(v, n, F.lit(1)).cast("int")
+#: What a kind keeps before and after the part that is permuted. What is kept also picks the permutation.
+KEPT = {
+    "email": ("^", r"\.[A-Za-z]+$"), "iban": ("^[A-Z]{2}", "$"), "card": ("^[0-9]", "[0-9]$"), "ssn": ("^", "$"),
+    "phone": (r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", "$"), "name": (r"^\p{L}+\.? ", ".$"),
+}
 
-    def made(new: Column) -> Column:
-        end = F.pmod(check_digit(F.concat(first, new)) + last - check_digit(F.concat(first, body)), F.lit(10))
-        return F.concat(first, new, end.cast("string"))
 
-    return let(permuted(body, key, F.concat(F.lit("card"), first)), made)
-
-
-def _kept_head(v: Column, key: str, kind: str, head: str) -> Column:
-    kept = F.regexp_extract(v, head, 0)
-    return F.concat(kept, permuted(F.substring(v, F.char_length(kept) + 1, F.char_length(v)), key, F.concat(F.lit(kind), kept)))
+def _made(kind: Column, v: Column, key: Column) -> Column:
+    def by_kind(side: int) -> Column:
+        out = F.lit("")
+        for k, kept in KEPT.items():
+            out = F.when(kind == KINDS.index(k), F.regexp_extract(v, kept[side], 0)).otherwise(out)
+        return out
 
+    def whole(h: Column) -> Column:
+        head, tail = h["head"], h["tail"]
+        body = F.substring(v, F.char_length(head) + 1, F.char_length(v) - F.char_length(head) - F.char_length(tail))
+        card = kind == KINDS.index("card")
+        tag = F.concat_ws("\x1f", kind.cast("string"), F.lower(head), F.when(~card, F.lower(tail)))
 
-def _name(v: Column, key: str) -> Column:
-    n = F.char_length(v)
-    title, last = F.regexp_extract(v, r"^\p{L}+\.? ", 0), F.substring(v, n, F.lit(1))
-    body = F.substring(v, F.char_length(title) + 1, n - F.char_length(title) - 1)
-    return F.concat(title, permuted(body, key, F.lit("name")), last)
+        def ended(new: Column) -> Column:
+            digit = F.pmod(check_digit(F.concat(head, new)) + tail.try_cast("int") - check_digit(F.concat(head, body)), F.lit(10))
+            return F.concat(head, new, F.when(card, digit.cast("string")).otherwise(tail))
 
+        return let(permuted(body, key, tag), ended)
 
-def _made(kind: Column, v: Column, key: str) -> Column:
-    i = {k: n for n, k in enumerate(KINDS)}
-    return (
-        F.when(kind == i["email"], _email(v, key))
-        .when(kind == i["iban"], _kept_head(v, key, "iban", "^[A-Z]{2}"))
-        .when(kind == i["ip"], _ip(v, key))
-        .when(kind == i["card"], _card(v, key))
-        .when(kind == i["ssn"], permuted(v, key, F.lit("ssn")))
-        .when(kind == i["phone"], _kept_head(v, key, "phone", r"^(?:\+[0-9]{1,3}(?=[ .(-]))?"))
-        .otherwise(_name(v, key))
-    )
+    return F.when(kind == KINDS.index("ip"), _ip(v, key)).otherwise(let(F.struct(by_kind(0).alias("head"), by_kind(1).alias("tail")), whole))
 
 
 def entities(text: Column) -> Column:
@@ -168,8 +151,11 @@ def entities(text: Column) -> Column:
 def with_surrogates(found: Column, key: str) -> Column:
     """The entities with their surrogates: array of (start, end, kind, value, surrogate)."""
 
+    keys = F.array(F.lit(key), F.lit(f"{key}\x1fagain"))
+
     def one(s: Column) -> Column:
-        made = let(_made(s["kind"], s["value"], key), lambda m: F.when(m != s["value"], m).otherwise(_made(s["kind"], s["value"], f"{key}\x1fagain")))
+        offered = F.filter(F.transform(keys, lambda k: _made(s["kind"], s["value"], k)), lambda m: m != s["value"])
+        made = F.coalesce(F.get(offered, F.lit(0)), s["value"])
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), made.alias("surrogate"))
 
     return F.transform(found, one)
