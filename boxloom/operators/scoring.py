@@ -15,6 +15,11 @@ from boxloom.functions.detections import scored
 N_THRESHOLDS = 10
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Matching is work for the processor, not for the disk: without this, small rows would meet in few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _f1_at(i: Column) -> Column:
     tp = F.get("_s.tp", i)
     return boxes.set_f1(tp, F.size("_s.boxes") - tp, F.size("targets") - tp)
@@ -26,7 +31,7 @@ def score(examples: DataFrame) -> DataFrame:
     An invalid completion has no boxes and scores 0 throughout, though its
     targets still count as missed; a valid empty one beside no targets scores 1.
     """
-    rows = examples.withColumn("_s", scored("raw_completion", "targets"))
+    rows = _spread(examples).withColumn("_s", scored("raw_completion", "targets"))
     n = F.size("targets")
     valid = F.col("_s.valid")
     f1 = F.transform(F.sequence(F.lit(0), F.lit(N_THRESHOLDS - 1)), lambda i: F.when(valid, _f1_at(i)).otherwise(0.0))
@@ -49,7 +54,7 @@ def mean_f1(values: Column) -> Column:
 
 def rewards(completions: DataFrame) -> DataFrame:
     """``completions`` (raw_completion, targets) with format_valid, soft_set_f1, format_reward, quality_reward and reward."""
-    rows = completions.withColumn("_s", scored("raw_completion", "targets"))
+    rows = _spread(completions).withColumn("_s", scored("raw_completion", "targets"))
     valid = F.col("_s.valid")
     soft = F.when(valid, boxes.soft_set_f1(F.col("_s.matched"), F.size("_s.boxes"), F.size("targets"))).otherwise(0.0)
     return rows.select(
