@@ -1,8 +1,9 @@
 """The registered queries of the annotation operators and their SQL.
 
-The supplied tables have no images, so boxes come from ``lineitem``: the first
-four lines of an order are its objects, predictions are the same boxes shifted,
-dropped (return flag R) or doubled (A). ``documents`` stands for image files.
+The supplied tables have no images, so boxes come from ``lineitem``: each four
+lines of an order are the objects of an image, an order without lines is an
+image without objects, and predictions are the same boxes shifted, dropped
+(return flag R) or doubled (A). ``documents`` stands for image files.
 Query and SQL derive them in the same way.
 """
 
@@ -44,10 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 LINES = """
 lines AS (
-  SELECT l_orderkey AS k, l_linenumber AS ln, l_returnflag AS flag, l_suppkey, (l_partkey * 7) % 800 AS x1, (l_suppkey * 13) % 800 AS y1, CAST(60 + 2 * l_quantity AS INTEGER) AS side,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rn
-  FROM lineitem),
-truth AS (SELECT k, rn, ln, flag, x1, y1, x1 + side AS x2, y1 + side AS y2 FROM lines WHERE rn <= 4),
+  SELECT l_orderkey * 1000 + (n - 1) // 4 AS k, (n - 1) % 4 + 1 AS rn, l_linenumber AS ln, l_returnflag AS flag, (l_partkey * 7) % 800 AS x1, (l_suppkey * 13) % 800 AS y1, CAST(60 + 2 * l_quantity AS INTEGER) AS side
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS n FROM lineitem)),
+truth AS (SELECT k, rn, ln, flag, x1, y1, x1 + side AS x2, y1 + side AS y2 FROM lines),
+images AS (SELECT k FROM truth UNION SELECT o_orderkey * 1000 FROM orders),
 preds AS (
   SELECT k, row_number() OVER (PARTITION BY k ORDER BY rn, c) AS i, x1 + d AS x1, y1 + d AS y1, x2 + d AS x2, y2 + d AS y2
   FROM (SELECT t.*, (ln % 4) * 4 AS d, c FROM truth t, (VALUES (1), (2)) v(c) WHERE flag <> 'R' AND (c = 1 OR flag = 'A')))
@@ -69,9 +70,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an object: k, rn, ln, flag and the box's sides."""
     order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     x, y, side = (F.col("l_partkey") * 7) % 800, (F.col("l_suppkey") * 13) % 800, (60 + 2 * F.col("l_quantity")).cast("int")
-    rows = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(order)).where("rn <= 4")
+    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order) - 1)
     return rows.select(
-        F.col("l_orderkey").alias("k"), "rn", F.col("l_linenumber").alias("ln"), F.col("l_returnflag").alias("flag"),
+        (F.col("l_orderkey") * 1000 + F.floor(F.col("n") / 4)).alias("k"), (F.col("n") % 4 + 1).alias("rn"), F.col("l_linenumber").alias("ln"), F.col("l_returnflag").alias("flag"),
         x.cast("int").alias("x1"), y.cast("int").alias("y1"), (x + side).cast("int").alias("x2"), (y + side).cast("int").alias("y2"),
     )
 
@@ -81,13 +82,13 @@ def _side_box(prefix: str = "") -> Column:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an order: k, targets and predicted (arrays of boxes), and its completion; a few are invalid."""
+    """One row an image: k, targets and predicted (arrays of boxes), and its completion; a few are invalid."""
     rows = lines(spark, sf_dir)
     d = (F.col("ln") % 4) * 4
     shifted = F.array(*[(F.col(s) + d).cast("int") for s in ("x1", "y1", "x2", "y2")])
     copies = F.when(F.col("flag") == "R", F.array().cast("array<array<int>>")).when(F.col("flag") == "A", F.array(shifted, shifted)).otherwise(F.array(shifted))
     by = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("targets"), F.flatten(F.collect_list(copies)).alias("predicted"))
-    every = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).join(by, "k", "left")
+    every = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 1000).alias("k")).join(by, "k", "full")
     none = F.array().cast("array<array<int>>")
     full = every.select("k", F.coalesce("targets", none).alias("targets"), F.array_sort(F.coalesce("predicted", none)).alias("predicted"))
     items = F.transform("predicted", lambda b: F.concat(F.lit('{"bbox_2d":['), F.array_join(F.transform(b, lambda v: v.cast("string")), ","), F.lit("]}")))
@@ -157,7 +158,7 @@ def shift_scale(spark, sf_dir):
 # ---------------------------------------------------------------- parsing and matching
 
 @query(f"""WITH {LINES}, np AS (SELECT k, count(*) AS n FROM preds GROUP BY k)
-SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 11 <> 0 AS valid, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE coalesce(n, 0) END AS INTEGER) AS n_boxes FROM orders LEFT JOIN np ON np.k = o_orderkey""")
+SELECT CAST(images.k AS VARCHAR) AS id, images.k % 11 <> 0 AS valid, CAST(CASE WHEN images.k % 11 = 0 THEN 0 ELSE coalesce(n, 0) END AS INTEGER) AS n_boxes FROM images LEFT JOIN np ON np.k = images.k""")
 def strict_parse(spark, sf_dir):
     rows = examples(spark, sf_dir).select("id", parsed("raw_completion").alias("p"))
     return rows.select("id", F.col("p.valid").alias("valid"), F.size("p.boxes").alias("n_boxes"))
@@ -176,8 +177,8 @@ m AS (
   FROM m JOIN opts o ON o.k = m.k AND o.t = m.t AND o.i = m.i + 1 WHERE (m.mask & o.bit) = 0),
 best AS (SELECT m.k, m.t, max(m.n) AS n, max(m.s) AS s FROM m JOIN np ON np.k = m.k AND np.n = m.i GROUP BY m.k, m.t),
 ex AS (
-  SELECT o_orderkey AS k, o_orderkey % 11 <> 0 AS valid, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE coalesce(np.n, 0) END AS np, coalesce(nt.n, 0) AS nt
-  FROM orders LEFT JOIN np ON np.k = o_orderkey LEFT JOIN nt ON nt.k = o_orderkey),
+  SELECT images.k, images.k % 11 <> 0 AS valid, CASE WHEN images.k % 11 = 0 THEN 0 ELSE coalesce(np.n, 0) END AS np, coalesce(nt.n, 0) AS nt
+  FROM images LEFT JOIN np ON np.k = images.k LEFT JOIN nt ON nt.k = images.k),
 f AS (
   SELECT ex.k, valid, np, nt, steps.t, CASE WHEN valid THEN coalesce(best.n, 0) ELSE 0 END AS tp, CASE WHEN valid THEN coalesce(best.s, 0) ELSE 0 END AS s
   FROM ex CROSS JOIN steps LEFT JOIN best ON best.k = ex.k AND best.t = steps.t),
@@ -334,9 +335,9 @@ def length_excluded(spark, sf_dir):
 # ---------------------------------------------------------------- checks and sets
 
 @query("""SELECT coalesce(o_orderkey, k) AS k, CASE WHEN k IS NULL THEN 'missing' ELSE 'extra' END AS side
-FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) FULL OUTER JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) ON o_orderkey = k WHERE o_orderkey IS NULL OR k IS NULL""")
+FROM orders FULL OUTER JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) ON o_orderkey = k WHERE o_orderkey IS NULL OR k IS NULL""")
 def coverage_check(spark, sf_dir):
-    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).where("k % 5 <> 0")
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     return checks.coverage(expected, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct(), "k")
 
 
@@ -440,18 +441,18 @@ def negative_window(spark, sf_dir):
 
 
 @query(_PLACED + """SELECT w.record_id, w.group_id, w.split, w.concept, w.positive, arg_min(h.record_id, sha256(concat_ws(chr(31), '17', CAST(w.record_id AS VARCHAR), w.concept, CAST(h.record_id AS VARCHAR)))) AS reference_id
-FROM wanted w JOIN has h ON w.split = h.split AND w.concept = h.concept AND w.group_id <> h.group_id WHERE w.split = 'test' GROUP BY ALL""")
+FROM wanted w JOIN has h ON w.split = h.split AND w.concept = h.concept AND w.group_id <> h.group_id GROUP BY ALL""")
 def reference_pairing(spark, sf_dir):
-    images = write_table(placed_images(spark, sf_dir).where("split = 'test'"), "placed")
+    images = write_table(placed_images(spark, sf_dir), "placed")
     return pairing.references(pairing.requests(images, CLASSES, 1, SEED), images, SEED)
 
 
 @query(_PLACED + f""", refs AS (SELECT w.*, arg_min(h.record_id, sha256(concat_ws(chr(31), '17', CAST(w.record_id AS VARCHAR), w.concept, CAST(h.record_id AS VARCHAR)))) AS ref
-  FROM wanted w JOIN has h ON w.split = h.split AND w.concept = h.concept AND w.group_id <> h.group_id WHERE w.split = 'test' GROUP BY w.record_id, w.group_id, w.split, w.concept, w.positive)
+  FROM wanted w JOIN has h ON w.split = h.split AND w.concept = h.concept AND w.group_id <> h.group_id GROUP BY w.record_id, w.group_id, w.split, w.concept, w.positive)
 SELECT substr(sha256(concat_ws(chr(31), '{pairing.RECORD_DOMAIN}', split, CAST(record_id AS VARCHAR), concept, CAST(ref AS VARCHAR), CASE WHEN positive THEN 'True' ELSE 'False' END)), 1, 24) AS id,
   concept AS visual_concept, positive, CAST(record_id AS VARCHAR) AS target_path, CAST(ref AS VARCHAR) AS reference_path, CAST(CASE WHEN positive THEN 1 ELSE 0 END AS INTEGER) AS n_boxes FROM refs""")
 def dataset_records(spark, sf_dir):
-    images = placed_images(spark, sf_dir).where("split = 'test'")
+    images = placed_images(spark, sf_dir)
     objects = F.transform("concepts", lambda c: F.struct(c.alias("concept"), F.array(F.lit(1), F.lit(1), F.lit(50), F.lit(60)).alias("box")))
     full = write_table(images.select("*", F.lit("docs").alias("source"), F.col("record_id").cast("string").alias("path"), F.lit(100).alias("width"), F.lit(100).alias("height"), objects.alias("objects")), "full")
     rows = pairing.records(pairing.references(pairing.requests(full, CLASSES, 1, SEED), full, SEED), full)
