@@ -17,8 +17,8 @@ Fingerprints of several words are searched once per word, each time in that
 word's own Gray order, where a node is left once its differences in the word's
 first bits (as many as the index is deep) exceed ``prefix_share`` of them; the
 distance over all words decides. With one word and ``prefix_share`` unset the
-search is exact. :func:`near_copies` sets four words and a share that finds 99
-of 100 pairs at its similarity.
+search is exact. :func:`near_copies` sets four words; there the index only
+proposes pairs, and the exact similarity of their shingles decides.
 
 Defined results: null and blank texts have the zero fingerprint and link like
 any other; rows that repeat a doc_id stay separate rows; a null doc_id gets a
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.text import words
+from boxloom.llm.text import let, words
 from boxloom.operators.graph import connected_components
 from boxloom.runtime import write_table
 
@@ -60,21 +60,26 @@ def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, id_col: st
     # get() is null beyond the end and concat_ws skips nulls: a shorter text is one shingle of all its words
     grams = places.select("doc_id", "_row", F.when(F.size("_words") > 0, F.concat_ws(" ", *[F.get("_words", F.col("_at") + i) for i in range(shingle)])).alias("_gram"))
     hashed = grams.select("doc_id", "_row", F.when(F.col("_gram").isNotNull(), F.xxhash64("_gram")).alias("_h0"))
+    return _summed(hashed, n_words)
+
+
+def _summed(hashed: DataFrame, n_words: int, *kept: str) -> DataFrame:
+    """Fingerprints from rows of doc_id, _row and a shingle's hash _h0 (null: none). ``kept``: columns that depend on _row."""
     # a fingerprint word has hashes of its own; a row each keeps the aggregate's loop small enough to be compiled
     each = F.explode(F.array(*[F.lit(w) for w in range(n_words)])) if n_words > 1 else F.lit(0)
-    dealt = hashed.select("doc_id", "_row", "_h0", each.alias("_w"))
+    dealt = hashed.select("doc_id", "_row", *kept, "_h0", each.alias("_w"))
     own = F.when(F.col("_w") == 0, F.col("_h0")).otherwise(F.xxhash64("_h0", "_w"))
-    told = dealt.select("doc_id", "_row", "_w", F.when(F.col("_h0").isNotNull(), own).alias("_h"))
+    told = dealt.select("doc_id", "_row", *kept, "_w", F.when(F.col("_h0").isNotNull(), own).alias("_h"))
     sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(_HALVES))).alias(f"_s{i}") for i in range(32)]
-    counted = told.groupBy("_row", "doc_id", "_w").agg(F.count("_h").alias("_n"), *sums)
+    counted = told.groupBy("_row", "doc_id", *kept, "_w").agg(F.count("_h").alias("_n"), *sums)
     word = F.lit(0).cast("long")
     for i in range(32):
         for count, bit in ((F.col(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i), (F.shiftrightunsigned(f"_s{i}", 32), i + 32)):
             value = (1 << bit) - (1 << 64 if bit == 63 else 0)
             word = word.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     if n_words == 1:
-        return counted.select("doc_id", word.alias(_name(0)))
-    wide = counted.select("_row", "doc_id", "_w", word.alias("_word")).groupBy("_row", "doc_id")
+        return counted.select("doc_id", *kept, word.alias(_name(0)))
+    wide = counted.select("_row", "doc_id", *kept, "_w", word.alias("_word")).groupBy("_row", "doc_id", *kept)
     return wide.agg(*[F.max(F.when(F.col("_w") == w, F.col("_word"))).alias(_name(w)) for w in range(n_words)]).drop("_row")
 
 
@@ -296,12 +301,160 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, radius:
     return marks.join(known, names, "left").select("doc_id", *names, "component_id")
 
 
-#: Differing bits of 256 that still link two documents: shingle sets with a Jaccard similarity of 0.8 differ in
-#: 256 * acos(2 * 0.8 / 1.8) / pi = 39 bits on average, with a standard deviation of 6.
-COPY_BITS = 44
+#: Differing bits of 256 at which two documents are still compared by their shingles. Sets with a Jaccard similarity of
+#: 0.8 differ in 39 bits on average (256 * acos(2 * 0.8 / 1.8) / pi), at worst, four shingles against five, in 48; the
+#: standard deviation is 6.
+COPY_BITS = 72
+#: The Jaccard similarity that links, as a fraction.
+ALIKE = (4, 5)
+
+
+def shingle_sets(text: Column, shingle: int) -> Column:
+    """The hashes of a text's different shingles, sorted; a text under ``shingle`` words is one shingle, a blank one has none."""
+
+    def grams(w: Column) -> Column:
+        each = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(shingle)]))
+        return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - F.lit(shingle), F.lit(0))), each)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words(text), grams)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``ALIKE`` or more."""
+    top, low = ALIKE
+    if min(len(a), len(b)) * low < max(len(a), len(b)) * top:
+        return False
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared * low >= (len(both) - shared) * top
+
+
+class _SetCell:
+    """Members of a cell with their shingle sets, joined as far as their sets are alike."""
+
+    def __init__(self, radius: int):
+        self.radius, self.parts, self.rows = radius, [], None
+
+    def _met(self, group: int, row: np.ndarray, set_: np.ndarray, end: int) -> Iterator[int]:
+        """One member alike of each set of joined members, among the first ``end``."""
+        far = np.bitwise_count(self.rows[:end] ^ row).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero((self.groups[:end] == group) & (far <= self.radius))
+        while len(near):
+            at = int(near[0])
+            if _alike(self.sets[at], set_):
+                near = near[self.label[near] != self.label[at]]
+                yield at
+            else:
+                near = near[1:]
+
+    def build(self) -> Iterator[tuple[int, int]]:
+        self.groups, self.reps, self.rows = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        self.sets = [x for p in self.parts for x in p[3]]
+        self.parts, self.label = [], np.arange(len(self.reps))
+        for i in range(len(self.reps)):
+            for at in list(self._met(self.groups[i], self.rows[i], self.sets[i], i)):
+                yield int(self.reps[at]), int(self.reps[i])
+                self.label[self.label == self.label[at]] = i
+
+    def probe(self, groups, reps, rows, sets) -> Iterator[tuple[int, int]]:
+        for i in range(len(reps)):
+            for at in self._met(groups[i], rows[i], sets[i], len(self.reps)):
+                yield int(self.reps[at]), int(reps[i])
+
+
+def _verifier(n_words: int, radius: int):
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pairs):
+            pairs = list(pairs)
+            if pairs:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], schema=schema)
+
+        cell, at = None, None
+        for batch in batches:
+            cells, query, group, rep = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "query", "group", "rep"))
+            rows = np.stack([batch.column(_name(i)).to_numpy(zero_copy_only=False) for i in range(n_words)], axis=1).view(np.uint64)
+            lists = batch.column("shingles")
+            values, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            tags = cells.astype(np.int64) * 2 + query
+            edges = np.r_[0, np.flatnonzero(tags[1:] != tags[:-1]) + 1, len(tags)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                part = (group[lo:hi].copy(), rep[lo:hi].copy(), rows[lo:hi], [values[cuts[i] : cuts[i + 1]].copy() for i in range(lo, hi)])
+                if at != cells[lo]:
+                    if cell is not None and cell.rows is None:
+                        yield from out(cell.build())
+                    cell, at = _SetCell(radius), cells[lo]
+                if query[lo]:
+                    if cell.rows is None:
+                        yield from out(cell.build())
+                    yield from out(cell.probe(*part))
+                else:
+                    cell.parts.append(part)
+        if cell is not None and cell.rows is None:
+            yield from out(cell.build())
+
+    return run
+
+
+def _group_router(cells: list[tuple[int, int, int]]):
+    """Members to their own cell and, as queries, to the other cells that have members of their group. Of two cells one asks the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, group = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "group"))
+            yield batch.append_column("query", pa.array(np.zeros(len(own), np.int32)))
+            for cell, low, high in cells:
+                asks = (own < cell) == ((own + cell) % 2 == 0)
+                go = np.flatnonzero(asks & (own != cell) & (group >= low) & (group <= high))
+                if len(go):
+                    sent = batch.take(pa.array(go)).append_column("query", pa.array(np.ones(len(go), np.int32)))
+                    yield sent.set_column(sent.schema.get_field_index("cell"), "cell", pa.array(np.full(len(go), cell, np.int32)))
+
+    return run
+
+
+def verified_links(near: DataFrame, n_words: int, radius: int, cells: int = 64, least: int = 512) -> DataFrame:
+    """A spanning set of links (src, dst: values of ``rep``) between sets alike, among those of one group within ``radius`` bits.
+
+    ``near``: a written table of group (long), rep (long), w0.. and shingles. Cells
+    are ranges of groups, a large group is cut by Gray rank; no task holds more than
+    one cell, and pairs already joined through others are not compared.
+    """
+    spark = near.sparkSession
+    parts = max(1, min(cells, -(-near.count() // least)))
+    names = [_name(i) for i in range(n_words)]
+    ranged = near.withColumn("_rank", gray_rank(F.col(_name(0)))).repartitionByRange(parts, "group", "_rank")
+    placed = write_table(ranged.select(F.spark_partition_id().alias("cell"), "group", "rep", *names, "shingles"), "sets")
+    ends = [(r["cell"], r["low"], r["high"]) for r in placed.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).collect()]
+    fields = ", ".join(["cell int, group long, rep long", *[f"{n} long" for n in names], "shingles array<long>, query int"])
+    routed = placed.mapInArrow(_group_router(ends), fields)
+    dealt = routed.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell").sortWithinPartitions("cell", "query")
+    return dealt.mapInArrow(_verifier(n_words, radius), "src long, dst long").where("src <> dst")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
-    """doc_id and component_id of every row, where documents alike in 0.8 or more of their five-word shingles are linked."""
-    found = near_duplicates(docs, shingle=5, n_words=4, radius=COPY_BITS, id_col=id_col, text_col=text_col, prefix_share=0.125, **index)
-    return found.select("doc_id", "component_id")
+    """doc_id and component_id of every row, where documents with a Jaccard similarity of 0.8 or more of their five-word shingles are linked.
+
+    Fingerprints (of the different shingles, each once) only propose pairs, at ``COPY_BITS``
+    or fewer differing bits; the shingles of documents that have such a neighbour decide.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    two = (F.xxhash64("shingles").alias("s0"), F.xxhash64("shingles", F.lit(1)).alias("s1"))
+    sets = texts.select("doc_id", F.monotonically_increasing_id().alias("_row"), shingle_sets(F.col("_text"), 5).alias("shingles"))
+    hashed = sets.select("doc_id", "_row", *two, "shingles").select("doc_id", "_row", "s0", "s1", F.explode_outer("shingles").alias("_h0"))
+    marks = write_table(_summed(hashed, 4, "s0", "s1"), "marks")
+    names = [_name(i) for i in range(4)]
+    nodes = write_table(marks.groupBy("s0", "s1", *names).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "nodes")
+    prints = write_table(nodes.groupBy(*names).agg(F.min("rep").alias("print"), F.count(F.lit(1)).alias("n")), "prints")
+    loose = near_links(prints.select(F.col("print").alias("rep"), *names), 4, COPY_BITS, prefix_share=0.125, **index)
+    groups = write_table(connected_components(loose), "groups")
+    grouped = prints.join(groups, prints["print"] == groups["node"], "left").where("node is not null or n > 1").select(*names, F.coalesce("component", "print").alias("group"))
+    wanted = write_table(nodes.join(grouped, names), "wanted")
+    told = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("group", "rep", *names, "s0", "s1", shingle_sets(F.col("_text"), 5).alias("shingles"))
+    near = write_table(told.where((F.col("s0") == two[0]) & (F.col("s1") == two[1])).select("group", "rep", *names, "shingles"), "near")
+    found = write_table(connected_components(verified_links(near, 4, COPY_BITS)), "components")
+    known = write_table(nodes.join(found, nodes["rep"] == found["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id")), "known")
+    return marks.join(known, ["s0", "s1"], "left").select("doc_id", "component_id")

@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from boxloom.llm.simhash import near_duplicates
+from boxloom.llm import simhash
+from boxloom.llm.simhash import near_copies, near_duplicates
 
 SCHEMA = "doc_id long, text string"
 
@@ -82,3 +83,65 @@ def test_defined_cases(spark):
     df = df.withColumn("component_id", F.lit("clash")).withColumn("_row", F.lit(0)).withColumn("w0", F.lit("x"))
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in near_duplicates(df).collect())
     assert got == [(0, 5), (5, 5), (5, 5), (7, 7)]
+
+
+def _jaccard_labels(texts):
+    sets = []
+    for text in texts:
+        words = text.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def _pairs(rng, shares, words=120):
+    """For each share, a text and one whose last words differ, so that about that share of the shingles is common."""
+    texts = []
+    for share in shares:
+        one = [f"w{rng.integers(10**9)}" for _ in range(words)]
+        keep = round((words - 4) * 2 * share / (1 + share)) + 4
+        texts += [" ".join(one), " ".join(one[:keep] + [f"v{rng.integers(10**9)}" for _ in range(words - keep)])]
+    return texts
+
+
+def test_copies_are_alike_on_both_sides(spark):
+    rng = np.random.default_rng(5)
+    # short texts: four shingles against five have a similarity of 0.8
+    short = [" ".join(f"s{rng.integers(10**9)}" for _ in range(9)) for _ in range(60)]
+    texts = _pairs(rng, [0.8, 0.81, 0.82, 0.83] * 40 + [0.7, 0.75, 0.78, 0.79] * 40) + [x for t in short for x in (t, t.rsplit(" ", 1)[0])]
+    # one shingle repeated counts once
+    lead = " ".join(f"r{i}" for i in range(60))
+    texts += [lead, lead + " same same same same same" + " same" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(df).collect()}
+    want = dict(enumerate(_jaccard_labels(texts)))
+    wrong = [i for i in want if got[i] < want[i]]
+    assert wrong == []  # nothing below 0.8 is linked
+    lost = sum(got[i] != want[i] for i in want)
+    assert lost <= 30
+
+
+def test_large_group_is_cut_over_cells(spark):
+    rng = np.random.default_rng(6)
+    lead = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(80):
+        words = list(lead)
+        for at in rng.integers(200, size=4):
+            words[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    texts += _pairs(rng, [0.9, 0.6] * 10)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    monkey = simhash.verified_links
+    try:
+        simhash.verified_links = lambda near, n_words, radius: monkey(near, n_words, radius, least=8)
+        got = {r["doc_id"]: r["component_id"] for r in near_copies(df, least=8).collect()}
+    finally:
+        simhash.verified_links = monkey
+    assert got == dict(enumerate(_jaccard_labels(texts)))
