@@ -13,12 +13,13 @@
 4. Links leave a cell as a spanning forest, never as all pairs; components come
    from :func:`boxloom.operators.graph.connected_components`.
 
-Fingerprints of several words are searched once per word, each time in that
-word's own Gray order, where a node is left once its differences in the word's
-first bits (as many as the index is deep) exceed ``prefix_share`` of them; the
-distance over all words decides. With one word and ``prefix_share`` unset the
-search is exact. :func:`near_copies` sets four words; there the index only
-proposes pairs, and the exact similarity of their shingles decides.
+Fingerprints of several words are searched in the Gray order of the first, and
+the distance over all words decides. The search is exact at every size of the
+table. Where the radius reaches the bits of a word no node can be left, and all
+pairs of fingerprints are compared, block by block: the time then grows with the
+square of their number. :func:`near_copies` is of this kind (72 of 256 bits);
+there the index only proposes pairs, and the exact similarity of their shingles
+decides.
 
 Defined results: null and blank texts have the zero fingerprint and link like
 any other; rows that repeat a doc_id stay separate rows; a null doc_id gets a
@@ -28,7 +29,6 @@ columns of the input are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +41,7 @@ from boxloom.operators.graph import connected_components
 from boxloom.runtime import write_table
 
 FANOUT = 16
+_BLOCK = 1 << 19
 _HALVES = 0x0000000100000001
 
 
@@ -104,35 +105,50 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """The hierarchical index of one cell. ``keys``: the searched words; ``rows``: all words, one column each."""
 
-    def __init__(self, keys: np.ndarray, rows: np.ndarray, prefix: int, prefix_radius: int, radius: int):
+    def __init__(self, keys: np.ndarray, rows: np.ndarray, radius: int):
         order = np.argsort(_ranks(keys), kind="stable")
         self.order, self.keys, self.rows = order, keys[order], rows[order]
-        self.prefix, self.prefix_radius, self.radius = np.uint64(prefix), prefix_radius, radius
+        self.radius = radius
         both, any_ = self.keys, self.keys
         self.levels = []  # (shared pattern, mask of shared bits), leaves' parents first
         while len(both) > FANOUT or not self.levels:
             cuts = np.arange(0, len(both), FANOUT)
             both, any_ = np.bitwise_and.reduceat(both, cuts), np.bitwise_or.reduceat(any_, cuts)
             mask = ~(both ^ any_)
-            self.levels.append((both & mask, mask & self.prefix))
+            self.levels.append((both & mask, mask))
 
     def search(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (place in ``keys``, place in this index) within the radius."""
+        if self.radius >= 64:
+            return self._search_all(rows)
         top = len(self.levels[-1][0])
         who, node = np.repeat(np.arange(len(keys)), top), np.tile(np.arange(top), len(keys))
         for depth in range(len(self.levels) - 1, -1, -1):
             pattern, mask = self.levels[depth]
             below = len(self.levels[depth - 1][0]) if depth else len(self.keys)
-            keep = np.bitwise_count((keys[who] ^ pattern[node]) & mask[node]) <= self.prefix_radius
+            keep = np.bitwise_count((keys[who] ^ pattern[node]) & mask[node]) <= self.radius
             who, node = np.repeat(who[keep], FANOUT), (node[keep][:, None] * FANOUT + np.arange(FANOUT)).ravel()
             inside = node < below
             who, node = who[inside], node[inside]
-        keep = np.bitwise_count((keys[who] ^ self.keys[node]) & self.prefix) <= self.prefix_radius
-        who, node = who[keep], node[keep]
         far = np.bitwise_count(rows[who] ^ self.rows[node]).sum(axis=1, dtype=np.int64)
         keep = far <= self.radius
         return who[keep], node[keep]
 
+    def _search_all(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without the nodes, in blocks of ``_BLOCK`` comparisons."""
+        columns, found = [np.ascontiguousarray(c) for c in self.rows.T], []
+        step = max(1, _BLOCK // len(self.rows))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            # three words first: their counts fit a byte, and few pairs are left for the others
+            far = np.bitwise_count(part[:, 0, None] ^ columns[0])
+            for i in range(1, min(3, len(columns))):
+                far += np.bitwise_count(part[:, i, None] ^ columns[i])
+            who, node = np.nonzero(far <= self.radius)
+            whole = np.bitwise_count(part[who] ^ self.rows[node]).sum(axis=1, dtype=np.int64)
+            found.append((who[whole <= self.radius] + at, node[whole <= self.radius]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the sets of a[i] and b[i] in place; roots are the smallest places."""
@@ -151,15 +167,15 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 class _Cell:
     """Members of the cell being read, then the searches against them."""
 
-    def __init__(self, limits: tuple[int, int, int], chunk: int):
-        self.limits, self.chunk = limits, chunk
+    def __init__(self, radius: int, chunk: int):
+        self.radius, self.chunk = radius, chunk
         self.parts: list[tuple] = []
         self.index: GrayIndex | None = None
 
     def build(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         keys, reps, rows = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts = []
-        self.index = GrayIndex(keys, rows, *self.limits)
+        self.index = GrayIndex(keys, rows, self.radius)
         self.reps, self.parent = reps[self.index.order], np.arange(len(keys))
         for at in range(0, len(keys), self.chunk):
             who, node = self.index.search(self.index.keys[at : at + self.chunk], self.index.rows[at : at + self.chunk])
@@ -189,7 +205,7 @@ class _Cell:
             yield self.reps[moved], self.reps[root[moved]]
 
 
-def _searcher(n_words: int, limits: tuple[int, int, int], chunk: int):
+def _searcher(n_words: int, radius: int, chunk: int):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,22 +215,22 @@ def _searcher(n_words: int, limits: tuple[int, int, int], chunk: int):
 
         cell, at = None, None
         for batch in batches:
-            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("ord", "cell", "query", "rep")}
+            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "query", "rep")}
             words_ = np.stack([batch.column(_name(i)).to_numpy(zero_copy_only=False) for i in range(n_words)], axis=1).view(np.uint64)
-            tags = (cols["ord"].astype(np.int64) << 33) | (cols["cell"].astype(np.int64) << 1) | cols["query"]
+            tags = (cols["cell"].astype(np.int64) << 1) | cols["query"]
             edges = np.r_[0, np.flatnonzero(tags[1:] != tags[:-1]) + 1, len(tags)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if lo == hi:
                     continue
-                tag, order = int(tags[lo]), int(cols["ord"][lo])
+                tag = int(tags[lo])
                 rows = words_[lo:hi]
-                part = (rows[:, order].copy(), cols["rep"][lo:hi], rows)
+                part = (rows[:, 0].copy(), cols["rep"][lo:hi], rows)
                 if at is None or tag >> 1 != at:
                     if cell is not None:
                         if cell.index is None:
                             cell.build()
                         yield from out(cell.finish())
-                    cell, at = _Cell(limits, chunk), tag >> 1
+                    cell, at = _Cell(radius, chunk), tag >> 1
                 if tag & 1:
                     if cell.index is None:
                         cell.build()
@@ -229,62 +245,52 @@ def _searcher(n_words: int, limits: tuple[int, int, int], chunk: int):
     return run
 
 
-def _router(n_words: int, cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], prefix: int, prefix_radius: int):
+def _router(cells: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int):
     """Members to their own cell and, as queries, to the other cells whose shared pattern is near enough. Of two cells one asks the other."""
-    mask_all = np.uint64(prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("cell").to_numpy(zero_copy_only=False)
-            order = batch.column("ord").to_numpy(zero_copy_only=False)
             yield batch.append_column("query", pa.array(np.zeros(len(own), np.int32)))
-            for o, (ids, pattern, mask) in cells.items():
-                picked = np.flatnonzero(order == o)
-                keys = batch.column(_name(o)).to_numpy(zero_copy_only=False)[picked].view(np.uint64)
-                for cell, p, m in zip(ids, pattern, mask, strict=True):
-                    asks = (own[picked] < cell) == ((own[picked] + cell) % 2 == 0)
-                    near = np.bitwise_count((keys ^ p) & m & mask_all) <= prefix_radius
-                    go = picked[asks & near & (own[picked] != cell)]
-                    if len(go):
-                        sent = batch.take(pa.array(go)).append_column("query", pa.array(np.ones(len(go), np.int32)))
-                        yield sent.set_column(sent.schema.get_field_index("cell"), "cell", pa.array(np.full(len(go), cell, np.int32)))
+            keys = batch.column(_name(0)).to_numpy(zero_copy_only=False).view(np.uint64)
+            for cell, p, m in zip(*cells, strict=True):
+                asks = (own < cell) == ((own + cell) % 2 == 0)
+                near = np.bitwise_count((keys ^ p) & m) <= radius
+                go = np.flatnonzero(asks & near & (own != cell))
+                if len(go):
+                    sent = batch.take(pa.array(go)).append_column("query", pa.array(np.ones(len(go), np.int32)))
+                    yield sent.set_column(sent.schema.get_field_index("cell"), "cell", pa.array(np.full(len(go), cell, np.int32)))
 
     return run
 
 
-def near_links(distinct: DataFrame, n_words: int, radius: int, prefix_share: float | None = None, cells: int = 64, least: int = 2048, chunk: int = 2048) -> DataFrame:
+def _merged(placed: DataFrame, parts: int) -> DataFrame:
+    """Neighbouring cells made one, so that there are ``parts`` at most: Spark may have made more ranges than it was asked for."""
+    made = (placed.agg(F.max("cell")).first()[0] or 0) + 1
+    return placed.withColumn("cell", F.floor(F.col("cell") * F.lit(parts) / F.lit(made)).cast("int")) if made > parts else placed
+
+
+def near_links(distinct: DataFrame, n_words: int, radius: int, cells: int = 64, least: int = 2048, chunk: int = 2048) -> DataFrame:
     """A spanning set of links (src, dst: values of ``rep``) between fingerprints within ``radius``.
 
     ``distinct``: a written table of rep (long) and w0..; each fingerprint once.
-    ``cells``: cells an order at most, whose patterns are the only thing sent to
-    every task (24 bytes a cell); a cell holds ``least`` fingerprints or more.
+    ``cells``: cells at most, whose patterns are the only thing sent to every
+    task (24 bytes a cell); a cell holds ``least`` fingerprints or more.
     """
     spark = distinct.sparkSession
-    total = distinct.count()
-    parts = max(1, min(cells, -(-total // least)))
-    bits = 64 if prefix_share is None else min(32, max(16, total.bit_length()))
-    prefix = ((1 << bits) - 1) << (64 - bits)
-    limit = radius if prefix_share is None else math.ceil(bits * prefix_share)
-    placed = []
-    for o in range(n_words):
-        ranged = distinct.withColumn("_rank", gray_rank(F.col(_name(o)))).repartitionByRange(parts, "_rank")
-        placed.append(ranged.select(F.lit(o).alias("ord"), F.spark_partition_id().alias("cell"), "rep", *[_name(i) for i in range(n_words)]))
-    table = placed[0]
-    written = [write_table(x, "cells") for x in placed]
-    table = written[0]
-    for x in written[1:]:
-        table = table.unionByName(x)
-    shared: dict[int, tuple] = {}
-    for o, x in enumerate(written):
-        rows = x.groupBy("cell").agg(F.bit_and(_name(o)).alias("both"), F.bit_or(_name(o)).alias("any")).collect()
-        both = np.array([r["both"] for r in rows], np.int64).view(np.uint64)
-        any_ = np.array([r["any"] for r in rows], np.int64).view(np.uint64)
-        mask = ~(both ^ any_)
-        shared[o] = (np.array([r["cell"] for r in rows], np.int32), both & mask, mask)
-    fields = ", ".join(["ord int, cell int, rep long", *[f"{_name(i)} long" for i in range(n_words)], "query int"])
-    routed = table.mapInArrow(_router(n_words, shared, prefix, limit), fields)
-    dealt = routed.repartition(max(len(written) * parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "ord", "cell").sortWithinPartitions("ord", "cell", "query")
-    return dealt.mapInArrow(_searcher(n_words, (prefix, limit, radius), chunk), "src long, dst long")
+    parts = max(1, min(cells, -(-distinct.count() // least)))
+    names = [_name(i) for i in range(n_words)]
+    ranged = distinct.withColumn("_rank", gray_rank(F.col(_name(0)))).repartitionByRange(parts, "_rank")
+    placed = _merged(write_table(ranged.select(F.spark_partition_id().alias("cell"), "rep", *names), "cells"), parts)
+    rows = placed.groupBy("cell").agg(F.bit_and(_name(0)).alias("both"), F.bit_or(_name(0)).alias("any")).collect()
+    both = np.array([r["both"] for r in rows], np.int64).view(np.uint64)
+    any_ = np.array([r["any"] for r in rows], np.int64).view(np.uint64)
+    mask = ~(both ^ any_)
+    shared = (np.array([r["cell"] for r in rows], np.int32), both & mask, mask)
+    fields = ", ".join(["cell int, rep long", *[f"{n} long" for n in names], "query int"])
+    routed = placed.mapInArrow(_router(shared, radius), fields)
+    dealt = routed.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell").sortWithinPartitions("cell", "query")
+    return dealt.mapInArrow(_searcher(n_words, radius, chunk), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
@@ -427,7 +433,7 @@ def verified_links(near: DataFrame, n_words: int, radius: int, cells: int = 64,
     parts = max(1, min(cells, -(-near.count() // least)))
     names = [_name(i) for i in range(n_words)]
     ranged = near.withColumn("_rank", gray_rank(F.col(_name(0)))).repartitionByRange(parts, "group", "_rank")
-    placed = write_table(ranged.select(F.spark_partition_id().alias("cell"), "group", "rep", *names, "shingles"), "sets")
+    placed = _merged(write_table(ranged.select(F.spark_partition_id().alias("cell"), "group", "rep", *names, "shingles"), "sets"), parts)
     ends = [(r["cell"], r["low"], r["high"]) for r in placed.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).collect()]
     fields = ", ".join(["cell int, group long, rep long", *[f"{n} long" for n in names], "shingles array<long>, query int"])
     routed = placed.mapInArrow(_group_router(ends), fields)
@@ -449,12 +455,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [_name(i) for i in range(4)]
     nodes = write_table(marks.groupBy("s0", "s1", *names).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "nodes")
     prints = write_table(nodes.groupBy(*names).agg(F.min("rep").alias("print"), F.count(F.lit(1)).alias("n")), "prints")
-    loose = near_links(prints.select(F.col("print").alias("rep"), *names), 4, COPY_BITS, prefix_share=0.125, **index)
+    loose = near_links(prints.select(F.col("print").alias("rep"), *names), 4, COPY_BITS, **{"cells": 16, **index})
     groups = write_table(connected_components(loose), "groups")
     grouped = prints.join(groups, prints["print"] == groups["node"], "left").where("node is not null or n > 1").select(*names, F.coalesce("component", "print").alias("group"))
     wanted = write_table(nodes.join(grouped, names), "wanted")
-    told = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("group", "rep", *names, "s0", "s1", shingle_sets(F.col("_text"), 5).alias("shingles"))
-    near = write_table(told.where((F.col("s0") == two[0]) & (F.col("s1") == two[1])).select("group", "rep", *names, "shingles"), "near")
+    # rows of the same doc_id and another text get null: told only when read again, as the sets would be made twice for a filter here
+    same = lambda x: F.when((F.col("s0") == F.xxhash64(x)) & (F.col("s1") == F.xxhash64(x, F.lit(1))), x)
+    told = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("group", "rep", *names, let(shingle_sets(F.col("_text"), 5), same).alias("shingles"))
+    near = write_table(told, "near").where("shingles is not null")
     found = write_table(connected_components(verified_links(near, 4, COPY_BITS)), "components")
     known = write_table(nodes.join(found, nodes["rep"] == found["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id")), "known")
     return marks.join(known, ["s0", "s1"], "left").select("doc_id", "component_id")
