@@ -5,7 +5,8 @@ A conversation's log holds events by sequence number, each for one turn:
 * ``message`` sets the turn's text (and role),
 * ``delta`` appends to it,
 * ``edit`` replaces it and voids what later turns said before the edit,
-* ``regenerate`` empties it for a new stream and voids later turns alike.
+* ``regenerate`` empties it for a new stream and voids later turns alike,
+* ``row`` is a turn of its own, even beside others of the same number.
 
 The log is dealt by conversation, sorted by turn and sequence number, and folded
 as it streams by: whether an event is void depends only on the latest edit of
@@ -20,7 +21,7 @@ feed in a role becomes ``\\n``. The loss mask has the places of the assistants'
 texts in the formatted conversation.
 
 Defined results: a null text or role counts as empty; null turns and sequence
-numbers sort first; equal ones are taken by kind, role and text; a null
+numbers sort first, but the null turns of ``row`` events last; equal ones are taken by kind, role and text; a null
 conversation is one of its own; a turn whose events are all void is left out;
 an unknown kind counts as ``message``; an empty log gives no rows.
 """
@@ -60,10 +61,10 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{END}\n", len(head), len(head) + len(body)
 
 
-def events(messages: DataFrame) -> DataFrame:
-    """A log with one message event a row of (conv_id, turn, role, text)."""
+def events(messages: DataFrame, kind: str = "message") -> DataFrame:
+    """A log with one event a row of (conv_id, turn, role, text). Of ``message`` events a turn's last replaces the others; ``row`` keeps every row."""
     turn = F.col("turn").cast("long")
-    return messages.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), turn.alias("seq"), F.lit("message").alias("kind"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    return messages.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), turn.alias("seq"), F.lit(kind).alias("kind"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -81,7 +82,7 @@ def _finals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int
     cut_before = cut_here = None  # the latest edit of the turns before, and of this one
     for batch in batches:
         for c, t, seq, kind, who, text in zip(*(batch.column(n).to_pylist() for n in EVENTS), strict=True):
-            if c != conv or t != turn:
+            if c != conv or t != turn or kind == "row":
                 if alive:
                     yield conv, turn, role, "".join(parts)
                 if c != conv:
@@ -127,7 +128,7 @@ def format_log(log: DataFrame) -> DataFrame:
     formatted text is their ``formatted`` joined.
     """
     dealt = log.select(*EVENTS).repartition("conv_id")
-    return dealt.sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text").mapInArrow(_formatter, TURNS)
+    return dealt.sortWithinPartitions("conv_id", F.col("turn").isNull() & (F.coalesce("kind", F.lit("")) == "row"), "turn", "seq", "kind", "role", "text").mapInArrow(_formatter, TURNS)
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)

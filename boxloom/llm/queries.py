@@ -50,7 +50,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_log(chat.events(told.unionByName(more))))
+    return chat.read_back(chat.format_log(chat.events(told.unionByName(more), "row")))
 
 
 OP6 = r"""

@@ -59,3 +59,16 @@ def test_digests(spark):
     assert chat.read_back(chat.format_log(chat.events(df.limit(0)))).collect() == []
     with pytest.raises(ValueError):
         chat.parse("<|im_start|>user\nhi<|im_end|>\n<|im_start|>x")
+
+
+def test_query_keeps_rows_that_tie(spark, tmp_path):
+    from boxloom.llm import queries
+
+    rows = [(1, 0, "assistant", "b"), (1, 0, "assistant", "aa"), (1, 1, "user", "x"), (1, 1, "user", "x"), (2, None, "assistant", "late"), (2, None, "assistant", "latest"), (2, 0, "user", "first"), (None, None, None, None), (None, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in queries.op6_chat(spark, str(tmp_path)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert {c: r["n_turns"] for c, r in got.items()} == {1: 4, 2: 3, None: 2, -1: 2}
+    assert got[1]["loss_chars"] == 3 and got[1]["loss_sha256"] == sha("aab")
+    assert got[1]["turns_sha256"] == sha("assistant\naa\nassistant\nb\nuser\nx\nuser\nx\n")
+    assert got[2]["turns_sha256"] == sha("user\nfirst\nassistant\nlate\nassistant\nlatest\n")
