@@ -65,3 +65,18 @@ def test_redaction(spark):
     assert out.columns == df.columns
     assert [r["text"] for r in out.orderBy("doc_id").collect()] == [None, "", "clean", "a [SECRET] b", "[SECRET] end", "[SECRET]"]
     assert secrets.redact(df.limit(0)).collect() == [] and secrets.scan(df.limit(0)).collect() == []
+
+
+def test_encodings_at_a_low_share(spark):
+    rng = random.Random(5)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    base32, base36 = secrets.ALPHABETS["base32"], secrets.ALPHABETS["base36"]
+    hidden = [f"see {x} here" for _ in range(10) for x in (made(base32, 32), made(base32, 64), made(base36, 32), made(base36, 25), made("0123456789abcdef", rng.randrange(20, 32)), made("0123456789ABCDEF", 24))]
+    words = "international chain hyphen ordinary document palabras siempre Zeitung jamais quelque report Section table number value pizza jazz".split()
+    clean = []
+    for i in range(6000):
+        some = [rng.choice(words) for _ in range(4)]
+        clean.append(["".join(some), "-".join(some), "/".join(some), "_".join(some).upper(), "".join(w.title() for w in some), made("0123456789", 24)][i % 6])
+    got = scanned(spark, hidden + [f"an {w} word" for w in clean])
+    assert sum(bool(got[i][1]) for i in range(len(hidden))) >= 0.9 * len(hidden)
+    assert sum(bool(got[i][1]) for i in range(len(hidden), len(got))) <= 1
