@@ -6,9 +6,16 @@ is replaced by another of its kind. The replacement is a keyed *permutation* of
 all entities of one format: a Feistel network whose rounds shift one half of the
 text by a hash of the other half, each character inside its own class (digits,
 vowels and consonants of either case, Cyrillic and Greek letters of either
-case). So two entities never share a surrogate, one entity has the same one
-everywhere, and script, case, length and punctuation stay, without any table or
-join. What says the gender of a name stays as well: its title and last letter.
+case); then the first such character moves on by one, and the network is undone.
+So no text with such a character stays as it is, two entities never share a
+surrogate, one entity has the same one everywhere, and script, case, length and
+punctuation stay, without any table or join. What says the gender of a name
+stays as well: its title and last letter.
+
+The words of a name are permuted one by one, whatever its title, so that a name
+with and without the first name corresponds. So do telephone numbers with and
+without a country code and however they are spaced, as their digits alone are
+permuted; a country code not set off from the number counts to its digits.
 
 Kinds keep what makes them valid: octets stay octets (the network works on the
 32-bit number), card numbers keep their first digit and whether their check
@@ -16,8 +23,7 @@ digit holds, telephone numbers their country code, addresses their last domain
 label, accounts their country.
 
 :func:`collisions` checks distinctness over a corpus, from surrogates in fact
-made. An entity that the permutation leaves as it is takes the permutation of a
-second key.
+made.
 
 Native: JVM expressions only; nothing is shuffled.
 
@@ -60,11 +66,17 @@ def _hash(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.lit(p) if isinstance(p, str) else p for p in parts]), 256)
 
 
-def _shifted(text: Column, stream: Column) -> Column:
-    """Each character moved inside its class by two hex digits of the stream."""
+#: All letters of the classes, and each one's next.
+_EACH, _NEXT = "".join(CLASSES), "".join(k[1:] + k[0] for k in CLASSES)
+#: Rounds of a network, the step between, and the rounds undone.
+_STEPS = (1, 2, 3, 0, -3, -2, -1)
+
+
+def _shifted(text: Column, stream: Column, sign: Column) -> Column:
+    """Each character moved inside its class by two hex digits of the stream, forwards or (sign -1) back."""
 
     def one(c: Column, i: Column) -> Column:
-        by = F.conv(F.substring(stream, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        by = F.conv(F.substring(stream, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int") * sign
         class_ = F.coalesce(*[F.when(F.instr(F.lit(letters), c) > 0, letters) for letters in CLASSES], F.lit(""))
         moved = lambda k: F.substring(k, F.pmod(F.instr(k, c) - 1 + by, F.char_length(k)) + 1, F.lit(1))
         return let(class_, lambda k: F.when((c == "") | (k == ""), c).otherwise(moved(k)))
@@ -74,15 +86,21 @@ def _shifted(text: Column, stream: Column) -> Column:
 
 def permuted(text: Column, key: Column, tag: Column) -> Column:
     """The keyed permutation of texts of one format; ``tag`` picks the permutation and must itself be kept."""
-    half = F.floor(F.char_length(text) / 2).cast("int")
-    sides = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.char_length(text)).alias("b"))
+    def halves(whole: Column) -> Column:
+        half = F.floor(F.char_length(whole) / 2).cast("int")
+        return F.struct(F.substring(whole, F.lit(1), half).alias("a"), F.substring(whole, half + 1, F.char_length(whole)).alias("b"))
+
+    # what is moved keeps no place when moved between a network and its inverse: the result is a permutation as the step is, without fixed points
+    def between(whole: Column) -> Column:
+        part = lambda i: F.regexp_extract(whole, f"(?s)^([^{_EACH}]*)(.?)(.*)$", i)
+        return halves(F.concat(part(1), F.translate(part(2), _EACH, _NEXT), part(3)))
 
     # a round moves the second half by a hash of the first and swaps the two; after three they are swapped once too often
     def step(s: Column, n: Column) -> Column:
-        moved = let(_hash(key, tag, n.cast("string"), F.lower(s["a"])), lambda stream: _shifted(s["b"], stream))
-        return F.struct(moved.alias("a"), s["a"].alias("b"))
+        moved = let(_hash(key, tag, F.abs(n).cast("string"), F.lower(s["a"])), lambda stream: _shifted(s["b"], stream, F.signum(n).cast("int")))
+        return F.when(n == 0, let(F.concat(s["b"], s["a"]), between)).otherwise(F.struct(moved.alias("a"), s["a"].alias("b")))
 
-    return F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), sides, step, lambda s: F.concat(s["b"], s["a"]))
+    return F.aggregate(F.array(*[F.lit(n) for n in _STEPS]), halves(text), step, lambda s: F.concat(s["b"], s["a"]))
 
 
 def _ip(v: Column, key: Column) -> Column:
@@ -90,11 +108,12 @@ def _ip(v: Column, key: Column) -> Column:
     show = lambda x: F.concat_ws(".", F.shiftright(x, 8).cast("string"), x.bitwiseAND(F.lit(255)).cast("string"))
 
     def step(s: Column, n: Column) -> Column:
-        by = F.conv(F.substring(_hash(key, "ip", n.cast("string"), s["a"].cast("string")), 1, 4), 16, 10).cast("int")
-        return F.struct(s["b"].bitwiseXOR(by).alias("a"), s["a"].alias("b"))
+        by = F.conv(F.substring(_hash(key, "ip", F.abs(n).cast("string"), s["a"].cast("string")), 1, 4), 16, 10).cast("int")
+        between = F.struct(s["b"].alias("a"), s["a"].bitwiseXOR(F.lit(1)).alias("b"))
+        return F.when(n == 0, between).otherwise(F.struct(s["b"].bitwiseXOR(by).alias("a"), s["a"].alias("b")))
 
     sides = let(F.split(v, r"\."), lambda p: F.struct((part(p, 0) * 256 + part(p, 1)).alias("a"), (part(p, 2) * 256 + part(p, 3)).alias("b")))
-    return F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), sides, step, lambda s: F.concat_ws(".", show(s["b"]), show(s["a"])))
+    return F.aggregate(F.array(*[F.lit(n) for n in _STEPS]), sides, step, lambda s: F.concat_ws(".", show(s["b"]), show(s["a"])))
 
 
 def check_digit(body: Column) -> Column:
@@ -104,10 +123,10 @@ def check_digit(body: Column) -> Column:
     return F.pmod(-F.aggregate(doubled, F.lit(0), lambda s, x: s + x), F.lit(10))
 
 
-#: What a kind keeps before and after the part that is permuted. What is kept also picks the permutation.
+#: What a kind keeps before and after the part that is permuted. What is kept also picks the permutation, but for telephone numbers and names.
 KEPT = {
     "email": ("^", r"\.[A-Za-z]+$"), "iban": ("^[A-Z]{2}", "$"), "card": ("^[0-9]", "[0-9]$"), "ssn": ("^", "$"),
-    "phone": (r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", "$"), "name": (r"^\p{L}+\.? ", ".$"),
+    "phone": (r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", "$"), "name": (r"^\p{L}+\.? ", "$"),
 }
 
 
@@ -121,14 +140,31 @@ def _made(kind: Column, v: Column, key: Column) -> Column:
     def whole(h: Column) -> Column:
         head, tail = h["head"], h["tail"]
         body = F.substring(v, F.char_length(head) + 1, F.char_length(v) - F.char_length(head) - F.char_length(tail))
-        card = kind == KINDS.index("card")
-        tag = F.concat_ws("\x1f", kind.cast("string"), F.lower(head), F.when(~card, F.lower(tail)))
+        card, phone, name = (kind == KINDS.index(k) for k in ("card", "phone", "name"))
+        tag = F.concat_ws("\x1f", kind.cast("string"), F.when(~phone, F.lower(head)), F.when(~card, F.lower(tail)))
+        one = lambda text, tag: F.struct(text.alias("text"), tag.alias("tag"), F.lit("").alias("last"))
+
+        def of_name(w: Column) -> Column:
+            last = F.substring(w, -1, 1)
+            return F.struct(F.substring(w, F.lit(1), F.char_length(w) - 1).alias("text"), F.concat_ws("\x1f", kind.cast("string"), F.lower(last)).alias("tag"), last.alias("last"))
+
+        parts = F.when(name, F.transform(F.split(body, " "), of_name)).when(phone, F.array(one(F.regexp_replace(body, "[^0-9]", ""), tag))).otherwise(F.array(one(body, tag)))
+        made = F.array_join(F.transform(parts, lambda p: F.concat(permuted(p["text"], key, p["tag"]), p["last"])), " ")
+
+        def spaced(digits: Column) -> Column:
+            begin = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+
+            def step(acc: Column, c: Column) -> Column:
+                digit = c.between("0", "9")
+                return F.struct((acc["at"] + digit.cast("int")).alias("at"), F.concat(acc["out"], F.when(digit, F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"))
+
+            return F.aggregate(F.split(body, ""), begin, step, lambda acc: acc["out"])
 
         def ended(new: Column) -> Column:
             digit = F.pmod(check_digit(F.concat(head, new)) + tail.try_cast("int") - check_digit(F.concat(head, body)), F.lit(10))
             return F.concat(head, new, F.when(card, digit.cast("string")).otherwise(tail))
 
-        return let(permuted(body, key, tag), ended)
+        return let(let(made, lambda new: F.when(phone, spaced(new)).otherwise(new)), ended)
 
     return F.when(kind == KINDS.index("ip"), _ip(v, key)).otherwise(let(F.struct(by_kind(0).alias("head"), by_kind(1).alias("tail")), whole))
 
@@ -151,11 +187,8 @@ def entities(text: Column) -> Column:
 def with_surrogates(found: Column, key: str) -> Column:
     """The entities with their surrogates: array of (start, end, kind, value, surrogate)."""
 
-    keys = F.array(F.lit(key), F.lit(f"{key}\x1fagain"))
-
     def one(s: Column) -> Column:
-        offered = F.filter(F.transform(keys, lambda k: _made(s["kind"], s["value"], k)), lambda m: m != s["value"])
-        made = F.coalesce(F.get(offered, F.lit(0)), s["value"])
+        made = _made(s["kind"], s["value"], F.lit(key))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), made.alias("surrogate"))
 
     return F.transform(found, one)

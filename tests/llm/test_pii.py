@@ -59,3 +59,20 @@ def test_distinct_and_coreferent(spark):
     df = spark.createDataFrame([(0, " ".join(values))], SCHEMA)
     assert pii.collisions(pii.pseudonymize(df, "k")).collect() == []
     assert pii.pseudonymize(df.limit(0), "k").collect() == []
+
+
+def test_short_names_exhaustively(spark):
+    consonants, vowels = "BCDFGHJKLMNPQRSTVWXYZ", "aeiou"
+    names = [f"Mr. {c}{v}{last}" for c in consonants for v in vowels for last in "en"] + [f"Frau {c}o" for c in consonants] + [f"Mr. {a}o {b}i" for a in consonants for b in consonants]
+    for key in ("k", "boxloom surrogate key"):
+        _, found = run(spark, names, key)
+        made = [e[0][4] for e in found]
+        assert all(a != b for a, b in zip(made, names, strict=True)) and len(set(made)) == len(names)
+
+
+def test_one_entity_in_several_forms(spark):
+    _, found = run(spark, ["+1 555-123-4567 and (555) 123-4567 and 555.123.4567", "Mr. John Smith, Mr Smith", "10.0.0.1"])
+    digits = [re.sub("[^0-9]", "", e[4])[-10:] for e in found[0]]
+    assert len(digits) == 3 and len(set(digits)) == 1 and digits[0] != "5551234567"
+    assert found[0][0][4].startswith("+1 ")
+    assert found[1][0][4].split()[-1] == found[1][1][4].split()[-1] != "Smith"
