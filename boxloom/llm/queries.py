@@ -21,7 +21,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syncmers.with_edits(table(spark, sf_dir, "documents"))
+    return syncmers.with_edits(table(spark, sf_dir, "documents"), s=6)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,11 @@ def test_fingerprints_and_anchors(spark):
         places.setdefault(r["hash"], {})[r["doc_id"]] = r["pos"]
     moved = {p[2] - p[1] for p in places.values() if len(p) == 2}
     assert moved == {6}  # the shared passage's anchors stand at one offset
+
+
+def test_query_takes_s_of_six(spark):
+    from boxloom.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40).collect()
+    got = {r["doc_id"]: r["fingerprint"] for r in queries.op2_syncmers(spark, "/root/testdata/sf0.001").collect()}
+    assert all(got[r["doc_id"]] == show(brute(r["text"], s=6)) for r in docs)
