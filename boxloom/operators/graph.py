@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.runtime import write_table
+from boxloom.runtime import drop_tables, write_table
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Columns ``node`` and ``component`` (the smallest node reachable) for every node with an edge.
+    """Columns ``node`` and ``component`` (the smallest node reachable) for every node with an edge, as a written table.
 
     Null ends, loops and repeated edges are ignored; an empty input gives no rows.
     """
@@ -36,7 +36,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = write_table(both.where("b > a").join(low, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = write_table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        before, state = state, _digest(links)
+        done = write_table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop_tables(low, large, least, links)
+        links, before, state = done, state, _digest(done)
     members = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return members.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = write_table(members.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop_tables(links)
+    return found
