@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.tokens import encoder, slices
+from boxloom.llm.text import slices
+from boxloom.llm.tokens import encoder
 from boxloom.runtime import write_table
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"

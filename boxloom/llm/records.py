@@ -34,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm.tokens import encoder, slices
+from boxloom.llm.text import slices
+from boxloom.llm.tokens import encoder
 from boxloom.runtime import new_path, write_table
 
 MASK = 0xA282EAD8

@@ -1,47 +1,58 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-1. *Fingerprints* come from JVM expressions alone: words, word shingles, XXH64
-   and 32 sums a fingerprint word, each of which counts two bits in the two
-   halves of a long (a text has under 2**31 shingles, so no half overflows).
-2. *Index*: the different fingerprints are range-partitioned by Gray rank into
-   cells of like size. A cell knows the bits that all its members share; these
-   shared patterns are the upper nodes of the index. Inside a cell, blocks of 16
-   neighbours in Gray order form nodes, blocks of 16 nodes form the next level.
-3. *Search*: a fingerprint is sent to the cells whose pattern it can still meet
-   and descends there; a node is left with all below it once the differences
-   in the node's shared bits exceed the radius.
-4. Links leave a cell as a spanning forest, never as all pairs; components come
+1. *Fingerprints*. :func:`fingerprints` takes the majority of the shingles' hash
+   bits in JVM expressions alone: 32 sums, each of which counts two bits in the
+   two halves of a long (a text has under 2**31 shingles, so no half overflows).
+   :func:`copy_words` weighs the shingles, for the copy search below.
+2. *Orders*: the different fingerprints are sorted by Gray rank in several
+   orders of their bits. Two within the radius share the leading bits of one
+   order at least (:func:`orders`), so that what can meet stands together, in a
+   task of its own, and none is sent to places it can only miss. A row is copied
+   once an order, whatever the table's size.
+3. *Index*: among those that share the leading bits, 16 neighbours in Gray order
+   form a node that knows the bits shared by all of them, 16 nodes one of the
+   next level. A search leaves a node with all below it once the differences in
+   the node's shared bits exceed the radius.
+4. Links leave a task as a spanning forest, never as all pairs; components come
    from :func:`boxloom.operators.graph.connected_components`.
 
-Fingerprints of several words are searched in the Gray order of the first, and
-the distance over all words decides. The search is exact at every size of the
-table. Where the radius reaches the bits of a word no node can be left, and all
-pairs of fingerprints are compared, block by block: the time then grows with the
-square of their number. :func:`near_copies` is of this kind (72 of 256 bits);
-there the index only proposes pairs, and the exact similarity of their shingles
-decides.
+The search is exact at every size of the table: no candidate is capped, and
+no threshold follows the count. Fingerprints are different from each other, so a
+task holds no copies, and one has no more neighbours than the ball of its radius.
+
+:func:`near_copies` joins texts whose shingle sets have a Jaccard similarity of
+0.8. At that similarity plain SimHash words differ in 15 % of their bits, which
+no index can prune: a search of that radius meets every fingerprint. Its words
+weigh the shingles by heavy-tailed draws instead, so that near copies agree in
+whole words, within one bit; with six words a pair at just 0.8 is proposed with
+a chance of 0.998, whatever else the table holds. Proposed texts are compared by
+their sets, which alone decide; large groups by several tasks, in blocks.
 
 Defined results: null and blank texts have the zero fingerprint and link like
-any other; rows that repeat a doc_id stay separate rows; a null doc_id gets a
-fingerprint but is never a component's id; an empty table gives no rows; other
-columns of the input are not read.
+any other (in the copy search: are copies of each other); rows that repeat a
+doc_id stay separate rows; a null doc_id gets a fingerprint but is a component's
+id only where there is no other; an empty table gives no rows; other columns of
+the input are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.text import let, words
+from boxloom.llm.shingles import Sets, alike, mix, seeds, set_numbers, shingle_sets
+from boxloom.llm.text import slices, words
 from boxloom.operators.graph import connected_components
-from boxloom.runtime import write_table
+from boxloom.runtime import drop_tables, sized_broadcast, write_table
 
 FANOUT = 16
-_BLOCK = 1 << 19
+#: Comparisons made at once.
+BLOCK = 1 << 20
 _HALVES = 0x0000000100000001
 
 
@@ -49,8 +60,8 @@ def _name(i: int) -> str:
     return f"w{i}"
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint words w0.. (longs) of every row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the fingerprint w0 (a long) of every row of ``docs``."""
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.monotonically_increasing_id().alias("_row"),
@@ -60,28 +71,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, n_words: int = 1, id_col: st
     places = base.select("doc_id", "_row", "_words", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
     # get() is null beyond the end and concat_ws skips nulls: a shorter text is one shingle of all its words
     grams = places.select("doc_id", "_row", F.when(F.size("_words") > 0, F.concat_ws(" ", *[F.get("_words", F.col("_at") + i) for i in range(shingle)])).alias("_gram"))
-    hashed = grams.select("doc_id", "_row", F.when(F.col("_gram").isNotNull(), F.xxhash64("_gram")).alias("_h0"))
-    return _summed(hashed, n_words)
-
-
-def _summed(hashed: DataFrame, n_words: int, *kept: str) -> DataFrame:
-    """Fingerprints from rows of doc_id, _row and a shingle's hash _h0 (null: none). ``kept``: columns that depend on _row."""
-    # a fingerprint word has hashes of its own; a row each keeps the aggregate's loop small enough to be compiled
-    each = F.explode(F.array(*[F.lit(w) for w in range(n_words)])) if n_words > 1 else F.lit(0)
-    dealt = hashed.select("doc_id", "_row", *kept, "_h0", each.alias("_w"))
-    own = F.when(F.col("_w") == 0, F.col("_h0")).otherwise(F.xxhash64("_h0", "_w"))
-    told = dealt.select("doc_id", "_row", *kept, "_w", F.when(F.col("_h0").isNotNull(), own).alias("_h"))
+    hashed = grams.select("doc_id", "_row", F.when(F.col("_gram").isNotNull(), F.xxhash64("_gram")).alias("_h"))
     sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(_HALVES))).alias(f"_s{i}") for i in range(32)]
-    counted = told.groupBy("_row", "doc_id", *kept, "_w").agg(F.count("_h").alias("_n"), *sums)
+    counted = hashed.groupBy("_row", "doc_id").agg(F.count("_h").alias("_n"), *sums)
     word = F.lit(0).cast("long")
     for i in range(32):
         for count, bit in ((F.col(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i), (F.shiftrightunsigned(f"_s{i}", 32), i + 32)):
             value = (1 << bit) - (1 << 64 if bit == 63 else 0)
             word = word.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
-    if n_words == 1:
-        return counted.select("doc_id", *kept, word.alias(_name(0)))
-    wide = counted.select("_row", "doc_id", *kept, "_w", word.alias("_word")).groupBy("_row", "doc_id", *kept)
-    return wide.agg(*[F.max(F.when(F.col("_w") == w, F.col("_word"))).alias(_name(w)) for w in range(n_words)]).drop("_row")
+    return counted.select("doc_id", word.alias(_name(0)))
 
 
 def hex_digits(word: Column) -> Column:
@@ -95,21 +93,43 @@ def gray_rank(word: Column) -> Column:
     return word.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    keys = keys.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        keys ^= keys >> np.uint64(shift)
-    return keys
+def orders(radius: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The orders in which a search of ``radius`` sorts the bits: (leading bits, blocks as (lowest bit, width), first block leading).
+
+    The 64 bits are cut into radius + 2 blocks. Two fingerprints within the
+    radius agree wholly in two blocks at least, and each pair of blocks leads
+    one order: whatever is within the radius shares the leading bits somewhere.
+    """
+    n = radius + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    blocks = [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    out = []
+    for pair in combinations(range(n), 2):
+        led = [blocks[i] for i in pair]
+        out.append((sum(w for _, w in led), led + [b for i, b in enumerate(blocks) if i not in pair]))
+    return out
+
+
+def _reordered(word: Column, blocks: list[tuple[int, int]]) -> Column:
+    """``word`` with its blocks one after the other, the first on top."""
+    out, top = F.lit(0).cast("long"), 64
+    for low, width in blocks:
+        top -= width
+        part = F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(part, top))
+    return out
 
 
 class GrayIndex:
-    """The hierarchical index of one cell. ``keys``: the searched words; ``rows``: all words, one column each."""
+    """The hierarchical index of fingerprints in Gray order: ``FANOUT`` neighbours form a node, as many nodes one above.
+
+    A node knows the bits that all below it share. Keys are different from each
+    other, so that one has no more than a ball of the radius full of neighbours.
+    """
 
-    def __init__(self, keys: np.ndarray, rows: np.ndarray, radius: int):
-        order = np.argsort(_ranks(keys), kind="stable")
-        self.order, self.keys, self.rows = order, keys[order], rows[order]
-        self.radius = radius
-        both, any_ = self.keys, self.keys
+    def __init__(self, keys: np.ndarray, radius: int):
+        self.keys, self.radius = keys, radius
+        both, any_ = keys, keys
         self.levels = []  # (shared pattern, mask of shared bits), leaves' parents first
         while len(both) > FANOUT or not self.levels:
             cuts = np.arange(0, len(both), FANOUT)
@@ -117,38 +137,35 @@ class GrayIndex:
             mask = ~(both ^ any_)
             self.levels.append((both & mask, mask))
 
-    def search(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in ``keys``, place in this index) within the radius."""
-        if self.radius >= 64:
-            return self._search_all(rows)
+    def pairs(self, lo: int = 0, hi: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (a, b), a < b, of all pairs within the radius, in blocks; ``lo`` and ``hi`` bound a."""
+        todo = [(lo, len(self.keys) if hi is None else hi)]
+        while todo:
+            lo, hi = todo.pop()
+            found = self._descend(lo, hi)
+            if found is None:  # more than a block of nodes is met at once: fewer are sought at a time
+                middle = (lo + hi) // 2
+                todo += [(middle, hi), (lo, middle)]
+            elif len(found[0]):
+                yield found
+
+    def _descend(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray] | None:
+        n = hi - lo
         top = len(self.levels[-1][0])
-        who, node = np.repeat(np.arange(len(keys)), top), np.tile(np.arange(top), len(keys))
+        who, node = np.repeat(np.arange(lo, hi), top), np.tile(np.arange(top), n)
         for depth in range(len(self.levels) - 1, -1, -1):
             pattern, mask = self.levels[depth]
             below = len(self.levels[depth - 1][0]) if depth else len(self.keys)
-            keep = np.bitwise_count((keys[who] ^ pattern[node]) & mask[node]) <= self.radius
+            # differences in the bits a node shares add up on the way down; all below a node before ``who`` has asked already
+            keep = (np.bitwise_count((self.keys[who] ^ pattern[node]) & mask[node]) <= self.radius) & ((node + 1) * FANOUT ** (depth + 1) > who)
+            if n > 1 and np.count_nonzero(keep) * FANOUT > BLOCK:
+                return None
             who, node = np.repeat(who[keep], FANOUT), (node[keep][:, None] * FANOUT + np.arange(FANOUT)).ravel()
             inside = node < below
             who, node = who[inside], node[inside]
-        far = np.bitwise_count(rows[who] ^ self.rows[node]).sum(axis=1, dtype=np.int64)
-        keep = far <= self.radius
+        keep = (node > who) & (np.bitwise_count(self.keys[who] ^ self.keys[node]) <= self.radius)
         return who[keep], node[keep]
 
-    def _search_all(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same without the nodes, in blocks of ``_BLOCK`` comparisons."""
-        columns, found = [np.ascontiguousarray(c) for c in self.rows.T], []
-        step = max(1, _BLOCK // len(self.rows))
-        for at in range(0, len(rows), step):
-            part = rows[at : at + step]
-            # three words first: their counts fit a byte, and few pairs are left for the others
-            far = np.bitwise_count(part[:, 0, None] ^ columns[0])
-            for i in range(1, min(3, len(columns))):
-                far += np.bitwise_count(part[:, i, None] ^ columns[i])
-            who, node = np.nonzero(far <= self.radius)
-            whole = np.bitwise_count(part[who] ^ self.rows[node]).sum(axis=1, dtype=np.int64)
-            found.append((who[whole <= self.radius] + at, node[whole <= self.radius]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the sets of a[i] and b[i] in place; roots are the smallest places."""
@@ -164,305 +181,310 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-class _Cell:
-    """Members of the cell being read, then the searches against them."""
-
-    def __init__(self, radius: int, chunk: int):
-        self.radius, self.chunk = radius, chunk
-        self.parts: list[tuple] = []
-        self.index: GrayIndex | None = None
-
-    def build(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        keys, reps, rows = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts = []
-        self.index = GrayIndex(keys, rows, self.radius)
-        self.reps, self.parent = reps[self.index.order], np.arange(len(keys))
-        for at in range(0, len(keys), self.chunk):
-            who, node = self.index.search(self.index.keys[at : at + self.chunk], self.index.rows[at : at + self.chunk])
-            who = who + at
-            later = node > who
-            _union(self.parent, who[later], node[later])
-        return iter(())
-
-    def probe(self, keys: np.ndarray, reps: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in range(0, len(keys), self.chunk):
-            who, node = self.index.search(keys[at : at + self.chunk], rows[at : at + self.chunk])
-            if not len(who):
-                continue
-            order = np.argsort(who, kind="stable")
-            who, node = who[order], node[order]
-            first = np.r_[True, who[1:] != who[:-1]]
-            lead = node[first][np.cumsum(first) - 1]
-            _union(self.parent, lead, node)
-            yield reps[at + who[first]], self.reps[node[first]]
-
-    def finish(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        root = self.parent
-        while not np.array_equal(root, root[root]):
-            root = root[root]
-        moved = root != np.arange(len(root))
-        if moved.any():
-            yield self.reps[moved], self.reps[root[moved]]
-
-
-def _searcher(n_words: int, radius: int, chunk: int):
+def _forest(keys: np.ndarray, reps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what pairs within the radius join, one fewer than members at most."""
+    parent = np.arange(len(keys))
+    for a, b in GrayIndex(keys, radius).pairs():
+        _union(parent, a, b)
+    while not np.array_equal(parent, parent[parent]):
+        parent = parent[parent]
+    moved = parent != np.arange(len(parent))
+    return reps[moved], reps[parent[moved]]
+
+
+def _searcher(radius: int, leads: list[int]):
+    """Links of rows sorted by order and Gray rank, group by group of those that share the leading bits."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    shifts = np.array([64 - n for n in leads], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs):
-            for a, b in pairs:
+        def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(a):
                 yield pa.record_batch([pa.array(a), pa.array(b)], schema=schema)
 
-        cell, at = None, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the group that may go on in the next batch
+        at = None
         for batch in batches:
-            cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "query", "rep")}
-            words_ = np.stack([batch.column(_name(i)).to_numpy(zero_copy_only=False) for i in range(n_words)], axis=1).view(np.uint64)
-            tags = (cols["cell"].astype(np.int64) << 1) | cols["query"]
-            edges = np.r_[0, np.flatnonzero(tags[1:] != tags[:-1]) + 1, len(tags)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if lo == hi:
-                    continue
-                tag = int(tags[lo])
-                rows = words_[lo:hi]
-                part = (rows[:, 0].copy(), cols["rep"][lo:hi], rows)
-                if at is None or tag >> 1 != at:
-                    if cell is not None:
-                        if cell.index is None:
-                            cell.build()
-                        yield from out(cell.finish())
-                    cell, at = _Cell(radius, chunk), tag >> 1
-                if tag & 1:
-                    if cell.index is None:
-                        cell.build()
-                    yield from out(cell.probe(*part))
-                else:
-                    cell.parts.append(part)
-        if cell is not None:
-            if cell.index is None:
-                cell.build()
-            yield from out(cell.finish())
+            tag, rep = batch.column("tag").to_numpy(), batch.column("rep").to_numpy()
+            key = batch.column("key").to_numpy().view(np.uint64)
+            lead = key >> shifts[tag % len(shifts)] if leads[0] < 64 else key
+            edges = np.r_[0, np.flatnonzero((tag[1:] != tag[:-1]) | (lead[1:] != lead[:-1])) + 1, len(tag)]
+            sizes = np.diff(edges)
+            if held and (tag[0], lead[0]) != at:
+                yield from out(*_forest(*map(np.concatenate, zip(*held, strict=True)), radius))
+                held = []
+            for i in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) % max(len(sizes) - 1, 1) == 0)):
+                part = (key[edges[i] : edges[i + 1]].copy(), rep[edges[i] : edges[i + 1]].copy())
+                if i == 0 and held:
+                    part = tuple(map(np.concatenate, zip(*held, part, strict=True))) if len(sizes) > 1 else part
+                    held = held if len(sizes) == 1 else []
+                if i == len(sizes) - 1:
+                    held.append(part)
+                elif len(part[0]) > 1:
+                    yield from out(*_forest(*part, radius))
+            at = (tag[-1], lead[-1])
+        if held:
+            yield from out(*_forest(*map(np.concatenate, zip(*held, strict=True)), radius))
 
     return run
 
 
-def _router(cells: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int):
-    """Members to their own cell and, as queries, to the other cells whose shared pattern is near enough. Of two cells one asks the other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("cell").to_numpy(zero_copy_only=False)
-            yield batch.append_column("query", pa.array(np.zeros(len(own), np.int32)))
-            keys = batch.column(_name(0)).to_numpy(zero_copy_only=False).view(np.uint64)
-            for cell, p, m in zip(*cells, strict=True):
-                asks = (own < cell) == ((own + cell) % 2 == 0)
-                near = np.bitwise_count((keys ^ p) & m) <= radius
-                go = np.flatnonzero(asks & near & (own != cell))
-                if len(go):
-                    sent = batch.take(pa.array(go)).append_column("query", pa.array(np.ones(len(go), np.int32)))
-                    yield sent.set_column(sent.schema.get_field_index("cell"), "cell", pa.array(np.full(len(go), cell, np.int32)))
-
-    return run
+def near_links(distinct: DataFrame, radius: int, rows: int = 1 << 20) -> DataFrame:
+    """A spanning set of links (src, dst: values of ``rep``) between fingerprints within ``radius`` and of the same ``kind``.
 
-
-def _merged(placed: DataFrame, parts: int) -> DataFrame:
-    """Neighbouring cells made one, so that there are ``parts`` at most: Spark may have made more ranges than it was asked for."""
-    made = (placed.agg(F.max("cell")).first()[0] or 0) + 1
-    return placed.withColumn("cell", F.floor(F.col("cell") * F.lit(parts) / F.lit(made)).cast("int")) if made > parts else placed
-
-
-def near_links(distinct: DataFrame, n_words: int, radius: int, cells: int = 64, least: int = 2048, chunk: int = 2048) -> DataFrame:
-    """A spanning set of links (src, dst: values of ``rep``) between fingerprints within ``radius``.
-
-    ``distinct``: a written table of rep (long) and w0..; each fingerprint once.
-    ``cells``: cells at most, whose patterns are the only thing sent to every
-    task (24 bytes a cell); a cell holds ``least`` fingerprints or more.
+    ``distinct``: a written table of kind (int), rep (long) and key (long); each
+    key once a kind. Every key stands in all :func:`orders`; those that share
+    an order's leading bits meet in one task, sorted by Gray rank. A task gets
+    about ``rows`` of them, and holds one group of equal leading bits at a time.
     """
-    spark = distinct.sparkSession
-    parts = max(1, min(cells, -(-distinct.count() // least)))
-    names = [_name(i) for i in range(n_words)]
-    ranged = distinct.withColumn("_rank", gray_rank(F.col(_name(0)))).repartitionByRange(parts, "_rank")
-    placed = _merged(write_table(ranged.select(F.spark_partition_id().alias("cell"), "rep", *names), "cells"), parts)
-    rows = placed.groupBy("cell").agg(F.bit_and(_name(0)).alias("both"), F.bit_or(_name(0)).alias("any")).collect()
-    both = np.array([r["both"] for r in rows], np.int64).view(np.uint64)
-    any_ = np.array([r["any"] for r in rows], np.int64).view(np.uint64)
-    mask = ~(both ^ any_)
-    shared = (np.array([r["cell"] for r in rows], np.int32), both & mask, mask)
-    fields = ", ".join(["cell int, rep long", *[f"{n} long" for n in names], "query int"])
-    routed = placed.mapInArrow(_router(shared, radius), fields)
-    dealt = routed.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell").sortWithinPartitions("cell", "query")
-    return dealt.mapInArrow(_searcher(n_words, radius, chunk), "src long, dst long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, n_words: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
-    """doc_id, w0.. and component_id (the smallest doc_id reachable over links) of every row."""
-    marks = write_table(fingerprints(docs, shingle, n_words, id_col, text_col), "marks")
-    names = [_name(i) for i in range(n_words)]
-    distinct = write_table(marks.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
-    links = near_links(distinct.where("rep is not null"), n_words, radius, **index)
-    found = write_table(connected_components(links), "components")
-    known = write_table(
-        distinct.join(found, distinct["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")),
-        "known",
-    )
-    return marks.join(known, names, "left").select("doc_id", *names, "component_id")
-
-
-#: Differing bits of 256 at which two documents are still compared by their shingles. Sets with a Jaccard similarity of
-#: 0.8 differ in 39 bits on average (256 * acos(2 * 0.8 / 1.8) / pi), at worst, four shingles against five, in 48; the
-#: standard deviation is 6.
-COPY_BITS = 72
+    spark, kinds = distinct.sparkSession, orders(radius)
+    copies = F.array(*[F.struct(F.lit(i).alias("order"), _reordered(F.col("key"), blocks).alias("key")) for i, (_, blocks) in enumerate(kinds)])
+    dealt = distinct.select("kind", "rep", F.explode(copies).alias("c")).select((F.col("kind") * len(kinds) + F.col("c.order")).alias("tag"), "rep", F.col("c.key").alias("key"))
+    lead = F.lit(0).cast("long")
+    for i, (n, _) in enumerate(kinds):
+        lead = F.when(F.pmod("tag", F.lit(len(kinds))) == i, F.shiftrightunsigned("key", 64 - n) if n < 64 else F.col("key")).otherwise(lead)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * len(kinds) // rows))
+    met = dealt.withColumn("lead", lead).repartition(parts, "tag", "lead").sortWithinPartitions("tag", gray_rank(F.col("key")))
+    return met.select("tag", "rep", "key").mapInArrow(_searcher(radius, [n for n, _ in kinds]), "src long, dst long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, w0 and component_id (the smallest doc_id reachable over links) of every row."""
+    marks = write_table(fingerprints(docs, shingle, id_col, text_col), "marks")
+    distinct = write_table(marks.groupBy("w0").agg(F.min("doc_id").alias("rep")).select(F.lit(0).alias("kind"), "rep", F.col("w0").alias("key")), "distinct")
+    found = connected_components(near_links(distinct.where("rep is not null"), radius))
+    known = distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("key").alias("w0"), F.coalesce("component", "rep").alias("component_id"))
+    return marks.join(known, "w0", "left").select("doc_id", "w0", "component_id")
+
+
+#: The fingerprint of a copy search: words, and shingles that have a part in each.
+COPY_WORDS, COPY_TOP = 6, 8
+#: Differing bits of one word at which two texts are compared.
+COPY_RADIUS = 1
 #: The Jaccard similarity that links, as a fraction.
 ALIKE = (4, 5)
+#: Two words of plain SimHash, and the differing bits of 128 at which sets are still compared one by one. At a similarity
+#: of 0.8 sets differ in 19 bits on average, at worst (four shingles against five) in 24; the standard deviation is 4.
+PLAIN_WORDS, PLAIN_RADIUS = 2, 40
+_KEY = ["doc_id", "t0", "t1"]
 
 
-def shingle_sets(text: Column, shingle: int) -> Column:
-    """The hashes of a text's different shingles, sorted; a text under ``shingle`` words is one shingle, a blank one has none."""
+def copy_words(sets: Sets) -> np.ndarray:
+    """SimHash words over weighted shingles, one row a set.
 
-    def grams(w: Column) -> Column:
-        each = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + k) for k in range(shingle)]))
-        return F.when(F.size(w) > 0, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - F.lit(shingle), F.lit(0))), each)))).otherwise(F.array().cast("array<bigint>"))
+    In each word a shingle has a weight of its own, the square of 1 / u with u
+    drawn uniformly by its number, as alike in every text. Such weights have a
+    heavy tail: a word hangs on a text's few heaviest shingles (the first
+    ``COPY_TOP`` are summed, the rest would not add 1 %), so that two sets with
+    a similarity of 0.8 agree in a word but for one bit with a chance of 0.65,
+    where equal weights would leave a tenth of that.
+    """
+    n, sizes = len(sets), sets.sizes
+    doc = np.repeat(np.arange(n), sizes)
+    limit = np.where(sizes > 48, np.uint64(2**64 - 1) // np.maximum(sizes, 1).astype(np.uint64) * np.uint64(48), np.uint64(2**64 - 1))
+    out = np.zeros((n, COPY_WORDS), np.uint64)
+    for w, seed in enumerate(seeds(COPY_WORDS, 3)):
+        draw = mix(sets.numbers ^ seed)
+        keep = draw <= limit[doc]
+        poor = np.bincount(doc[keep], minlength=n) < np.minimum(sizes, COPY_TOP)
+        if poor.any():
+            keep |= poor[doc]
+        own, drawn = doc[keep], draw[keep]
+        order = np.lexsort((drawn, own))
+        own, drawn = own[order], drawn[order]
+        count = np.bincount(own, minlength=n)
+        rank = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        first = rank < COPY_TOP
+        table, held = np.zeros((n, COPY_TOP), np.uint64), np.zeros((n, COPY_TOP), bool)
+        table[own[first], rank[first]] = drawn[first]
+        held[own[first], rank[first]] = True
+        u = (table.astype(np.float64) + 1.0) / 2.0**64
+        weight = np.where(held, (u[:, :1] / u) ** 2, 0.0)
+        votes = np.zeros((n, 64))
+        for r in range(COPY_TOP):
+            bits = np.unpackbits(mix(table[:, r] ^ ~seed).view(np.uint8).reshape(n, 8), axis=1)
+            votes += weight[:, r, None] * (bits * 2.0 - 1.0)
+        # words of different kinds never meet; the seed keeps their values apart as well
+        out[:, w] = np.packbits(votes > 0, axis=1).view(np.uint64).ravel() ^ seed
+    return out
+
+
+def plain_words(sets: Sets) -> np.ndarray:
+    """SimHash words in which all shingles weigh the same, one row a set."""
+    out = np.zeros((len(sets), PLAIN_WORDS), np.uint64)
+    for w, seed in enumerate(seeds(PLAIN_WORDS, 4)):
+        bits = np.unpackbits(mix(sets.numbers ^ seed).view(np.uint8).reshape(-1, 8), axis=1)
+        for i, (lo, hi) in enumerate(zip(sets.at[:-1].tolist(), sets.at[1:].tolist(), strict=True)):
+            out[i, w] = np.packbits(bits[lo:hi].sum(axis=0, dtype=np.int32) * 2 > hi - lo).view(np.uint64)[0]
+    return out
+
+
+def _marker(shingle: int):
+    names = ["doc_id", "t0", "t1", "s0", "s1", "size", "words"]
 
-    return let(words(text), grams)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            sets = shingle_sets(batch.column(3), shingle)
+            s0, s1 = set_numbers(sets)
+            flat = pa.array(copy_words(sets).view(np.int64).ravel())
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COPY_WORDS), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64)), pa.array(sets.sizes.astype(np.int64)), listed], names=names)
 
+    return run
 
-def _alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of ``ALIKE`` or more."""
-    top, low = ALIKE
-    if min(len(a), len(b)) * low < max(len(a), len(b)) * top:
-        return False
-    both = np.sort(np.concatenate((a, b)), kind="stable")
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return shared * low >= (len(both) - shared) * top
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
+    """doc_id and two hashes of the text, by which rows are known; null counts as the empty text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(0), text).alias("t0"), F.xxhash64(F.lit(1), text).alias("t1"), text.alias("text"), *others)
 
 
 class _SetCell:
     """Members of a cell with their shingle sets, joined as far as their sets are alike."""
 
-    def __init__(self, radius: int):
-        self.radius, self.parts, self.rows = radius, [], None
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        self.prints = None
 
-    def _met(self, group: int, row: np.ndarray, set_: np.ndarray, end: int) -> Iterator[int]:
+    def _met(self, node: int, print_: np.ndarray, set_: np.ndarray, end: int) -> Iterator[int]:
         """One member alike of each set of joined members, among the first ``end``."""
-        far = np.bitwise_count(self.rows[:end] ^ row).sum(axis=1, dtype=np.int64)
-        near = np.flatnonzero((self.groups[:end] == group) & (far <= self.radius))
+        far = np.bitwise_count(self.prints[:end] ^ print_).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(far <= PLAIN_RADIUS)
         while len(near):
             at = int(near[0])
-            if _alike(self.sets[at], set_):
+            if self.nodes[at] == node or alike(self.sets[at], set_, ALIKE):
                 near = near[self.label[near] != self.label[at]]
                 yield at
             else:
                 near = near[1:]
 
     def build(self) -> Iterator[tuple[int, int]]:
-        self.groups, self.reps, self.rows = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
-        self.sets = [x for p in self.parts for x in p[3]]
-        self.parts, self.label = [], np.arange(len(self.reps))
-        for i in range(len(self.reps)):
-            for at in list(self._met(self.groups[i], self.rows[i], self.sets[i], i)):
-                yield int(self.reps[at]), int(self.reps[i])
+        self.nodes, self.prints = (np.concatenate([p[i] for p in self.parts]) for i in range(2))
+        self.sets = [x for p in self.parts for x in p[2]]
+        self.parts, self.label = [], np.arange(len(self.nodes))
+        for i in range(1, len(self.nodes)):
+            for at in list(self._met(self.nodes[i], self.prints[i], self.sets[i], i)):
+                yield int(self.nodes[at]), int(self.nodes[i])
                 self.label[self.label == self.label[at]] = i
 
-    def probe(self, groups, reps, rows, sets) -> Iterator[tuple[int, int]]:
-        for i in range(len(reps)):
-            for at in self._met(groups[i], rows[i], sets[i], len(self.reps)):
-                yield int(self.reps[at]), int(reps[i])
+    def probe(self, nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        for node, print_, set_ in zip(nodes, prints, sets, strict=True):
+            for at in self._met(node, print_, set_, len(self.nodes)):
+                yield int(self.nodes[at]), int(node)
 
 
-def _verifier(n_words: int, radius: int):
+def _verifier(shingle: int):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs):
+        def out(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             pairs = list(pairs)
             if pairs:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], schema=schema)
 
         cell, at = None, None
-        for batch in batches:
-            cells, query, group, rep = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "query", "group", "rep"))
-            rows = np.stack([batch.column(_name(i)).to_numpy(zero_copy_only=False) for i in range(n_words)], axis=1).view(np.uint64)
-            lists = batch.column("shingles")
-            values, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            tags = cells.astype(np.int64) * 2 + query
-            edges = np.r_[0, np.flatnonzero(tags[1:] != tags[:-1]) + 1, len(tags)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if lo == hi:
-                    continue
-                part = (group[lo:hi].copy(), rep[lo:hi].copy(), rows[lo:hi], [values[cuts[i] : cuts[i + 1]].copy() for i in range(lo, hi)])
-                if at != cells[lo]:
-                    if cell is not None and cell.rows is None:
+        for batch in slices(batches, 4):
+            label, block, query, node = (batch.column(n).to_numpy() for n in ("label", "block", "query", "node"))
+            sets = shingle_sets(batch.column(4), shingle)
+            prints = plain_words(sets)
+            edges = np.r_[0, np.flatnonzero((label[1:] != label[:-1]) | (block[1:] != block[:-1]) | (query[1:] != query[:-1])) + 1, len(label)]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = (node[lo:hi].copy(), prints[lo:hi], [sets[i].copy() for i in range(lo, hi)])
+                if at != (label[lo], block[lo]):
+                    if cell is not None and cell.prints is None:
                         yield from out(cell.build())
-                    cell, at = _SetCell(radius), cells[lo]
+                    cell, at = _SetCell(), (label[lo], block[lo])
                 if query[lo]:
-                    if cell.rows is None:
+                    if cell.prints is None:
                         yield from out(cell.build())
                     yield from out(cell.probe(*part))
                 else:
                     cell.parts.append(part)
-        if cell is not None and cell.rows is None:
+        if cell is not None and cell.prints is None:
             yield from out(cell.build())
 
     return run
 
 
-def _group_router(cells: list[tuple[int, int, int]]):
-    """Members to their own cell and, as queries, to the other cells that have members of their group. Of two cells one asks the other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, group = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "group"))
-            yield batch.append_column("query", pa.array(np.zeros(len(own), np.int32)))
-            for cell, low, high in cells:
-                asks = (own < cell) == ((own + cell) % 2 == 0)
-                go = np.flatnonzero(asks & (own != cell) & (group >= low) & (group <= high))
-                if len(go):
-                    sent = batch.take(pa.array(go)).append_column("query", pa.array(np.ones(len(go), np.int32)))
-                    yield sent.set_column(sent.schema.get_field_index("cell"), "cell", pa.array(np.full(len(go), cell, np.int32)))
-
-    return run
+def _candidates(nodes: DataFrame, block: int) -> DataFrame:
+    """node and the array of (label, blocks) under which it is to be compared, a written table. ``nodes``: a written table of node, size and words."""
+    words_ = nodes.select("node", "size", F.posexplode("words").alias("kind", "key"))
+    prints = write_table(words_.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")), "prints")
+    near = connected_components(near_links(prints.select("kind", F.col("key").alias("rep"), "key"), COPY_RADIUS))
+    groups = near.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    joined = near.join(groups, "component").where("m > 1").select(F.col("node").alias("key"), F.col("component").alias("label"))
+    shared = prints.join(joined, "key", "left").where("n > 1 or label is not null").select("kind", "key", F.coalesce("label", "key").alias("label"))
+    labelled = write_table(words_.join(shared, ["kind", "key"]).select("label", "node", "size"), "labelled")
+    # groups of the same members, found by several words, are compared once
+    same = F.bit_xor(F.xxhash64("node")).alias("members")
+    told = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), same).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("size") / (block * 1024))).cast("int")
+    kept = told.groupBy("n", "members").agg(F.min("label").alias("label"), F.min(blocks).alias("blocks"))
+    found = write_table(labelled.join(kept, "label").groupBy("node").agg(F.collect_set(F.struct("label", "blocks")).alias("labels")), "sought")
+    drop_tables(prints, near, labelled)
+    return found
+
+
+def _verified(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """Links between texts alike. ``docs``: rows by :func:`_keyed`; ``wanted``: their keys with node and labels."""
+    on = F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("t0") == F.col("k1")) & (F.col("t1") == F.col("k2"))
+    met = docs.join(sized_broadcast(wanted), on).select("node", "text", F.explode("labels").alias("l"))
+    own = F.pmod(F.xxhash64("node"), F.col("l.blocks")).cast("int")
+    # of two blocks of one label one asks the other
+    asked = F.filter(F.sequence(F.lit(0), F.col("l.blocks") - 1), lambda b: (b != F.col("own")) & ((F.col("own") < b) == ((F.col("own") + b) % 2 == 0)))
+    places = F.concat(F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("query"))), F.transform(asked, lambda b: F.struct(b.alias("block"), F.lit(1).alias("query"))))
+    dealt = met.withColumn("own", own).select(F.col("l.label").alias("label"), F.explode(places).alias("p"), "node", "text").select("label", "p.block", "p.query", "node", "text")
+    together = dealt.repartition("label", "block").sortWithinPartitions("label", "block", "query", "node")
+    return together.mapInArrow(_verifier(shingle), "src long, dst long").where("src <> dst")
+
+
+def _classes(docs: DataFrame, shingle: int, block: int, id_col: str, text_col: str) -> DataFrame:
+    """A written table of every row's key, and the key of the row that stands for its near copies (k0, k1, k2)."""
+    keyed = _keyed(docs, id_col, text_col)
+    marks = write_table(keyed.select(*_KEY, "text").mapInArrow(_marker(shingle), "doc_id long, t0 long, t1 long, s0 long, s1 long, size long, words array<long>"), "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *_KEY)).alias("first")
+    found = marks.groupBy("s0", "s1").agg(first, F.max("size").alias("size"), F.max("words").alias("words"))
+    nodes = write_table(found.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    sought = _candidates(nodes.where("size > 0"), block)
+    wanted = write_table(nodes.join(sought, "node").select("node", F.col("first.doc_id").alias("k0"), F.col("first.t0").alias("k1"), F.col("first.t1").alias("k2"), "labels"), "wanted")
+    components = connected_components(_verified(keyed, wanted, shingle))
+    joined = nodes.join(components, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("group"), "first")
+    least = joined.groupBy("group").agg(F.min("first").alias("least"))
+    # each table goes as soon as nothing reads it
+    known = joined.join(least, "group").select("s0", "s1", F.col("least.doc_id").alias("k0"), F.col("least.t0").alias("k1"), F.col("least.t1").alias("k2"))
+    classes = write_table(marks.select(*_KEY, "s0", "s1").join(known, ["s0", "s1"]).select(*_KEY, "k0", "k1", "k2"), "classes")
+    drop_tables(marks, nodes, sought, wanted, components)
+    return classes
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """doc_id and component_id (the least doc_id of those joined, null if all are) of every row.
+
+    Documents whose sets of shingles have a Jaccard similarity of 0.8 or more
+    are linked. Fingerprints (:func:`copy_words`) propose pairs; the sets
+    themselves decide. A group of more than ``block`` proposed texts is compared
+    in blocks by as many tasks.
+    """
+    return _classes(docs, shingle, block, id_col, text_col).select("doc_id", F.col("k0").alias("component_id"))
 
 
-def verified_links(near: DataFrame, n_words: int, radius: int, cells: int = 64, least: int = 512) -> DataFrame:
-    """A spanning set of links (src, dst: values of ``rep``) between sets alike, among those of one group within ``radius`` bits.
+def without_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the least doc_id, a null one only where there is no other.
 
-    ``near``: a written table of group (long), rep (long), w0.. and shingles. Cells
-    are ranges of groups, a large group is cut by Gray rank; no task holds more than
-    one cell, and pairs already joined through others are not compared.
-    """
-    spark = near.sparkSession
-    parts = max(1, min(cells, -(-near.count() // least)))
-    names = [_name(i) for i in range(n_words)]
-    ranged = near.withColumn("_rank", gray_rank(F.col(_name(0)))).repartitionByRange(parts, "group", "_rank")
-    placed = _merged(write_table(ranged.select(F.spark_partition_id().alias("cell"), "group", "rep", *names, "shingles"), "sets"), parts)
-    ends = [(r["cell"], r["low"], r["high"]) for r in placed.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).collect()]
-    fields = ", ".join(["cell int, group long, rep long", *[f"{n} long" for n in names], "shingles array<long>, query int"])
-    routed = placed.mapInArrow(_group_router(ends), fields)
-    dealt = routed.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell").sortWithinPartitions("cell", "query")
-    return dealt.mapInArrow(_verifier(n_words, radius), "src long, dst long").where("src <> dst")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **index) -> DataFrame:
-    """doc_id and component_id of every row, where documents with a Jaccard similarity of 0.8 or more of their five-word shingles are linked.
-
-    Fingerprints (of the different shingles, each once) only propose pairs, at ``COPY_BITS``
-    or fewer differing bits; the shingles of documents that have such a neighbour decide.
+    Of rows alike in doc_id and text one stays.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    two = (F.xxhash64("shingles").alias("s0"), F.xxhash64("shingles", F.lit(1)).alias("s1"))
-    sets = texts.select("doc_id", F.monotonically_increasing_id().alias("_row"), shingle_sets(F.col("_text"), 5).alias("shingles"))
-    hashed = sets.select("doc_id", "_row", *two, "shingles").select("doc_id", "_row", "s0", "s1", F.explode_outer("shingles").alias("_h0"))
-    marks = write_table(_summed(hashed, 4, "s0", "s1"), "marks")
-    names = [_name(i) for i in range(4)]
-    nodes = write_table(marks.groupBy("s0", "s1", *names).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "nodes")
-    prints = write_table(nodes.groupBy(*names).agg(F.min("rep").alias("print"), F.count(F.lit(1)).alias("n")), "prints")
-    loose = near_links(prints.select(F.col("print").alias("rep"), *names), 4, COPY_BITS, **{"cells": 16, **index})
-    groups = write_table(connected_components(loose), "groups")
-    grouped = prints.join(groups, prints["print"] == groups["node"], "left").where("node is not null or n > 1").select(*names, F.coalesce("component", "print").alias("group"))
-    wanted = write_table(nodes.join(grouped, names), "wanted")
-    # rows of the same doc_id and another text get null: told only when read again, as the sets would be made twice for a filter here
-    same = lambda x: F.when((F.col("s0") == F.xxhash64(x)) & (F.col("s1") == F.xxhash64(x, F.lit(1))), x)
-    told = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("group", "rep", *names, let(shingle_sets(F.col("_text"), 5), same).alias("shingles"))
-    near = write_table(told, "near").where("shingles is not null")
-    found = write_table(connected_components(verified_links(near, 4, COPY_BITS)), "components")
-    known = write_table(nodes.join(found, nodes["rep"] == found["node"], "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id")), "known")
-    return marks.join(known, ["s0", "s1"], "left").select("doc_id", "component_id")
+    classes = _classes(docs, shingle, block, id_col, text_col)
+    own = F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("t0") == F.col("k1")) & (F.col("t1") == F.col("k2"))
+    gone = classes.where(~own).select(F.col("doc_id").alias("g0"), F.col("t0").alias("g1"), F.col("t1").alias("g2")).distinct()
+    repeated = classes.groupBy(*_KEY).count().where("count > 1").select(F.col("doc_id").alias("g0"), F.col("t0").alias("g1"), F.col("t1").alias("g2"))
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*columns)
+    id_, text = columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)]
+    keyed = _keyed(plain, id_, text, *map(F.col, columns)).drop("text")
+    on = F.col("doc_id").eqNullSafe(F.col("g0")) & (F.col("t0") == F.col("g1")) & (F.col("t1") == F.col("g2"))
+    kept = keyed.join(sized_broadcast(write_table(gone, "gone")), on, "left_anti")
+    again = write_table(repeated, "repeated")
+    if not again.isEmpty():
+        twice = kept.join(sized_broadcast(again), on, "left_semi").dropDuplicates(_KEY)
+        kept = kept.join(sized_broadcast(again), on, "left_anti").unionByName(twice)
+    return kept.select(*columns).toDF(*docs.columns)

@@ -5,9 +5,14 @@ from __future__ import annotations
 import string
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bytes of text worked on at once; the arrays of a step take some thirty times as much.
+SLICE = 2 << 20
+
 #: Runs of these end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Runs of these end a word where only digits, letters and non-ASCII characters count.
@@ -40,3 +45,11 @@ def bounded(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         total += size
     if lo < len(sizes):
         yield lo, len(sizes)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that the texts in ``column`` have at most ``SLICE`` bytes, or are one text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for lo, hi in bounded(sizes, SLICE):
+            yield batch.slice(lo, hi - lo)

@@ -14,14 +14,11 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from boxloom.llm.text import bounded
-
 #: Unicode's white space, as the tokenizers' patterns know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Units kept by a worker, and as many pieces of units; beyond it a store starts anew.
@@ -31,9 +28,6 @@ LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 WHOLE = re.compile(f"[^ -&(-~\n{LETTERS}]|\n[\n ]|(?<=.) |^ $")
 PIECE = re.compile(f" ?[{LETTERS}]+| ?[^ {LETTERS}]+")
 
-#: Bytes of text encoded at once; the arrays of a step take some thirty times as much.
-SLICE = 2 << 20
-
 _encoders: dict[str, UnitEncoder] = {}
 
 
@@ -44,14 +38,6 @@ def encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Record batches cut so that the texts in ``column`` have at most ``SLICE`` bytes, or are one text."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-        for lo, hi in bounded(sizes, SLICE):
-            yield batch.slice(lo, hi - lo)
-
-
 def _cut(spec: dict) -> str:
     """How texts may be cut: with the space before a unit, with spaces dropped, or not at all."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")

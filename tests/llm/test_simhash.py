@@ -1,11 +1,13 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from boxloom.llm import simhash
-from boxloom.llm.simhash import near_copies, near_duplicates
+from boxloom.llm import shingles, simhash
+from boxloom.llm.simhash import near_copies, near_duplicates, near_links
 
 SCHEMA = "doc_id long, text string"
 
@@ -42,38 +44,61 @@ def test_against_brute_force(spark):
     texts += [None, "", " \t\n", "one", "One", "one two", "A" * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
     prints, label = brute(texts)
-    got = rows_of(near_duplicates(df, least=8))
+    got = rows_of(near_duplicates(df))
     assert len(got) == len(texts)
     for i in range(len(texts)):
         assert got[i] == (prints[i], label[i])
 
 
-def test_dense_cluster_links_across_cells(spark):
-    rng = np.random.default_rng(2)
-    from boxloom.llm.simhash import near_links
+def labels_of(marks, radius):
+    label = list(range(len(marks)))
+    for i in range(len(marks)):
+        for j in range(i):
+            if (marks[i] ^ marks[j]).bit_count() <= radius and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
 
-    base = int(rng.integers(2**62))
-    marks = {base}
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_search_is_exact_in_dense_clusters(spark, radius):
+    rng = np.random.default_rng(2)
+    marks = {int(rng.integers(2**62))}
     while len(marks) < 300:
         some = list(marks)[int(rng.integers(len(marks)))]
         marks.add(some ^ (1 << int(rng.integers(62))) ^ (1 << int(rng.integers(62))))
     marks |= {int(x) for x in rng.integers(2**62, size=300)}
     marks = sorted(marks)
-    want = list(range(len(marks)))
-    for i in range(len(marks)):
-        for j in range(i):
-            if (marks[i] ^ marks[j]).bit_count() <= 2:
-                a, b = sorted((want[i], want[j]))
-                want = [a if x == b else x for x in want]
-    df = spark.createDataFrame(list(enumerate(marks)), "rep long, w0 long")
-    links = [(r["src"], r["dst"]) for r in near_links(df, 1, 2, least=16).collect()]
+    df = spark.createDataFrame([(0, i, m) for i, m in enumerate(marks)] + [(1, 10_000 + i, m ^ 1) for i, m in enumerate(marks[:50])], "kind int, rep long, key long")
+    links = [(r["src"], r["dst"]) for r in near_links(df, radius).collect()]
+    assert all((a < 10_000) == (b < 10_000) for a, b in links)  # kinds never meet
     got = list(range(len(marks)))
     for x, y in links:
-        a, b = sorted((got[x], got[y]))
-        if a != b:
+        if x < 10_000 and got[x] != got[y]:
+            a, b = sorted((got[x], got[y]))
             got = [a if v == b else v for v in got]
-    assert got == want
-    assert len(links) < 40 * len(marks)
+    assert got == labels_of(marks, radius)
+    assert len(links) < len(simhash.orders(radius)) * (len(marks) + 50)
+
+
+def test_index_leaves_groups_and_splits_large_searches(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(2**63, size=4000).astype(np.uint64)
+    keys = np.unique(np.concatenate((keys, keys[:500] ^ np.uint64(1 << 40), keys[:200] ^ np.uint64(5))))
+    ranks = keys.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        ranks ^= ranks >> np.uint64(shift)
+    keys = keys[np.argsort(ranks)]
+    far = np.bitwise_count(keys[:, None] ^ keys[None, :])
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(far <= 2, 1)), strict=True)}
+    for block in (1 << 20, 1 << 12):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        found = [x for a, b in simhash.GrayIndex(keys, 2).pairs() for x in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(found) == len(set(found)) and set(found) == want
+    # of 4700 keys a descent meets few
+    index = simhash.GrayIndex(keys, 2)
+    met = sum(np.count_nonzero(np.bitwise_count((keys[i] ^ index.levels[0][0]) & index.levels[0][1]) <= 2) for i in range(0, len(keys), 100))
+    assert met < 0.2 * 47 * len(index.levels[0][0])
 
 
 def test_defined_cases(spark):
@@ -126,7 +151,21 @@ def test_copies_are_alike_on_both_sides(spark):
     assert got == want  # nor is anything lost
 
 
-def test_large_group_is_cut_over_cells(spark):
+def test_recall_at_the_threshold(spark):
+    """Of 1200 pairs at 0.8 and a little above, by brute force over their sets, all but a few in a thousand are linked; none below."""
+    rng = np.random.default_rng(9)
+    texts = _pairs(rng, [0.8, 0.8, 0.805, 0.81] * 300 + [0.79] * 200, words=80)
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(df).collect()}
+    want = dict(enumerate(x for i in range(0, len(texts), 2) for x in (i + y for y in _jaccard_labels(texts[i : i + 2]))))
+    pairs = [i for i in want if want[i] < i]
+    assert len(pairs) > 1000
+    found = [i for i in pairs if got[i] == want[i]]
+    assert len(found) >= 0.99 * len(pairs)
+    assert all(got[i] == i for i in want if want[i] == i)
+
+
+def test_large_group_is_cut_into_blocks(spark):
     rng = np.random.default_rng(6)
     lead = [f"w{i}" for i in range(200)]
     texts = []
@@ -137,27 +176,28 @@ def test_large_group_is_cut_over_cells(spark):
         texts.append(" ".join(words))
     texts += _pairs(rng, [0.9, 0.6] * 10)
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
-    monkey = simhash.verified_links
-    try:
-        simhash.verified_links = lambda near, n_words, radius: monkey(near, n_words, radius, least=8)
-        got = {r["doc_id"]: r["component_id"] for r in near_copies(df, least=8).collect()}
-    finally:
-        simhash.verified_links = monkey
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(df, block=8).collect()}
     assert got == dict(enumerate(_jaccard_labels(texts)))
 
 
-def test_wide_search_is_exact_at_any_size(spark):
-    from boxloom.llm.simhash import near_links
-
-    rng = np.random.default_rng(7)
-    for size in (40, 3000):
-        rows = rng.integers(-(2**63), 2**63, size=(size, 4), dtype=np.int64)
-        # each in 20 has a neighbour whose 72 differences are spread evenly over the words, the worst case of any one of them
-        near = rows[::20].copy()
-        for row in near:
-            for w in range(4):
-                row[w : w + 1].view(np.uint64)[0] ^= np.uint64(sum(1 << int(b) for b in rng.choice(64, 18, replace=False)))
-        table = [(i, *map(int, r)) for i, r in enumerate(np.concatenate((rows, near)))]
-        df = spark.createDataFrame(table, "rep long, w0 long, w1 long, w2 long, w3 long")
-        got = {tuple(sorted((r["src"], r["dst"]))) for r in near_links(df, 4, 72, cells=4, least=16).collect()}
-        assert got == {(i * 20, size + i) for i in range(len(near))}
+def test_shingle_sets_of_texts():
+    texts = [None, "", " \t\n", "one", "One", "one two", "a b c d e f", "a b c d e a b c d e", "x" * 5000, "é ü\xa0y", "A b C d E"]
+    sets = shingles.shingle_sets(pa.array(texts), 5)
+    assert sets.sizes.tolist() == [0, 0, 0, 1, 1, 1, 2, 5, 1, 1, 1]
+    assert sets[3].tolist() == sets[4].tolist() != sets[5].tolist()
+    assert sets[10][0] in sets[6]
+    # the same wherever a text stands in its slice
+    assert all(shingles.shingle_sets(pa.array([t]), 5)[0].tolist() == sets[i].tolist() for i, t in enumerate(texts))
+    assert np.array_equal(simhash.copy_words(sets)[8], simhash.copy_words(shingles.shingle_sets(pa.array([texts[8]]), 5))[0])
+
+
+def test_without_copies(spark):
+    long_ = " ".join(f"w{i}" for i in range(3000))
+    rows = [(5, "a b c d e f", "x"), (5, "a b c d e f", "x"), (None, "a b c d e f", "y"), (None, "only a null id has this", "z"), (3, "other words entirely stand here", "x"), (3, long_, "x"), (9, long_ + " more", "x"), (1, None, "x"), (2, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t0 string").withColumn("g0", F.lit(1)).withColumn("node", F.lit(1)).withColumn("own", F.lit(1))
+    kept = simhash.without_copies(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"], r["t0"]) for r in kept.collect())
+    assert [(i, x) for i, _, x in got] == [(0, "z"), (1, "x"), (3, "x"), (3, "x"), (5, "x")]
+    empty = df.where("false")
+    assert simhash.without_copies(empty).collect() == [] and near_copies(empty).collect() == []
