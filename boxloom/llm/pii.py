@@ -1,12 +1,12 @@
 """Surrogates for personal data: keyed, type-consistent, distinct, the same for the same entity.
 
-Entities are e-mail addresses, card numbers, telephone numbers, IPv4 addresses,
-account numbers (IBAN), social security numbers, and names after a title. Each
-is replaced by another of its kind. The replacement is a keyed *permutation* of
+Entities are e-mail addresses, card numbers, telephone numbers, IPv4 and IPv6
+addresses, account numbers (IBAN), social security numbers, and names after a
+title. Each is replaced by another of its kind. The replacement is a keyed *permutation* of
 all entities of one format: a Feistel network whose rounds shift one half of the
 text by a hash of the other half, each character inside its own class (digits,
-vowels and consonants of either case, Cyrillic and Greek letters of either
-case); then the first such character moves on by one, and the network is undone.
+vowels and consonants of either case, the letters of either case of each block
+of Latin, Greek, Cyrillic and Armenian); then the first such character moves on by one, and the network is undone.
 So no text with such a character stays as it is, two entities never share a
 surrogate, one entity has the same one everywhere, and script, case, length and
 punctuation stay, without any table or join. What says the gender of a name
@@ -14,8 +14,12 @@ stays as well: its title and last letter.
 
 The words of a name are permuted one by one, whatever its title, so that a name
 with and without the first name corresponds. So do telephone numbers with and
-without a country code and however they are spaced, as their digits alone are
-permuted; a country code not set off from the number counts to its digits.
+without a country code, and telephone, card and account numbers however they are
+spaced, as their digits and letters alone are permuted; a country code not set
+off from the number counts to its digits. A name without a title is not found,
+and a surrogate is a string of the name's make-up, not a name from a list: a
+list has an end, and with it either two entities share a name or all entities
+must be held in a table.
 
 Kinds keep what makes them valid: octets stay octets (the network works on the
 32-bit number), card numbers keep their first digit and whether their check
@@ -23,7 +27,7 @@ digit holds, telephone numbers their country code, addresses their last domain
 label, accounts their country.
 
 :func:`collisions` checks distinctness over a corpus, from surrogates in fact
-made.
+made; :func:`checked` refuses a result that has any.
 
 Native: JVM expressions only; nothing is shuffled.
 
@@ -43,23 +47,38 @@ from boxloom.llm.text import let
 
 _TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Kinds and their patterns, in order of precedence.
+
+
+def _cased(blocks: list[tuple[int, int]]) -> list[str]:
+    """The lower-case, the upper-case and the other letters of each block."""
+    out = []
+    for lo, hi in blocks:
+        letters = [chr(c) for c in range(lo, hi) if chr(c).isalpha()]
+        out += ["".join(x) for x in ([c for c in letters if c.islower()], [c for c in letters if c.isupper()], [c for c in letters if not c.islower() and not c.isupper()])]
+    return [x for x in out if x]
+
+
+#: Stand-ins for the sixteen hexadecimal digits while they are permuted.
+_HEX = "".join(chr(0xE000 + i) for i in range(16))
+#: Blocks by their code points: Latin-1, Latin Extended-A, Greek, Cyrillic, Armenian.
+_BLOCKS = [(0xC0, 0x100), (0x100, 0x180), (0x386, 0x400), (0x400, 0x482), (0x531, 0x588)]
+CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *_cased(_BLOCKS), _HEX)
+_LETTERS = "".join(CLASSES[1:-1])
+_UPPER = "".join(c for c in _LETTERS if c.isupper())
+#: Kinds and their patterns, in order of precedence. No group repeats without bound: Java would take a stack frame a turn.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9])[A-Za-z0-9.-]*[A-Za-z0-9]\.[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9+])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{13,19})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? [{_UPPER}][{_LETTERS}]+(?: [{_UPPER}][{_LETTERS}]+)?",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,39}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
 }
 #: A text without any of these has no entity.
-HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?:{_TITLES})\.? [{_UPPER}]"
 KINDS = tuple(PATTERNS)
-CLASSES = (
-    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
-    "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
-)
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -126,7 +145,7 @@ def check_digit(body: Column) -> Column:
 #: What a kind keeps before and after the part that is permuted. What is kept also picks the permutation, but for telephone numbers and names.
 KEPT = {
     "email": ("^", r"\.[A-Za-z]+$"), "iban": ("^[A-Z]{2}", "$"), "card": ("^[0-9]", "[0-9]$"), "ssn": ("^", "$"),
-    "phone": (r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", "$"), "name": (r"^\p{L}+\.? ", "$"),
+    "phone": (r"^(?:\+[0-9]{1,3}(?=[ .(-]))?", "$"), "name": (r"^\p{L}+\.? ", "$"), "ipv6": ("^", "$"),
 }
 
 
@@ -140,7 +159,8 @@ def _made(kind: Column, v: Column, key: Column) -> Column:
     def whole(h: Column) -> Column:
         head, tail = h["head"], h["tail"]
         body = F.substring(v, F.char_length(head) + 1, F.char_length(v) - F.char_length(head) - F.char_length(tail))
-        card, phone, name = (kind == KINDS.index(k) for k in ("card", "phone", "name"))
+        card, phone, name, ipv6 = (kind == KINDS.index(k) for k in ("card", "phone", "name", "ipv6"))
+        spacing = kind.isin(*[KINDS.index(k) for k in ("card", "phone", "iban")])
         tag = F.concat_ws("\x1f", kind.cast("string"), F.when(~phone, F.lower(head)), F.when(~card, F.lower(tail)))
         one = lambda text, tag: F.struct(text.alias("text"), tag.alias("tag"), F.lit("").alias("last"))
 
@@ -148,14 +168,15 @@ def _made(kind: Column, v: Column, key: Column) -> Column:
             last = F.substring(w, -1, 1)
             return F.struct(F.substring(w, F.lit(1), F.char_length(w) - 1).alias("text"), F.concat_ws("\x1f", kind.cast("string"), F.lower(last)).alias("tag"), last.alias("last"))
 
-        parts = F.when(name, F.transform(F.split(body, " "), of_name)).when(phone, F.array(one(F.regexp_replace(body, "[^0-9]", ""), tag))).otherwise(F.array(one(body, tag)))
+        hexed = F.translate(F.lower(body), "0123456789abcdef", _HEX)
+        parts = F.when(name, F.transform(F.split(body, " "), of_name)).otherwise(F.array(one(F.when(spacing, F.regexp_replace(body, "[^0-9A-Za-z]", "")).when(ipv6, hexed).otherwise(body), tag)))
         made = F.array_join(F.transform(parts, lambda p: F.concat(permuted(p["text"], key, p["tag"]), p["last"])), " ")
 
         def spaced(digits: Column) -> Column:
             begin = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
             def step(acc: Column, c: Column) -> Column:
-                digit = c.between("0", "9")
+                digit = c.rlike("[0-9A-Za-z]")
                 return F.struct((acc["at"] + digit.cast("int")).alias("at"), F.concat(acc["out"], F.when(digit, F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"))
 
             return F.aggregate(F.split(body, ""), begin, step, lambda acc: acc["out"])
@@ -164,7 +185,7 @@ def _made(kind: Column, v: Column, key: Column) -> Column:
             digit = F.pmod(check_digit(F.concat(head, new)) + tail.try_cast("int") - check_digit(F.concat(head, body)), F.lit(10))
             return F.concat(head, new, F.when(card, digit.cast("string")).otherwise(tail))
 
-        return let(let(made, lambda new: F.when(phone, spaced(new)).otherwise(new)), ended)
+        return let(let(made, lambda new: F.when(spacing, spaced(new)).when(ipv6, F.translate(new, _HEX, "0123456789abcdef")).otherwise(new)), ended)
 
     return F.when(kind == KINDS.index("ip"), _ip(v, key)).otherwise(let(F.struct(by_kind(0).alias("head"), by_kind(1).alias("tail")), whole))
 
@@ -220,3 +241,14 @@ def collisions(found: DataFrame, found_col: str = "entities") -> DataFrame:
     """Surrogates that stand for more than one entity: kind, surrogate and entities. E-mail case does not tell entities apart."""
     each = found.select(F.explode(found_col).alias("e")).select(F.col("e.kind").alias("kind"), F.lower("e.surrogate").alias("surrogate"), F.lower("e.value").alias("value")).distinct()
     return each.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def checked(found: DataFrame, found_col: str = "entities") -> DataFrame:
+    """``found`` (a written table), if no surrogate in it stands for two entities; else ValueError.
+
+    Only entities are read, once, and only one row comes to the driver.
+    """
+    worst = collisions(found, found_col).first()
+    if worst is not None:
+        raise ValueError(f"a surrogate of kind {KINDS[worst['kind']]} stands for {worst['n']} entities")
+    return found

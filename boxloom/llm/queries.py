@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm import chat, decontam, language, packing, pii, records, secrets, simhash, syncmers, url_filter
+from boxloom.runtime import write_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +36,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-PII_KEY = "boxloom surrogate key"
+#: The setting that holds the surrogates' key, and a key for test data, which anyone can read here.
+PII_SETTING, PII_TEST_KEY = "spark.boxloom.pii.key", "boxloom surrogate key"
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with surrogates, and what was replaced where: kind:start:end, without the entities themselves."""
-    found = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    key = spark.conf.get(PII_SETTING, PII_TEST_KEY)
+    found = pii.checked(write_table(pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key), "entities"))
     names = F.array(*[F.lit(k) for k in pii.KINDS])
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", F.get(names, e["kind"]), e["start"].cast("string"), e["end"].cast("string"))), ",")
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), spans.alias("spans"))
@@ -50,7 +53,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_log(chat.events(told.unionByName(more), "row")))
+    return chat.read_back(chat.format_log(chat.logged(told.unionByName(more))))
 
 
 OP6 = r"""
@@ -104,20 +107,35 @@ FROM d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i
 """
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-LISTED = ("ads-track.example.com",)
+#: Unwanted sites by name, and the domains and numbered mirrors they are listed under: 24,024 hosts.
+SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("com", "net", "org", "info")
+MIRRORS = 1000
+
+
+def listed_hosts() -> list[str]:
+    named = [f"{site}.example.{domain}" for site in SITES for domain in DOMAINS]
+    return named + [f"{site}-{i}.example.{domain}" for site in SITES for domain in DOMAINS for i in range(MIRRORS)]
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, RULES, LISTED).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, RULES, listed_hosts()).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP10 = """
-WITH r AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+OP10 = f"""
+WITH named AS (
+  SELECT site || mirror || '.example.' || domain AS listed
+  FROM (VALUES {", ".join(f"('{x}')" for x in SITES)}) AS s(site), (VALUES {", ".join(f"('{x}')" for x in DOMAINS)}) AS t(domain),
+    (SELECT '' AS mirror UNION ALL SELECT '-' || i FROM range({MIRRORS}) AS m(i))),
+r AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 p AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM r),
+l AS (
+  SELECT DISTINCT host FROM (SELECT DISTINCT host, unnest(range(1, len(string_split(host, '.')) + 1)) AS n FROM p)
+  WHERE array_to_string(string_split(host, '.')[n:], '.') IN (SELECT listed FROM named)),
 k AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
@@ -127,7 +145,7 @@ k AS (
   FROM p)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN host = 'ads-track.example.com' OR suffix(host, '.ads-track.example.com') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host IN (SELECT host FROM l) THEN 'block' ELSE 'allow' END AS verdict
 FROM k
 """
 

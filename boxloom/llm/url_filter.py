@@ -9,10 +9,11 @@ A cascade holds one list exactly over that universe: level 0 is a Bloom filter
 of the listed keys, level 1 one of the universe's keys that level 0 wrongly
 takes, level 2 one of the listed keys that level 1 takes, and so on until a
 level takes nothing wrongly. A key is listed if the first level that refuses it
-is an odd one. The levels' bits are numbers in the expression itself, so that
-the URLs are judged without any join; their size follows from the list
-(some 1.5 log2(universe / list) bits a listed key) and is checked against
-``MAX_BITS``; a longer list is joined instead.
+is an odd one. A level's bits travel with the plan as one binary value, so that
+the URLs are judged without any join, whatever the list's length; the size
+follows from the list alone (some 1.5 log2(universe / list) bits a listed key:
+3 MB for a million hosts of a universe of 10**9), and a list whose cascade would
+pass ``MAX_BYTES`` is refused with an error.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 no rule, and is allowed; rows that repeat are judged each; an empty table gives
@@ -22,17 +23,22 @@ no rows; other columns are passed by.
 from __future__ import annotations
 
 import math
+import sys
+from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm.text import lower_ascii
-from boxloom.runtime import write_table
+from boxloom.runtime import sized_broadcast, write_table
 
-#: Bits of one cascade at most (64 KB); its words stand in the expression.
-MAX_BITS = 1 << 19
+#: Bytes of one cascade at most, some 50 million listed keys.
+MAX_BYTES = 256 << 20
+#: Bits in one place of a level's bytes.
+WORD = 32
 
 
 def host_of(url: Column) -> Column:
@@ -54,37 +60,38 @@ def candidates(host: Column, path: Column, labels: Iterable[int], lengths: Itera
 
 @dataclass(frozen=True)
 class Level:
-    words: tuple[int, ...]
+    """A Bloom filter. ``blob``: its words, big-endian."""
+
+    blob: bytes
+    bits: int
     hashes: int
     seed: int
 
-    @property
-    def bits(self) -> int:
-        return 64 * len(self.words)
-
     def places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(i)), F.lit(self.bits)) for i in range(self.hashes)]
+        return [F.pmod(F.xxhash64(F.lit(self.seed), F.lit(i), key), F.lit(self.bits)) for i in range(self.hashes)]
 
     def takes(self, key: Column) -> Column:
-        words = F.array(*[F.lit(w) for w in self.words]).cast("array<bigint>")
         out = F.lit(True)
         for place in self.places(key):
-            word = F.get(words, F.floor(place / 64).cast("int"))
-            bit = F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1))
+            at = (F.floor(place / WORD) * (WORD // 8) + 1).cast("int")
+            word = F.conv(F.hex(F.substring(F.lit(self.blob), at, F.lit(WORD // 8))), 16, 10).cast("bigint")
+            bit = F.call_function("shiftright", word, F.pmod(place, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1))
             out = out & (bit == 1)
         return out
 
 
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    bits = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64)) * 64
-    shape = Level((0,) * (bits // 64), max(1, round(-math.log2(rate))), seed)
+    bits = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / WORD)) * WORD
+    shape = Level(b"", bits, max(1, round(-math.log2(rate))), seed)
     places = keys.select(F.explode(F.array(*shape.places(F.col("key")))).alias("at"))
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
-    found = places.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(mask).alias("mask")).collect()
-    words = [0] * (bits // 64)
-    for r in found:
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(WORD)).cast("int"))
+    found = places.groupBy(F.floor(F.col("at") / WORD).alias("word")).agg(F.bit_or(mask).alias("mask"))
+    words = array("I", bytes(bits // 8))
+    for r in found.toLocalIterator():
         words[r["word"]] = r["mask"]
-    return Level(tuple(words), shape.hashes, seed)
+    if sys.byteorder == "little":
+        words.byteswap()
+    return Level(words.tobytes(), bits, shape.hashes, seed)
 
 
 class Cascade:
@@ -100,65 +107,59 @@ class Cascade:
         return out
 
     @classmethod
-    def build(cls, listed: list[str], universe: DataFrame) -> Cascade | None:
-        """``universe``: a written table of keys, each once. None if the list needs more than ``MAX_BITS``."""
-        spark = universe.sparkSession
-        if not listed:
-            return cls([])
-        inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
-        outside, n_in, n_out = universe.join(F.broadcast(inside) if len(listed) < 100_000 else inside, "key", "left_anti"), len(set(listed)), universe.count()
-        rate = min(0.5, n_in / (math.sqrt(2) * max(n_out, 1)))
-        if -n_in * math.log(rate) * 4 > MAX_BITS:
-            return None
-        levels, sides, counts = [], [inside, outside], [n_in, n_out]
+    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
+        """``listed`` and ``universe``: written tables of keys, each once."""
+        counts = [listed.count(), universe.count()]
+        sides = [listed, universe.join(sized_broadcast(listed), "key", "left_anti")]
+        rate = min(0.5, counts[0] / (math.sqrt(2) * max(counts[1], 1)))
+        if -counts[0] * math.log(rate) / math.log(2) ** 2 / 8 * 2 > MAX_BYTES:
+            raise ValueError(f"a cascade of {counts[0]} listed keys would pass {MAX_BYTES} bytes")
+        levels: list[Level] = []
         while counts[0]:
-            level = _level(sides[0], counts[0], rate if not levels else 0.5, len(levels))
+            level = _level(sides[0], counts[0], 0.5 if levels else rate, len(levels))
             levels.append(level)
             wrong = write_table(sides[1].where(level.takes(F.col("key"))), "wrong")
             sides, counts = [wrong, sides[0]], [wrong.count(), counts[0]]
         return cls(levels)
 
 
-def judge(pages: DataFrame, rules: dict[str, str], listed: Iterable[str] = (), url_col: str = "url") -> DataFrame:
+def _lists(spark: SparkSession, rules: dict[str, str], listed: DataFrame | Iterable[str]) -> dict[str, DataFrame]:
+    """The lists as written tables of different keys."""
+
+    def made(keys: list[str]) -> DataFrame:
+        return spark.createDataFrame([(k,) for k in keys], "key string")
+
+    hosts = listed.select(F.col(listed.columns[0]).cast("string").alias("key")) if isinstance(listed, DataFrame) else made(list(listed))
+    by = {"block": made([k for k, v in rules.items() if v == "block"]), "allow": made([k for k, v in rules.items() if v == "allow"]), "listed": hosts}
+    return {name: write_table(keys.where("key is not null").distinct(), "keys") for name, keys in by.items()}
+
+
+def judge(pages: DataFrame, rules: dict[str, str], listed: DataFrame | Iterable[str] = (), url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     ``rules``: key (host and path prefix) to "allow" or "block"; the longest key
     that fits decides. ``listed``: hosts blocked with all their subdomains where
-    no rule fits; anything else is allowed.
+    no rule fits, as strings or as the first column of a table; anything else is
+    allowed.
     """
-    listed = sorted(set(listed))
-    keys = [*rules, *listed]
-    labels = {k.partition("/")[0].count(".") + 1 for k in keys}
-    lengths = {len(k) - len(k.partition("/")[0]) for k in keys}
+    lists = _lists(pages.sparkSession, rules, listed)
+    # what decides which suffixes and prefixes of a URL are looked up: numbers of labels, and lengths of paths
+    host = F.substring_index("key", "/", 1)
+    shapes = [keys.select((F.size(F.split(host, r"\.")).alias("labels")), (F.char_length("key") - F.char_length(host)).alias("length")).distinct() for keys in lists.values()]
+    seen = reduce(DataFrame.unionByName, shapes).distinct().collect()
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parted = pages.select(*kept, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    if not keys:
-        return parted.select("*", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    offered = candidates(F.col("host"), F.col("path"), labels, lengths)
-    universe = write_table(parted.select("host", "path").select(F.explode(offered).alias("key")).distinct(), "universe")
-    lists = {"block": [k for k, v in rules.items() if v == "block"], "allow": [k for k, v in rules.items() if v == "allow"], "listed": listed}
-    cascades = {name: Cascade.build(list_, universe) for name, list_ in lists.items()}
-    if any(c is None for c in cascades.values()):
-        return _judge_by_join(parted, offered, lists)
-    first = {name: F.get(F.filter(F.col("_keys"), c.holds), 0) for name, c in cascades.items() if c.levels}
     none = F.lit(None).cast("string")
-    found = parted.withColumn("_keys", offered).select(*kept, "host", "path", *[first.get(n, none).alias(f"_{n}") for n in lists])
-    return _verdict(found, kept)
-
-
-def _verdict(found: DataFrame, kept: list[str]) -> DataFrame:
+    if not seen:
+        return parted.select("*", none.alias("rule"), F.lit("allow").alias("verdict"))
+    shape = {r["labels"] for r in seen}, {r["length"] for r in seen}
+    universe = write_table(parted.select("host", "path").select(F.explode(candidates(F.col("host"), F.col("path"), *shape)).alias("key")).distinct(), "universe")
+    cascades = {name: Cascade.build(keys, universe) for name, keys in lists.items()}
+    first = {name: F.get(F.filter(F.col("_keys"), c.holds), 0) for name, c in cascades.items() if c.levels}
+    columns = [f"c{i}" for i in range(len(kept))]
+    plain = parted.toDF(*columns, "_host", "_path").withColumn("_keys", candidates(F.col("_host"), F.col("_path"), *shape))
+    found = plain.select(*columns, "_host", "_path", *[first.get(n, none).alias(f"_{n}") for n in lists])
     blocks = F.col("_block").isNotNull() & (F.col("_allow").isNull() | (F.length("_block") > F.length("_allow")))
     rule = F.when(blocks, F.col("_block")).otherwise(F.col("_allow"))
     verdict = F.when(blocks, "block").when(F.col("_allow").isNotNull(), "allow").when(F.col("_listed").isNotNull(), "block").otherwise("allow")
-    return found.select(*kept, "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-
-
-def _judge_by_join(parted: DataFrame, offered: Column, lists: dict[str, list[str]]) -> DataFrame:
-    """The same verdicts with a join, for lists beyond the cascade's bound."""
-    spark, kept = parted.sparkSession, [c for c in parted.columns if c not in ("host", "path")]
-    rows = [(k, name) for name, list_ in lists.items() for k in list_]
-    known = spark.createDataFrame(rows, "key string, list string").groupBy("key").agg(F.collect_set("list").alias("lists"))
-    keyed = parted.select("host", "path").distinct()
-    met = keyed.select("host", "path", F.explode(offered).alias("key")).join(known, "key")
-    longest = [F.max(F.when(F.array_contains("lists", n), F.struct(F.length("key"), "key")))["key"].alias(f"_{n}") for n in lists]
-    return _verdict(parted.join(met.groupBy("host", "path").agg(*longest), ["host", "path"], "left"), kept)
+    return found.select(*columns, "_host", "_path", rule.alias("rule"), verdict.alias("verdict")).toDF(*kept, "host", "path", "rule", "verdict")

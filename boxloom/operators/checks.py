@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.errors import DataError, EvaluationError
+from boxloom.functions.boxes import GRID
+from boxloom.functions.schema import SPLITS
 
 PREVIEW = 20
 
@@ -49,10 +51,11 @@ def record_violations() -> Column:
     """Rules of a dataset record."""
     n = F.size("detection_set")
     t = F.col("target")
+    off_grid = F.exists("detection_set", lambda d: (F.size(d["bbox_2d"]) != 4) | ~F.forall(d["bbox_2d"], lambda v: v.between(0, GRID)) | (F.get(d["bbox_2d"], 2) <= F.get(d["bbox_2d"], 0)) | (F.get(d["bbox_2d"], 3) <= F.get(d["bbox_2d"], 1)))
     outside = F.exists(t["boxes_xyxy"], lambda b: (b[0] < 0) | (b[1] < 0) | (b[2] > t["width"]) | (b[3] > t["height"]) | (b[2] <= b[0]) | (b[3] <= b[1]))
     return violations(
         empty_id=F.trim("id") == "", empty_concept=F.trim("visual_concept") == "", empty_query=F.trim("query") == "",
-        bad_size=(t["width"] <= 0) | (t["height"] <= 0), count_differs=n != F.size(t["boxes_xyxy"]), positive_differs=F.col("positive") != (n > 0), box_outside=outside,
+        bad_size=(t["width"] <= 0) | (t["height"] <= 0), count_differs=n != F.size(t["boxes_xyxy"]), positive_differs=F.col("positive") != (n > 0), box_outside=outside, truth_off_grid=off_grid,
     )
 
 
@@ -64,11 +67,20 @@ def require_clean(rows: DataFrame, rules: Column, key: str) -> None:
         raise DataError(f"{broken.count()} rows break rules: " + "; ".join(f"{r[key]}: {', '.join(r['broken'])}" for r in shown))
 
 
+def kind_counts(rows: DataFrame) -> DataFrame:
+    """split, records, positive and negative of each split, those without records included."""
+    every = rows.sparkSession.createDataFrame([(s,) for s in SPLITS], "split string")
+    counted = rows.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.count_if("positive").alias("positive"), F.count_if(~F.col("positive")).alias("negative"))
+    return every.join(counted, "split", "left").fillna(0, ["records", "positive", "negative"])
+
+
 def validate_training(rows: DataFrame) -> None:
-    """Both kinds in training, and no group in two splits."""
-    kinds = rows.where("split = 'train'").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).first()
-    if not kinds["p"] or not kinds["n"]:
+    """Both kinds in training, no group in two splits, and (where ``rows`` are whole records) none that breaks a rule."""
+    kinds = kind_counts(rows).where("split = 'train'").first()
+    if not kinds["positive"] or not kinds["negative"]:
         raise DataError("training needs positive and negative records")
+    if "detection_set" in rows.columns:
+        require_clean(rows, record_violations(), "id")
     leaks = leaking_groups(rows).orderBy("group_id").limit(5).collect()
     if leaks:
         raise DataError(f"groups in several splits: {[r['group_id'] for r in leaks]}")

@@ -16,8 +16,11 @@ N_THRESHOLDS = 10
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Matching is work for the processor, not for the disk: without this, small rows would meet in few tasks."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Matching is work for the processor, not for the disk: small rows that lie in fewer partitions than there are cores are dealt anew."""
+    if rows.isStreaming:
+        return rows
+    wanted = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
 
 
 def _f1_at(i: Column) -> Column:

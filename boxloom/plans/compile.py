@@ -51,7 +51,10 @@ def compile_dataset(spark: SparkSession, config: CompileConfig) -> str:
         audit["orphan_images"] = lonely.count()
         sinks.write_document(spark, f"{folder}/audit.json", audit)
         hashes = {split: sinks.file_hashes(spark, f"{folder}/{split}") for split in SPLITS}
-        sinks.write_document(spark, f"{folder}/manifest.json", {"schema_version": 1, "config_hash": config_hash(config), "files": hashes})
+        sinks.write_document(spark, f"{folder}/manifest.json", {
+            "schema_version": 1, "config_hash": config_hash(config), "files": hashes, "sources": {s.name: s.image_dir for s in config.sources},
+            "counts": {r["split"]: {k: r[k] for k in ("records", "positive", "negative")} for r in checks.kind_counts(rows).collect()},
+        })
     return config.output
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from boxloom.errors import EvaluationError
 from boxloom.operators import checks, report, scoring
 from boxloom.plans import sinks
+from boxloom.plans.artifacts import digest
+from boxloom.plans.gates import finite
 from boxloom.runtime import write_table
 
 
@@ -44,17 +45,23 @@ def evaluate(spark: SparkSession, records: DataFrame, predictions: DataFrame, ou
         "reference_swap": report.reference_swap(scored).first().asDict(),
         "prediction_hash": prediction_hash(scored),
     }
-    numbers = [v for s in made["slices"] for v in s.values() if isinstance(v, float)]
-    if not all(map(math.isfinite, numbers)):
+    if not finite(made):
         raise EvaluationError("a metric is not finite")
+    made["evaluation_fingerprint"] = digest(made)
     with sinks.publish(spark, output) as folder:
         sinks.write_lines(scored.drop("raw_completion"), f"{folder}/records")
-        sinks.write_document(spark, f"{folder}/report.json", made | {"files": sinks.file_hashes(spark, f"{folder}/records")})
+        whole = made | {"files": sinks.file_hashes(spark, f"{folder}/records")}
+        sinks.write_document(spark, f"{folder}/report.json", whole | {"report_fingerprint": digest(whole)})
     return made
 
 
 def open_report(spark: SparkSession, folder: str) -> dict[str, Any]:
-    made = sinks.read_document(spark, f"{folder}/report.json")
-    if sinks.file_hashes(spark, f"{folder}/records") != made.get("files"):
+    """The report in ``folder``, after its own fingerprint and the hashes of its rows have been checked."""
+    found = sinks.read_document(spark, f"{folder}/report.json")
+    if not isinstance(found, dict) or found.get("schema_version") != 1:
+        raise EvaluationError("the report is of an unknown schema")
+    if found.pop("report_fingerprint", None) != digest(found):
+        raise EvaluationError("the report changed since it was made")
+    if sinks.file_hashes(spark, f"{folder}/records") != found.get("files"):
         raise EvaluationError("scored rows changed since the report")
-    return made
+    return found

@@ -16,6 +16,10 @@ from boxloom.errors import ArtifactError
 from boxloom.functions.detections import canonical
 
 
+#: Bytes of a file that is read as one value; a larger one is streamed through the driver.
+_WHOLE = 1 << 30
+
+
 @F.arrow_udf(T.StringType())
 def _canonical_lines(rows: pa.Array) -> pa.Array:
     return pa.array([canonical(r) for r in rows.to_pylist()], pa.string())
@@ -38,6 +42,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what a folder holds, by name."""
+    return sorted(str(x.getPath().toString()) for x in _fs(spark, path).listStatus(_path(spark, path)))
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folders in a folder, by name; none if it does not exist."""
+    if not exists(spark, path):
+        return []
+    return sorted(x.getPath().toString() for x in _fs(spark, path).listStatus(_path(spark, path)) if x.isDirectory())
+
+
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.hadoop.fs.FileUtil.copy(_fs(spark, source), _path(spark, source), _fs(spark, target), _path(spark, target), False, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of one file of any size, streamed."""
+    stream = _fs(spark, path).open(_path(spark, path))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 def write_lines(rows: DataFrame, path: str, key: str = "id", parts: int | None = None) -> None:
     """Canonical JSON lines in the order of ``key``; a file a range, or one file if ``parts`` is 1."""
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -85,16 +115,22 @@ class publish:
             fs.delete(_path(self.spark, self.part), True)
 
 
-def content_hash(rows: DataFrame, key: str = "id") -> str:
-    """A digest of a table that does not depend on its order: each row's SHA-256 in the order of ``key``, streamed."""
-    lines = rows.select(key, F.sha2(canonical_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])), 256).alias("h")).orderBy(key)
-    total = hashlib.sha256()
-    for r in lines.select("h").toLocalIterator():
-        total.update(r["h"].encode())
-    return total.hexdigest()
+def content_hash(rows: DataFrame) -> str:
+    """A digest of a table that depends neither on its order nor on its partitions, in one aggregation.
+
+    The rows' SHA-256 digests are added up in four parts of 64 bits, modulo
+    2**64 each, with the number of rows; one row comes to the driver.
+    """
+    line = F.sha2(canonical_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])), 256)
+    part = lambda i: F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = [F.coalesce(F.sum(part(i)), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)]
+    found = rows.select(line.alias("h")).agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    return hashlib.sha256(":".join([str(found["n"]), *(str(int(found[f"s{i}"]) % 2**64) for i in range(4))]).encode()).hexdigest()
 
 
 def file_hashes(spark: SparkSession, folder: str) -> dict[str, str]:
     """SHA-256 of the files in a folder, by name."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(folder)
-    return {r["name"]: r["h"] for r in rows.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("h")).collect()}
+    small = rows.where(F.col("length") <= _WHOLE).select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("h"))
+    large = rows.where(F.col("length") > _WHOLE).select("path").collect()
+    return {r["name"]: r["h"] for r in small.collect()} | {"/".join(r["path"].rsplit("/", 2)[1:]): file_digest(spark, r["path"]) for r in large}

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.errors import DataError
+from boxloom.functions import strict
 from boxloom.functions.hashing import safe_name
-from boxloom.functions.schema import PREDICTION, RECORD
+from boxloom.functions.schema import RECORD
 from boxloom.operators.checks import repeated
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
-MANIFEST = "id string, reference_image string, reference_boxes array<array<double>>, target_image string, query string"
 
 
 def file_name(path: Column) -> Column:
@@ -54,41 +54,44 @@ def records(spark: SparkSession, path: str, split: str | None = None) -> DataFra
     return rows.withColumn("split", fits)
 
 
+def _read_strictly(lines: DataFrame, found: Column, what: str, *others: str) -> DataFrame:
+    """The fields that ``found`` gives for each line that is not blank; a line with an error stops the job."""
+    read = lines.select(*others, "value", found.alias("_f")).where("_f is not null")
+    shown = F.concat(F.lit(f"not a {what}: "), F.col("_f.error"), F.lit(": "), F.substring("value", 1, 80))
+    return read.select(*others, F.when(F.col("_f.error").isNull(), F.col("_f")).otherwise(F.raise_error(shown)).alias("_f")).select(*others, "_f.*").drop("error")
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """id and raw_completion; blank lines are skipped, unknown keys, empty ids and repeated ids are errors."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    rows = lines.select("value", F.from_json("value", PREDICTION).alias("p"), F.json_object_keys("value").alias("keys"))
-    good = (F.array_sort("keys") == F.array(F.lit("id"), F.lit("raw_completion"))) & (F.trim(F.col("p.id")) != "") & F.col("p.raw_completion").isNotNull()
-    checked = rows.select(F.when(good, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not a prediction: "), F.substring("value", 1, 80)))).alias("p")).select("p.*")
+    """id and raw_completion; blank lines are skipped; unknown keys, other kinds, empty ids and repeated ids are errors."""
+    checked = _read_strictly(spark.read.text(path), strict.prediction("value"), "prediction")
     twice = repeated(checked, "id").orderBy("id").limit(5).collect()
     if twice:
         raise DataError(f"predictions repeat ids: {[r['id'] for r in twice]}")
     return checked
 
 
+def resolved(path: Column, base: Column) -> Column:
+    """A path against a folder, unless it is absolute or names its store."""
+    return F.when(path.startswith("/") | path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/"), path).otherwise(F.concat_ws("/", base, path))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks of a manifest: ordinal, id, paths against the manifest's folder, boxes, query and output name.
+    """Tasks of a manifest: line, ordinal, id, paths against the manifest's folder, boxes, query, problem and output name.
 
-    Blank lines and lines that begin with # are skipped; a missing or unknown
-    key, or two tasks with one output name, is an error. A manifest is one file
-    that a person wrote; its lines are numbered in one partition.
+    Blank lines and lines that begin with # are skipped; a line that is no
+    object, a missing or unknown key, a bad id, two tasks with one output name,
+    or no task at all is an error. A task with bad boxes, paths or an empty
+    query has a ``problem`` and fails when it is run. A manifest is one file that
+    a person wrote; its lines are numbered in one partition.
     """
-    lines = spark.read.text(path).coalesce(1).withColumn("_at", F.monotonically_increasing_id())
-    kept = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
-    rows = kept.select((F.col("_at") + 1).alias("line"), F.monotonically_increasing_id().alias("ordinal"), F.from_json("value", MANIFEST).alias("r"), F.json_object_keys("value").alias("keys"))
-    allowed = ["id", "reference_image", "reference_boxes", "target_image", "query"]
-    wanted = F.array(*[F.lit(k) for k in allowed])
-    good = (F.size(F.array_except("keys", wanted)) == 0) & (F.size(F.array_except(F.array(*[F.lit(k) for k in allowed[1:]]), F.col("keys"))) == 0)
-    row = F.when(good, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("manifest line "), F.col("line").cast("string"), F.lit(" has missing or unknown keys"))))
+    lines = spark.read.text(path).coalesce(1).withColumn("line", F.monotonically_increasing_id() + 1)
+    tasks = _read_strictly(lines, strict.task("value"), "task", "line").withColumn("ordinal", F.monotonically_increasing_id())
+    named = tasks.withColumn("id", F.coalesce("id", F.format_string("task-%06d", F.col("ordinal"))))
     base = F.lit(path.rpartition("/")[0])
-
-    def place(c: str) -> Column:
-        return F.when(F.col(c).startswith("/"), F.col(c)).otherwise(F.concat_ws("/", base, F.col(c)))
-
-    tasks = rows.select("line", "ordinal", row.alias("r")).select("line", "ordinal", "r.*")
-    named = tasks.withColumn("id", F.coalesce("id", F.concat(F.lit("task-"), F.lpad(F.col("ordinal").cast("string"), 6, "0"))))
-    done = named.withColumns({"reference_image": place("reference_image"), "target_image": place("target_image"), "output_name": safe_name(F.col("id"))})
-    twice = repeated(done, "output_name").collect()
+    done = named.withColumns({"reference_image": resolved(F.col("reference_image"), base), "target_image": resolved(F.col("target_image"), base), "output_name": safe_name(F.col("id"))})
+    twice = repeated(done, "output_name").orderBy("output_name").limit(5).collect()
     if twice:
-        raise DataError(f"tasks share output names: {sorted(r['output_name'] for r in twice)}")
+        raise DataError(f"tasks share output names: {[r['output_name'] for r in twice]}")
+    if done.isEmpty():
+        raise DataError(f"{path} has no tasks")
     return done

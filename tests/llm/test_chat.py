@@ -72,3 +72,19 @@ def test_query_keeps_rows_that_tie(spark, tmp_path):
     assert got[1]["loss_chars"] == 3 and got[1]["loss_sha256"] == sha("aab")
     assert got[1]["turns_sha256"] == sha("assistant\naa\nassistant\nb\nuser\nx\nuser\nx\n")
     assert got[2]["turns_sha256"] == sha("user\nfirst\nassistant\nlate\nassistant\nlatest\n")
+
+
+def test_logged_restores_every_row(spark):
+    """All four ways of saying a message occur, ties and null turns among them, and their fold gives the rows back."""
+    rng = random.Random(8)
+    rows = [(c, rng.choice([0, 1, 2, 3, None, 2**62, -(2**62)]), rng.choice(["user", "assistant", None]), rng.choice(["", "a", "<|im_end|>", "é\n" * 5, None, "long " * 40])) for c in range(40) for _ in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("copy", F.lit(1))
+    log = chat.logged(df)
+    kinds = {r["kind"] for r in log.select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+    got = {}
+    for r in chat.format_log(log).collect():
+        got.setdefault(r["conv_id"], []).append((r["at"], chat.parse(r["formatted"])[0]))
+    key = lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or "")
+    for c in range(40):
+        assert [x for _, x in sorted(got[c])] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)]

@@ -1,6 +1,9 @@
+import hashlib
 import random
 import re
 
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from boxloom.llm import pii
@@ -76,3 +79,110 @@ def test_one_entity_in_several_forms(spark):
     assert len(digits) == 3 and len(set(digits)) == 1 and digits[0] != "5551234567"
     assert found[0][0][4].startswith("+1 ")
     assert found[1][0][4].split()[-1] == found[1][1][4].split()[-1] != "Smith"
+
+
+def test_more_forms(spark):
+    texts = ["Herr Öäö", "call 555 123 4567 or 555-123-4567", "DE89 3704 0044 0532 0130 00 is DE89370400440532013000", "at fe80::1:2a and 2001:0db8:0000:0000:0000:ff00:0042:8329, at 12:30:10", "4111-1111-1111-1111 is 4111 1111 1111 1111"]
+    out, found = run(spark, texts)
+    assert [[pii.KINDS[e[2]] for e in f] for f in found] == [["name"], ["phone"] * 2, ["iban"] * 2, ["ipv6"] * 2, ["card"] * 2]
+    assert "Öäö" not in out[0] and shape(re.sub("[À-ÿ]", "a", found[0][0][4])) == "Aaaa Aaa".replace("Aaa", "aaa")
+    bare = lambda x: re.sub("[^0-9A-Za-z]", "", x)
+    for i in (1, 2, 4):
+        assert bare(found[i][0][4]) == bare(found[i][1][4]) != bare(found[i][0][3])
+    assert all(re.fullmatch("[0-9a-f:]+", e[4]) and [len(x) for x in e[4].split(":")] == [len(x) for x in e[3].split(":")] for e in found[3])
+
+
+def test_texts_that_stop_a_backtracking_matcher(spark):
+    """Runs that a matcher could only undo step by step; each took the process down, or time with the square of its length."""
+    texts = ["x@" + "a." * 20_000 + " 1", "a" * 60_000 + " 1", "x@" * 20_000 + "1", "1" * 60_000, "AB12" + " AB12" * 10_000, "a:" * 30_000, "Mr. " * 20_000 + "A", "1.2." * 20_000, "mail a@b.co " * 3000]
+    out, found = run(spark, texts)
+    assert [len(f) for f in found[:2]] == [0, 0] and len(found[-1]) == 3000
+    assert len(set(out[-1].split())) == 2 and "a@b.co" not in out[-1]
+
+
+def permuted(text, key, tag):
+    """The network as the module's docstring has it, in plain Python."""
+
+    def shifted(half, stream, sign):
+        out = []
+        for i, c in enumerate(half):
+            letters = next((k for k in pii.CLASSES if c in k), None)
+            by = int(stream[i % 32 * 2 : i % 32 * 2 + 2], 16) * sign
+            out.append(letters[(letters.index(c) + by) % len(letters)] if letters else c)
+        return "".join(out)
+
+    cut = len(text) // 2
+    a, b = text[:cut], text[cut:]
+    for n in (1, 2, 3, 0, -3, -2, -1):
+        if n == 0:
+            whole = list(b + a)
+            for i, c in enumerate(whole):
+                letters = next((k for k in pii.CLASSES if c in k), None)
+                if letters:
+                    whole[i] = letters[(letters.index(c) + 1) % len(letters)]
+                    break
+            whole = "".join(whole)
+            a, b = whole[:cut], whole[cut:]
+        else:
+            stream = hashlib.sha256("\x1f".join((key, tag, str(abs(n)), a.lower())).encode()).hexdigest()
+            a, b = shifted(b, stream, 1 if n > 0 else -1), a
+    return b + a
+
+
+def surrogate(kind, value, key):
+    index, name = str(kind), pii.KINDS[kind]
+    if name == "ip":
+        o = [int(x) for x in value.split(".")]
+        a, b = o[0] * 256 + o[1], o[2] * 256 + o[3]
+        for n in (1, 2, 3, 0, -3, -2, -1):
+            by = int(hashlib.sha256("\x1f".join((key, "ip", str(abs(n)), str(a))).encode()).hexdigest()[:4], 16)
+            a, b = (b, a ^ 1) if n == 0 else (b ^ by, a)
+        return ".".join(str(x) for w in (b, a) for x in (w >> 8, w & 255))
+    head, tail = (regex.search(p, value)[0] for p in pii.KEPT[name])
+    body = value[len(head) : len(value) - len(tail)]
+    if name == "name":
+        return head + " ".join(permuted(w[:-1], key, "\x1f".join((index, w[-1].lower()))) + w[-1] for w in body.split(" "))
+    tag = "\x1f".join([index] + ([head.lower()] if name != "phone" else []) + ([tail.lower()] if name != "card" else []))
+    if name == "ipv6":
+        coded = "".join(pii._HEX["0123456789abcdef".index(c)] if c in "0123456789abcdef" else c for c in body.lower())
+        return "".join("0123456789abcdef"[pii._HEX.index(c)] if c in pii._HEX else c for c in permuted(coded, key, tag))
+    if name in ("card", "phone", "iban"):
+        made = iter(permuted(re.sub("[^0-9A-Za-z]", "", body), key, tag))
+        new = "".join(next(made) if re.match("[0-9A-Za-z]", c) else c for c in body)
+    else:
+        new = permuted(body, key, tag)
+    if name == "card":
+        digit = next(d for d in range(10) if luhn(head + body + str(d)))
+        wanted = (next(d for d in range(10) if luhn(head + new + str(d))) + int(tail) - digit) % 10
+        return head + new + str(wanted)
+    return head + new + tail
+
+
+def brute(text, key):
+    met = sorted((m.start(), -m.end(), k, m[0]) for k, p in enumerate(pii.PATTERNS.values()) for m in regex.finditer(p, text or ""))
+    out, spans, at = "", [], 0
+    for start, end, kind, value in met:
+        if start >= at:
+            out += text[at:start] + surrogate(kind, value, key)
+            spans.append(f"{pii.KINDS[kind]}:{start}:{-end}")
+            at = -end
+    return (None if text is None else out + text[at:]), ",".join(spans)
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    from boxloom.llm import queries
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs += [(-1, None), (-2, ""), (None, "Mr. Ångström, a.b@c-d.co.uk; Госпожа Ёлкина"), (-3, "fe80::1 DE89 3704 0044 0532 0130 00"), (-3, "fe80::1 DE89 3704 0044 0532 0130 00")]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in queries.op5_pii(spark, str(tmp_path)).collect()]
+    want = [(i, new, spans.count(",") + 1 if spans else 0, spans) for i, t in docs for new, spans in [brute(t, queries.PII_TEST_KEY)]]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert sum(r[2] for r in got) > 50
+
+
+def test_collisions_are_refused(spark):
+    df = spark.sql("SELECT array(named_struct('kind', 0, 'value', 'a@b.co', 'surrogate', 'x@y.co'), named_struct('kind', 0, 'value', 'c@d.co', 'surrogate', 'X@y.co')) AS entities")
+    with pytest.raises(ValueError, match="stands for 2"):
+        pii.checked(df)

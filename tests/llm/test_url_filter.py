@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from boxloom.llm import url_filter
+from boxloom.runtime import write_table
 
 SCHEMA = "page_id long, url string"
 
@@ -35,18 +37,39 @@ def test_rules_and_list(spark):
     assert rows(spark, URLS + URLS, rules=RULES, listed=listed) == want
 
 
-def test_join_beyond_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BITS", 1)
-    assert rows(spark, URLS, rules=RULES, listed=["ads.example.com"]) == [brute(u, RULES, ["ads.example.com"]) for u in URLS]
+def test_list_as_a_table(spark):
+    listed = spark.createDataFrame([("ads.example.com",), (None,), ("c.net",), ("c.net",)], "h string")
+    assert rows(spark, URLS, rules=RULES, listed=listed) == [brute(u, RULES, ["ads.example.com", "c.net"]) for u in URLS]
+
+
+def test_too_long_a_list_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BYTES", 1)
+    with pytest.raises(ValueError, match="listed keys"):
+        rows(spark, URLS, rules=RULES, listed=["ads.example.com"])
 
 
 def test_cascade_is_exact(spark):
-    keys = [f"k{i}" for i in range(3000)]
-    universe = spark.createDataFrame([(k,) for k in keys], "key string")
-    listed = keys[::7]
-    cascade = url_filter.Cascade.build(listed, universe)
+    keys = [f"k{i}" for i in range(30_000)]
+    universe = write_table(spark.createDataFrame([(k,) for k in keys], "key string"), "universe")
+    # one in seven is listed, and as many keys that the corpus lacks
+    listed = [*keys[::7], *(f"x{i}" for i in range(4000))]
+    cascade = url_filter.Cascade.build(write_table(spark.createDataFrame([(k,) for k in listed], "key string"), "listed"), universe)
     got = {r["key"] for r in universe.where(cascade.holds(F.col("key"))).collect()}
-    assert got == set(listed) and len(cascade.levels) > 1
+    assert got == set(keys[::7]) and len(cascade.levels) > 4
+
+
+def test_long_list(spark):
+    """100,000 listed hosts, some with subdomains in the pages."""
+    listed = [f"h{i}.example.com" for i in range(100_000)]
+    urls = [f"http://{'' if i % 2 else 'sub.'}h{i * 13}.example.{'com' if i % 3 else 'org'}/p" for i in range(20_000)]
+    assert rows(spark, urls, rules=RULES, listed=listed) == [brute_listed(u, set(listed)) for u in urls]
+
+
+def brute_listed(url, listed):
+    host, path, rule, verdict = brute(url, RULES, [])
+    if rule is None and any(host.split(".", n)[n] in listed for n in range(host.count(".") + 1)):
+        verdict = "block"
+    return host, path, rule, verdict
 
 
 def test_empty(spark):
