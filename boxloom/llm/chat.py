@@ -92,7 +92,7 @@ def logged(messages: DataFrame) -> DataFrame:
     for i, w in enumerate(ways[1:], 1):
         chosen = F.when(way == i, F.array(*w)).otherwise(chosen)
     # sequence numbers run on from turn to turn, those of null turns at the end
-    base = F.coalesce(F.col("turn").cast("decimal(20,0)"), F.lit(10**19).cast("decimal(20,0)")) * F.lit(8).cast("decimal(2,0)")
+    base = F.coalesce(F.col("turn").cast("decimal(20,0)"), F.lit(str(10**19)).cast("decimal(20,0)")) * F.lit(8).cast("decimal(2,0)")
     steps = each.select("conv_id", "turn", slot.alias("slot"), base.alias("base"), F.posexplode(chosen).alias("step", "e"))
     return steps.select("conv_id", "turn", "slot", (F.col("base") + F.col("step").cast("decimal(2,0)")).alias("seq"), "e.kind", "e.role", "e.text")
 
