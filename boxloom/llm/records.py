@@ -16,8 +16,9 @@ when the manifest, a Spark-committed table, names them; what a lost executor
 left half-written is never read.
 
 Defined results: null texts count as empty (one end id); a null doc_id sorts
-first and stays null; rows that repeat a doc_id are records each; an empty
-table gives an empty manifest and no rows.
+first and stays null; rows that repeat a doc_id are records each, in the order
+of the texts' first 32 characters, then of a hash; an empty table gives an empty
+manifest and no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from boxloom.runtime import new_path, write_table
 MASK = 0xA282EAD8
 HAS_ID, WIDE = 1, 2
 BLOCK = 4 << 20
+#: Bytes of text a file is made of, about.
+FILE_BYTES = 128 << 20
 
 
 def masked(data: bytes) -> int:
@@ -116,9 +119,14 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     spark = docs.sparkSession
     system, place = _open(folder)
     system.create_dir(place, recursive=True)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = parts
+    if n is None:
+        held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_BYTES))
+    # rows that share a doc_id, or have none, may be many: they are dealt by their texts as well
+    place = ["doc_id", F.substring("text", 1, 32), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *place).sortWithinPartitions(*place, "text")
     return write_table(ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part int, file string, records long, ids long"), "manifest")
 
 

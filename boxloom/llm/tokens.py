@@ -1,12 +1,13 @@
 """Token ids of whole texts by a public tokenizer file.
 
 A text is cut at single spaces into units whose ids do not depend on their
-neighbours; each worker finds a unit's ids once and keeps them. A unit of Latin
-letters, digits and signs is cut once more, into runs of letters and the rest,
-which are tokens' own borders, so that a word is encoded once however it is
-punctuated. Texts in which a cut could change the ids (a space beside other
-white space, in a vocabulary whose tokens carry spaces) go to the tokenizer
-whole, as do units with an apostrophe or with characters beyond Latin-1.
+neighbours, and a unit of Latin letters, digits and signs once more, into runs
+of letters and the rest, which are tokens' own borders. The cuts are found over
+the bytes of many texts at once; each worker finds a piece's ids once and keeps
+them. Units with an apostrophe or with characters beyond Latin-1 stay whole.
+Texts in which a cut could change the ids go to the tokenizer whole: those with
+the string of an added token, which the tokenizer takes as that token, and, in a
+vocabulary whose tokens carry spaces, with a space beside other white space.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import pyarrow.compute as pc
 
 #: Unicode's white space, as the tokenizers' patterns know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Units kept by a worker, and as many pieces of units; beyond it a store starts anew.
+#: Pieces kept by a worker; beyond it the store starts anew.
 STORE = 500_000
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-#: What keeps a unit whole: an apostrophe, other characters than ASCII and Latin-1 letters, white space side by side.
-WHOLE = re.compile(f"[^ -&(-~\n{LETTERS}]|\n[\n ]|(?<=.) |^ $")
-PIECE = re.compile(f" ?[{LETTERS}]+| ?[^ {LETTERS}]+")
+WORD = re.compile(f" ?[{LETTERS}]+")
+
+#: Kinds of bytes. An odd byte keeps its unit whole; the two bytes of a Latin-1 letter are letters.
+SIGN, LETTER, SPACE, ODD = range(4)
 
 _encoders: dict[str, UnitEncoder] = {}
 
@@ -41,6 +43,8 @@ def encoder(path: str) -> UnitEncoder:
 def _cut(spec: dict) -> str:
     """How texts may be cut: with the space before a unit, with spaces dropped, or not at all."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    if any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens") or []):
+        return "whole"
     if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
         return "kept"
     steps = (norm or {}).get("normalizers", [])
@@ -58,35 +62,45 @@ def _byte_letters() -> list[str]:
     return [chr(rest.get(b, b)) for b in range(256)]
 
 
-class _Store:
-    """Ids of strings, in one array."""
-
-    def __init__(self):
-        self.slots: dict[str, int] = {}
-        self.flat, self.starts = array("I"), array("q", [0])
-
-    def add(self, key: str, ids) -> None:
-        self.slots[key] = len(self.slots)
-        self.flat.extend(ids)
-        self.starts.append(len(self.flat))
-
-
-class _Pieces(dict):
-    """Ids of pieces, found when first asked for."""
-
-    def __init__(self, owner: UnitEncoder):
-        super().__init__()
-        self.tokenizer, self.shown, self.lower = owner.tokenizer, owner.shown, owner.cut == "dropped"
-        self.model = owner.tokenizer.model
-
-    def __missing__(self, piece: str) -> array:
-        if piece[-1].isalpha():
-            word = piece.lower() if self.lower else piece
-            ids = array("I", [t.id for t in self.model.tokenize(word.translate(self.shown))])
-        else:
-            ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        self[piece] = ids
-        return ids
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, ODD, np.uint8)
+    kinds[[*range(0x21, 0x7F), 0x0A]] = SIGN
+    kinds[0x27] = ODD
+    kinds[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = LETTER
+    kinds[0x20] = SPACE
+    return kinds
+
+
+_KINDS = _byte_kinds()
+
+
+def cut_pieces(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The pieces of all texts, one after the other, and the place of each text's first piece (and the end)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    signs = lead[(data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7)]  # the times and the division sign stand among the letters
+    kinds[signs] = ODD
+    lines = data == 0x0A
+    kinds[:-1][lines[:-1] & lines[1:]] = ODD
+    unit = kinds == SPACE
+    unit[offsets[:-1][offsets[:-1] < len(data)]] = True
+    begins = unit.copy()
+    begins[1:] |= (kinds[1:] != kinds[:-1]) & (kinds[:-1] != SPACE)
+    at = np.flatnonzero(begins)
+    odd = np.flatnonzero(kinds == ODD)
+    if len(odd):
+        first = unit[at]
+        whole = np.zeros(np.count_nonzero(first), bool)
+        whole[np.searchsorted(at[first], odd, "right") - 1] = True
+        at = at[first | ~whole[np.cumsum(first) - 1]]
+    ends = np.append(at, len(data))
+    pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+    return pieces, np.searchsorted(at, offsets)
 
 
 class UnitEncoder:
@@ -94,74 +108,68 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path) as f:
-            self.cut = _cut(json.load(f))
+            spec = json.load(f)
+        self.cut = _cut(spec)
+        apart = [re.escape(t["content"]) for t in spec.get("added_tokens") or []] + [f" [{WHITE}]|[{WHITE}] "] * (self.cut == "kept")
+        self.apart = "|".join(apart)
         letters = _byte_letters()
         self.shown = {c: "".join(letters[b] for b in chr(c).encode()) for c in (*range(128), *range(0xC0, 0x100))}
-        self.units, self.pieces = _Store(), _Pieces(self)
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, units: list[str]) -> None:
-        """Find the ids of units not in the store."""
-        if len(self.pieces) + 2 * len(units) > STORE:
-            self.pieces = _Pieces(self)
-        known, store, hard = self.pieces, self.units, []
-        slots, flat, starts = store.slots, store.flat, store.starts
-        whole, cut, ids_of, put = WHOLE.search, PIECE.findall, known.__getitem__, flat.extend
-        for unit in units:
-            if whole(unit):
-                hard.append(unit)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.flat, self.starts = array("I"), array("q", [0])
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Find the ids of pieces not in the store."""
+        slots, flat, starts, shown, word, tokenize = self.slots, self.flat, self.starts, self.shown, WORD.fullmatch, self.tokenizer.model.tokenize
+        dropped, rest = self.cut == "dropped", []
+        for piece in pieces:
+            if not word(piece):
+                rest.append(piece)
                 continue
-            for ids in map(ids_of, cut(unit)):
-                put(ids)
-            slots[unit] = len(slots)
+            said = piece.lstrip(" ").lower() if dropped else piece
+            flat.extend([t.id for t in tokenize(said.translate(shown))])
+            slots[piece] = len(slots)
+            starts.append(len(flat))
+        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            flat.extend(found.ids)
+            slots[piece] = len(slots)
             starts.append(len(flat))
-        for unit, found in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
-            store.add(unit, found.ids)
-
-    def _units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.cut == "kept":
-            parts = pc.split_pattern(pc.replace_substring(texts, " ", "\x00 "), "\x00")
-        else:
-            parts = pc.split_pattern(texts, " ")
-        coded = parts.flatten().dictionary_encode()
-        units = coded.dictionary.to_pylist()
-        if len(self.units.slots) + len(units) > STORE:
-            self.units = _Store()
-        self._learn([u for u in units if u not in self.units.slots])
-        slot = np.fromiter(map(self.units.slots.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy(zero_copy_only=False)]
-        starts, flat = np.array(self.units.starts, np.int64), np.array(self.units.flat, np.uint32)
+
+    def _pieces(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        pieces, begin = cut_pieces(texts)
+        coded = pieces.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        if len(self.slots) + len(known) > STORE:
+            self._forget()
+        self._learn([p for p in known if p not in self.slots])
+        slot = np.fromiter(map(self.slots.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy(zero_copy_only=False)]
+        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.uint32)
         first, sizes = starts[slot], starts[slot + 1] - starts[slot]
         ends = np.cumsum(sizes)
         ids = flat[np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        at = np.r_[0, ends][parts.offsets.to_numpy(zero_copy_only=False)]
-        return ids, at
+        return ids, np.r_[0, ends][begin]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the place where each text's ids start (and the end); null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if self.cut == "whole":
-            hard = np.ones(len(texts), bool)
-        elif self.cut == "kept":
-            hard = pc.match_substring_regex(texts, f" [{WHITE}]|[{WHITE}] |\x00").to_numpy(zero_copy_only=False)
-        else:
-            hard = np.zeros(len(texts), bool)
+        hard = np.full(len(texts), self.cut == "whole")
+        if self.apart:
+            hard |= pc.match_substring_regex(texts, self.apart).to_numpy(zero_copy_only=False)
         if not hard.any():
-            return self._units(texts)
+            return self._pieces(texts)
         out: list = [None] * len(texts)
-        easy = np.flatnonzero(~hard)
+        easy, rest = np.flatnonzero(~hard), np.flatnonzero(hard)
         if len(easy):
-            ids, at = self._units(texts.take(pa.array(easy)))
+            ids, at = self._pieces(texts.take(pa.array(easy)))
             for k, i in enumerate(easy):
                 out[i] = ids[at[k] : at[k + 1]]
-        rest = np.flatnonzero(hard)
-        for i, ids in zip(rest, self._whole(texts.take(pa.array(rest)).to_pylist()), strict=True):
-            out[i] = ids
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast(texts.take(pa.array(rest)).to_pylist(), add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, np.uint32)
         return np.concatenate(out), np.r_[0, np.cumsum([len(x) for x in out])]
 
     def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:

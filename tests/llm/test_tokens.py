@@ -15,12 +15,9 @@ from boxloom.llm.tokens import UnitEncoder
 BYTES, WORDS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string"
 _made = {p: UnitEncoder(p) for p in (BYTES, WORDS)}
-_plain = {}
-for _p in (BYTES, WORDS):
-    _plain[_p] = Tokenizer.from_file(_p)
-    _plain[_p].encode_special_tokens = True
+_plain = {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
 
-ODD = ["", " ", "a b", "a  b", " lead", "trail ", "tab\tx", "a\t b", "a \n b", "nbsp\xa0 x", "x  y", "<|endoftext|> x", "É ÀÇ ê", "é ́x", "I'll we've 'S 12345", "\x00 a", "\x1c \x1d", "日本 語　 x", "a" * 3000, "ΑΣ σΑΣ "]
+ODD = ["", " ", "a b", "a  b", " lead", "trail ", "tab\tx", "a\t b", "a \n b", "nbsp\xa0 x", "x  y", "<|endoftext|> x", "x <|endoftext|> y", "a<|startoftext|>b <|ENDOFTEXT|>", "2×3 ÷ é×", "a,\n\nb\nc", "\n", ".\nB", "a-b_c 12.5%", "É ÀÇ ê", "é ́x", "I'll we've 'S 12345", "\x00 a", "\x1c \x1d", "日本 語　 x", "a" * 3000, "ΑΣ σΑΣ "]
 
 
 def same(texts):
