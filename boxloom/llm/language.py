@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.text import bounded
+from boxloom.llm.text import bounded, give_back
 
 DOCS, SNIPPET, WINDOW = 48, 512, 256
 #: Character classes: unknown letters, anything but letters, then letters (rare ones share the last classes).
 LETTERS, SHARED = 78, 16
 #: Characters parsed at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _known: dict[int, tuple] = {}
 _alpha: list[np.ndarray] = []
@@ -217,6 +217,7 @@ def predictor(rows: list[tuple[str, str]]):
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
         names, scores = _model(fixed).judge(texts.to_pylist())
+        give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
 
     return predict

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.shingles import Sets, alike, mix, seeds, set_numbers, shingle_sets
-from boxloom.llm.text import slices, words
+from boxloom.llm.text import give_back, slices, words
 from boxloom.operators.graph import connected_components
 from boxloom.runtime import drop_tables, sized_broadcast, write_table
 
@@ -223,6 +223,8 @@ def _searcher(radius: int, leads: list[int]):
                 elif len(part[0]) > 1:
                     yield from out(*_forest(*part, radius))
             at = (tag[-1], lead[-1])
+            del batch, tag, rep
+            give_back()
         if held:
             yield from out(*_forest(*map(np.concatenate, zip(*held, strict=True)), radius))
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 #: Unicode's white space, as the tokenizers' patterns know it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces kept by a worker; beyond it the store starts anew.
-STORE = 500_000
+STORE = 200_000
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 WORD = re.compile(f" ?[{LETTERS}]+")
 
