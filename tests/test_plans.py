@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 import zlib
 
@@ -20,23 +21,32 @@ def png(width, height, shade):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def annotation(items):
+WIDTH, HEIGHT, CONCEPTS = 40, 28, ("ring", "vase", "lamp")
+
+
+def annotation(items, width=WIDTH, height=HEIGHT):
     objects = "".join(f"<object><name>{n}</name><bndbox><xmin>{a}</xmin><ymin>{b}</ymin><xmax>{c}</xmax><ymax>{d}</ymax></bndbox></object>" for n, a, b, c, d in items)
-    return f"<annotation><size><width>12</width><height>10</height><depth>3</depth></size>{objects}</annotation>"
+    return f"<annotation><size><width>{width}</width><height>{height}</height><depth>3</depth></size>{objects}</annotation>"
 
 
 @pytest.fixture
-def voc_dir(tmp_path):
+def scene(tmp_path):
+    """A folder of images and notes, and the objects of each noted image; two images have no note and three no objects."""
+    rng, noted = random.Random(13), {}
     images, notes = tmp_path / "images", tmp_path / "notes"
     images.mkdir(), notes.mkdir()
-    for i in range(24):
-        items = [("A" if i < 12 else "B", 2, 2, 5, 6)] + [("A", 6, 3, 9, 7)] * (i == 0)
-        (images / f"image-{i:02d}.png").write_bytes(png(12, 10, i))
-        (notes / f"image-{i:02d}.xml").write_text(annotation(items))
-    (images / "empty.png").write_bytes(png(12, 10, 300))
-    (notes / "empty.xml").write_text(annotation([]))
-    (images / "orphan.png").write_bytes(png(12, 10, 301))
-    return tmp_path
+    for i in range(47):
+        kinds = [] if i < 3 else [CONCEPTS[i % 3]] + rng.choices(CONCEPTS, k=rng.randrange(3))
+        items = []
+        for kind in kinds:
+            x, y = rng.randrange(1, 20), rng.randrange(1, 14)
+            items.append((kind, x, y, x + rng.randrange(3, 20), y + rng.randrange(3, 14)))
+        name = f"scene{i * 7:04d}"
+        (images / f"{name}.png").write_bytes(png(WIDTH, HEIGHT, i))
+        if i < 45:
+            (notes / f"{name}.xml").write_text(annotation(items))
+            noted[f"{name}.png"] = items
+    return tmp_path, noted
 
 
 def compile_config(folder, out="dataset"):
@@ -44,38 +54,46 @@ def compile_config(folder, out="dataset"):
     return config.load(json.dumps({"kind": "compile", "sources": [source], "output": f"file://{folder}/{out}"}))
 
 
-def test_compile_and_evaluate(spark, voc_dir):
-    made = compile_plan.compile_dataset(spark, compile_config(voc_dir))
+def test_compile_and_evaluate(spark, scene):
+    folder, noted = scene
+    made = compile_plan.compile_dataset(spark, compile_config(folder))
     parts = compile_plan.open_dataset(spark, made)
     rows = parts["train"].unionByName(parts["validation"]).unionByName(parts["test"]).cache()
-    assert rows.count() == 49 and rows.where("positive").count() == 24
+    # a row an image and concept, and for each image one concept that it lacks, if there is one
+    held = [(path, kind) for path, items in noted.items() for kind in {i[0] for i in items}]
+    lacking = [path for path, items in noted.items() if {i[0] for i in items} != set(CONCEPTS)]
+    told = rows.select("positive", F.col("target.path").alias("path"), "visual_concept", "target.boxes_xyxy").collect()
+    assert sorted((r["path"], r["visual_concept"]) for r in told if r["positive"]) == sorted(held)
+    assert sorted(r["path"] for r in told if not r["positive"]) == sorted(lacking)
+    for r in told:  # places count from one, and both ends are inside
+        assert [list(b) for b in r["boxes_xyxy"]] == sorted([x1 - 1, y1 - 1, x2, y2] for kind, x1, y1, x2, y2 in noted[r["path"]] if kind == r["visual_concept"])
     audit = sinks.read_document(spark, f"{made}/audit.json")
-    assert audit["orphan_images"] == 1 and sum(r["images"] for r in audit["splits"]) == 25
-    two = rows.where("positive and target.path = 'image-00.png'").first()
-    assert [list(b) for b in two["target"]["boxes_xyxy"]] == [[1, 1, 5, 6], [5, 2, 9, 7]]
+    assert audit["orphan_images"] == 2 and sum(r["images"] for r in audit["splits"]) == len(noted)
     with pytest.raises(ArtifactError):
-        compile_plan.compile_dataset(spark, compile_config(voc_dir))
+        compile_plan.compile_dataset(spark, compile_config(folder))
     said = rows.select("id", F.to_json("detection_set").alias("raw_completion"))
-    report = evaluate.evaluate(spark, rows, said, f"file://{voc_dir}/report")
+    report = evaluate.evaluate(spark, rows, said, f"file://{folder}/report")
     overall = next(s for s in report["slices"] if s["slice"] == "overall")
     assert overall["f1"] == 1.0 and overall["strict_valid_rate"] == 1.0
-    again = evaluate.evaluate(spark, rows.orderBy(F.rand(1)), said.repartition(3), f"file://{voc_dir}/again")
+    again = evaluate.evaluate(spark, rows.orderBy(F.rand(1)), said.repartition(3), f"file://{folder}/again")
     assert again == report
-    assert evaluate.open_report(spark, f"file://{voc_dir}/report")["prediction_hash"] == report["prediction_hash"]
-    path = next((voc_dir / "dataset" / "train").glob("part-*"))
+    assert evaluate.open_report(spark, f"file://{folder}/report")["prediction_hash"] == report["prediction_hash"]
+    path = next((folder / "dataset" / "train").glob("part-*"))
     path.write_text(path.read_text() + "\n")
     (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
     with pytest.raises(ArtifactError):
         compile_plan.open_dataset(spark, made)
 
 
-def test_broken_annotations_are_told_together(spark, voc_dir):
-    (voc_dir / "notes" / "image-01.xml").write_text("<!DOCTYPE x>" + annotation([]))
-    (voc_dir / "notes" / "image-02.xml").write_text(annotation([("A", 2, 2, 50, 6)]))
-    (voc_dir / "notes" / "nowhere.xml").write_text(annotation([]))
+def test_broken_annotations_are_told_together(spark, scene):
+    folder, noted = scene
+    first, second = sorted(noted)[5:7]
+    (folder / "notes" / first.replace("png", "xml")).write_text("<!DOCTYPE x>" + annotation([]))
+    (folder / "notes" / second.replace("png", "xml")).write_text(annotation([("ring", 3, 3, WIDTH + 9, 8)]))
+    (folder / "notes" / "nowhere.xml").write_text(annotation([]))
     with pytest.raises(DataError) as e:
-        compile_plan.compile_dataset(spark, compile_config(voc_dir, "other"))
-    assert all(n in str(e.value) for n in ("image-01", "image-02", "nowhere"))
+        compile_plan.compile_dataset(spark, compile_config(folder, "other"))
+    assert all(n in str(e.value) for n in (first[:-4], second[:-4], "nowhere"))
 
 
 def test_scans(spark, tmp_path):
@@ -101,10 +119,12 @@ def test_config():
 
 
 def test_evidence(spark, tmp_path):
-    (tmp_path / "a.json").write_text('{"gates":[{"gate":"C0","status":"pass"},{"gate":"C1","status":"fail"}]}')
-    (tmp_path / "b.json").write_text('{"gate":"C2","passed":true}')
-    rows = gates.read_evidence(spark, [f"file://{tmp_path}/a.json", f"file://{tmp_path}/b.json"])
-    assert sorted(map(tuple, rows.collect())) == [("C0", True), ("C1", False), ("C2", True)]
+    rng = random.Random(3)
+    told = {gate: rng.random() < 0.5 for gate in ("C2", "D1", "H1", "H2")}
+    (tmp_path / "many.json").write_text(json.dumps({"gates": [{"gate": g, "status": "pass" if told[g] else "fail"} for g in ("H2", "D1", "C2")]}))
+    (tmp_path / "one.json").write_text(json.dumps({"gate": "H1", "passed": told["H1"]}))
+    rows = gates.read_evidence(spark, [f"file://{tmp_path}/many.json", f"file://{tmp_path}/one.json"])
+    assert {r[0]: r[1] for r in rows.collect()} == told
 
 
 def test_stream(spark, tmp_path):
