@@ -33,10 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm.text import lower_ascii
-from boxloom.runtime import sized_broadcast, write_table
+from boxloom.runtime import drop_tables, sized_broadcast, write_table
 
 #: Bytes of one cascade at most, some 50 million listed keys.
 MAX_BYTES = 256 << 20
+#: Sides of fewer keys take levels of a lower rate: these cost a few bytes more and save rounds over the tables.
+SMALL = 1 << 20
+#: Words of a level that are gathered in one job; more come partition by partition.
+GATHERED = 1 << 16
 #: Bits in one place of a level's bytes.
 WORD = 32
 
@@ -87,7 +91,7 @@ def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(WORD)).cast("int"))
     found = places.groupBy(F.floor(F.col("at") / WORD).alias("word")).agg(F.bit_or(mask).alias("mask"))
     words = array("I", bytes(bits // 8))
-    for r in found.toLocalIterator():
+    for r in found.collect() if len(words) <= GATHERED else found.toLocalIterator():
         words[r["word"]] = r["mask"]
     if sys.byteorder == "little":
         words.byteswap()
@@ -110,16 +114,21 @@ class Cascade:
     def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
         """``listed`` and ``universe``: written tables of keys, each once."""
         counts = [listed.count(), universe.count()]
+        if not counts[0]:
+            return cls([])
         sides = [listed, universe.join(sized_broadcast(listed), "key", "left_anti")]
         rate = min(0.5, counts[0] / (math.sqrt(2) * max(counts[1], 1)))
         if -counts[0] * math.log(rate) / math.log(2) ** 2 / 8 * 2 > MAX_BYTES:
             raise ValueError(f"a cascade of {counts[0]} listed keys would pass {MAX_BYTES} bytes")
         levels: list[Level] = []
+        made: list[DataFrame] = []
         while counts[0]:
-            level = _level(sides[0], counts[0], 0.5 if levels else rate, len(levels))
+            level = _level(sides[0], counts[0], (1 / 16 if counts[0] < SMALL else 0.5) if levels else rate, len(levels))
             levels.append(level)
             wrong = write_table(sides[1].where(level.takes(F.col("key"))), "wrong")
+            made.append(wrong)
             sides, counts = [wrong, sides[0]], [wrong.count(), counts[0]]
+        drop_tables(*made)
         return cls(levels)
 
 
@@ -155,6 +164,7 @@ def judge(pages: DataFrame, rules: dict[str, str], listed: DataFrame | Iterable[
     shape = {r["labels"] for r in seen}, {r["length"] for r in seen}
     universe = write_table(parted.select("host", "path").select(F.explode(candidates(F.col("host"), F.col("path"), *shape)).alias("key")).distinct(), "universe")
     cascades = {name: Cascade.build(keys, universe) for name, keys in lists.items()}
+    drop_tables(universe, *lists.values())
     first = {name: F.get(F.filter(F.col("_keys"), c.holds), 0) for name, c in cascades.items() if c.levels}
     columns = [f"c{i}" for i in range(len(kept))]
     plain = parted.toDF(*columns, "_host", "_path").withColumn("_keys", candidates(F.col("_host"), F.col("_path"), *shape))

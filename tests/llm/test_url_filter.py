@@ -61,8 +61,9 @@ def test_cascade_is_exact(spark):
 def test_long_list(spark):
     """100,000 listed hosts, some with subdomains in the pages."""
     listed = [f"h{i}.example.com" for i in range(100_000)]
+    held = set(listed)
     urls = [f"http://{'' if i % 2 else 'sub.'}h{i * 13}.example.{'com' if i % 3 else 'org'}/p" for i in range(20_000)]
-    assert rows(spark, urls, rules=RULES, listed=listed) == [brute_listed(u, set(listed)) for u in urls]
+    assert rows(spark, urls, rules=RULES, listed=listed) == [brute_listed(u, held) for u in urls]
 
 
 def brute_listed(url, listed):
@@ -75,3 +76,5 @@ def brute_listed(url, listed):
 def test_empty(spark):
     assert rows(spark, [], rules=RULES) == []
     assert rows(spark, ["http://a.net/"], rules={}) == [("a.net", "/", None, "allow")]
+    listed = spark.createDataFrame([], "h string")
+    assert rows(spark, ["http://a.net/", "http://b.org/"], rules={}, listed=listed) == [("a.net", "/", None, "allow"), ("b.org", "/", None, "allow")]
