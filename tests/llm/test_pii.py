@@ -23,7 +23,8 @@ def luhn(number):
 
 
 def shape(text):
-    return re.sub("[A-ZА-Я]", "A", re.sub("[a-zа-я]", "a", re.sub("[0-9]", "0", text)))
+    """Each character's class (vowels and consonants told apart), or itself where it has none."""
+    return [next((k for k, letters in enumerate(pii.CLASSES) if c in letters), c) for c in text]
 
 
 def test_kinds_and_formats(spark):
@@ -85,7 +86,7 @@ def test_more_forms(spark):
     texts = ["Herr Öäö", "call 555 123 4567 or 555-123-4567", "DE89 3704 0044 0532 0130 00 is DE89370400440532013000", "at fe80::1:2a and 2001:0db8:0000:0000:0000:ff00:0042:8329, at 12:30:10", "4111-1111-1111-1111 is 4111 1111 1111 1111"]
     out, found = run(spark, texts)
     assert [[pii.KINDS[e[2]] for e in f] for f in found] == [["name"], ["phone"] * 2, ["iban"] * 2, ["ipv6"] * 2, ["card"] * 2]
-    assert "Öäö" not in out[0] and shape(re.sub("[À-ÿ]", "a", found[0][0][4])) == "Aaaa Aaa".replace("Aaa", "aaa")
+    assert "Öäö" not in out[0] and shape(found[0][0][4]) == shape("Herr Öäö")
     bare = lambda x: re.sub("[^0-9A-Za-z]", "", x)
     for i in (1, 2, 4):
         assert bare(found[i][0][4]) == bare(found[i][1][4]) != bare(found[i][0][3])
