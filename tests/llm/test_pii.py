@@ -175,6 +175,7 @@ def test_query_against_brute_force(spark, tmp_path):
 
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     docs += [(-1, None), (-2, ""), (None, "Mr. Ångström, a.b@c-d.co.uk; Госпожа Ёлкина"), (-3, "fe80::1 DE89 3704 0044 0532 0130 00"), (-3, "fe80::1 DE89 3704 0044 0532 0130 00")]
+    docs += [(-10 - i, f"u{i}@x.co, call +1 555-555-{i:04d}; 10.0.{i}.1 and Mrs. Kay Lo") for i in range(20)]
     spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     got = [tuple(r) for r in queries.op5_pii(spark, str(tmp_path)).collect()]
     want = [(i, new, spans.count(",") + 1 if spans else 0, spans) for i, t in docs for new, spans in [brute(t, queries.PII_TEST_KEY)]]
