@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import chat, decontam, language, packing, pii, records, secrets, simhash, syncmers, url_filter
+from boxloom.llm import audit, chat, decontam, language, packing, pii, records, secrets, simhash, syncmers, url_filter
 from boxloom.runtime import write_table
 
 
@@ -149,6 +149,46 @@ SELECT page_id, host, path, rule, CASE
 FROM k
 """
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+f AS (
+  SELECT part, [
+    len(words) < 50,
+    100 * len(list_distinct(words)) < 65 * len(words),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND l.quality = 1) AS good,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND l.toxic = 1) AS toxic
+  FROM w),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT c.*, filter_order, CAST(step AS INTEGER) AS step, fails[ascii(filter_order[step]) - 64] AS here,
+    list_contains(list_transform(range(1, step), lambda i: fails[ascii(filter_order[i]) - 64]), true) AS earlier,
+    len(list_filter(fails, lambda y: y)) = 1 AS alone
+  FROM c, o, range(1, 6) AS r(step)),
+k AS (
+  SELECT part, filter_order, step,
+    CAST(coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (here AND NOT earlier), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (here AND earlier), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (here AND alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (here AND NOT earlier), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (here AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM k
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -161,5 +201,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_records": op8_records,
     "op9_decontam": op9_decontam,
     "op10_url_filter": op10_url_filter,
+    "op11_audit": op11_audit,
 }
-ORACLES: dict[str, str] = {"op6_chat": OP6, "op9_decontam": OP9, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {"op6_chat": OP6, "op9_decontam": OP9, "op10_url_filter": OP10, "op11_audit": OP11}
