@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import audit, chat, decontam, language, packing, pii, records, secrets, simhash, syncmers, url_filter
+from boxloom.llm import align, audit, chat, decontam, language, packing, pii, records, secrets, simhash, syncmers, url_filter
 from boxloom.runtime import write_table
 
 
@@ -189,6 +189,13 @@ k AS (
 SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM k
 """
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    found = align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), pieces)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = found.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pair", "times", "keys", "held")
+    return align.with_counts(rows, align.piece_ids(pieces)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -202,5 +209,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontam": op9_decontam,
     "op10_url_filter": op10_url_filter,
     "op11_audit": op11_audit,
+    "op12_alignment": op12_alignment,
 }
 ORACLES: dict[str, str] = {"op6_chat": OP6, "op9_decontam": OP9, "op10_url_filter": OP10, "op11_audit": OP11}
