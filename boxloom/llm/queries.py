@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import align, audit, chat, decontam, language, packing, pii, records, secrets, simhash, syncmers, url_filter
+from boxloom.llm import align, audit, chat, decontam, language, packing, pii, records, rules, secrets, simhash, syncmers, url_filter
 from boxloom.runtime import write_table
 
 
@@ -196,6 +196,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pair", "times", "keys", "held")
     return align.with_counts(rows, align.piece_ids(pieces)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
@@ -210,5 +214,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_audit": op11_audit,
     "op12_alignment": op12_alignment,
+    "op13_quality": op13_quality,
 }
 ORACLES: dict[str, str] = {"op6_chat": OP6, "op9_decontam": OP9, "op10_url_filter": OP10, "op11_audit": OP11}
