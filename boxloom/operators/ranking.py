@@ -18,14 +18,15 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    at = "_at" + "_" * max((len(c) for c in df.columns), default=0)  # no name of the table's own
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     table = write_table(placed, "ranked")
-    part, row = F.shiftrightunsigned("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit(_ROWS))
+    part, row = F.shiftrightunsigned(at, 33).cast("int"), F.col(at).bitwiseAND(F.lit(_ROWS))
     sizes = {r["p"]: r["n"] for r in table.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = [0] * (max(sizes, default=0) + 1), 0
     for p in range(len(before)):
         before[p], total = total, total + sizes.get(p, 0)
-    return table.withColumn(name, F.get(F.array(*[F.lit(b).cast("long") for b in before]), part) + row).drop("_id")
+    return table.withColumn(name, F.get(F.array(*[F.lit(b).cast("long") for b in before]), part) + row).drop(at)
 
 
 def class_rank(df: DataFrame, flag: str, order: list[Column], name: str = "rank") -> DataFrame:

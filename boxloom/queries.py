@@ -399,9 +399,9 @@ def leakage_groups(spark, sf_dir):
     return groups(spark, sf_dir)
 
 
-@query()
+@query("""SELECT doc_id, source || CASE doc_id % 3 WHEN 0 THEN ':name:scene' || doc_id WHEN 1 THEN ':sequence:k1:x:y' ELSE ':name:b' || doc_id END AS group_key FROM documents""")
 def canonical_names(spark, sf_dir):
-    """Group keys of names with variants: NFKC is beyond SQL, so the tests hold the values."""
+    """Group keys of names with variants. NFKC is beyond SQL, which says the keys by the names' construction."""
     stems = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("GXcam_scene"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("a_K1_x_y_01-C"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("ｂ"), F.col("doc_id").cast("string"), F.lit("_artificial_scene_aug2")))
     return table(spark, sf_dir, "documents").select("doc_id", group_key(F.col("source"), stems).alias("group_key"))
 
@@ -447,6 +447,15 @@ def reference_pairing(spark, sf_dir):
     return pairing.references(pairing.requests(images, CLASSES, 1, SEED), images, SEED)
 
 
+@query(_PLACED + """, spots AS (SELECT *, sha256(concat_ws(chr(31), '17', CAST(record_id AS VARCHAR), concept)) AS place FROM wanted),
+ring AS (SELECT *, sha256(concat_ws(chr(31), '17', concept, CAST(record_id AS VARCHAR))) AS place FROM has)
+SELECT w.record_id, w.group_id, w.split, w.concept, w.positive, arg_min(h.record_id, CASE WHEN h.place >= w.place THEN '0' ELSE '1' END || h.place) AS reference_id
+FROM spots w JOIN ring h ON w.split = h.split AND w.concept = h.concept AND w.group_id <> h.group_id GROUP BY ALL""")
+def ring_pairing(spark, sf_dir):
+    images = write_table(placed_images(spark, sf_dir), "placed")
+    return pairing.ring_references(pairing.requests(images, CLASSES, 1, SEED), images, SEED, arc=256)
+
+
 @query(_PLACED + f""", refs AS (SELECT w.*, arg_min(h.record_id, sha256(concat_ws(chr(31), '17', CAST(w.record_id AS VARCHAR), w.concept, CAST(h.record_id AS VARCHAR)))) AS ref
   FROM wanted w JOIN has h ON w.split = h.split AND w.concept = h.concept AND w.group_id <> h.group_id GROUP BY w.record_id, w.group_id, w.split, w.concept, w.positive)
 SELECT substr(sha256(concat_ws(chr(31), '{pairing.RECORD_DOMAIN}', split, CAST(record_id AS VARCHAR), concept, CAST(ref AS VARCHAR), CASE WHEN positive THEN 'True' ELSE 'False' END)), 1, 24) AS id,
@@ -473,9 +482,41 @@ def audit_counts(spark, sf_dir):
     return rows.unionByName(counts["duplicate_groups"].select(F.lit("duplicates").alias("kind"), F.lit("groups").alias("name"), "n"))
 
 
-@query()
+_SPLITS = _PLACED + """, grp AS (SELECT group_id, list_distinct(flatten(list(concepts))) AS concepts FROM img GROUP BY group_id),
+ph AS (SELECT p, 1 + p // 3 AS least, p % 3 AS sp, ['train', 'validation', 'test'][p % 3 + 1] AS split FROM range(6) r(p)),
+want AS (SELECT [total - v - t, v, t] AS n FROM (SELECT count(*) AS total, CAST(round_even(count(*) * 0.1, 0) AS BIGINT) AS v, CAST(round_even(count(*) * 0.1, 0) AS BIGINT) AS t FROM grp)),
+pick AS (
+  SELECT CAST(0 AS BIGINT) AS p, list_transform(range(12), lambda x: CAST(0 AS BIGINT)) AS held, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS splits
+  UNION ALL
+  SELECT p + CASE WHEN best IS NULL THEN 1 ELSE 0 END,
+    list_transform(held, lambda x, i: x + CASE WHEN best IS NOT NULL AND (i - 1) // 4 = sp AND list_contains(best.concepts, ['de', 'en', 'es', 'fr'][(i - 1) % 4 + 1]) THEN 1 ELSE 0 END),
+    CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.group_id) END, CASE WHEN best IS NULL THEN splits ELSE list_append(splits, split) END
+  FROM (
+    SELECT p, held, taken, splits, sp, split,
+      arg_min({'group_id': group_id, 'concepts': concepts}, CAST(9 - n AS VARCHAR) || sha256(concat_ws(chr(31), '17', CAST(least AS VARCHAR), split, group_id))) FILTER (WHERE n > 0 AND NOT list_contains(taken, group_id)) AS best
+    FROM (
+      SELECT pick.*, ph.least, ph.sp, ph.split, grp.group_id, grp.concepts,
+        len(list_filter(grp.concepts, lambda c: held[ph.sp * 4 + list_position(['de', 'en', 'es', 'fr'], c)] < ph.least)) AS n
+      FROM pick JOIN ph ON ph.p = pick.p CROSS JOIN grp)
+    GROUP BY p, held, taken, splits, sp, split)),
+first AS (SELECT unnest(taken) AS group_id, unnest(splits) AS split FROM pick WHERE p = 6),
+have AS (SELECT [count(*) FILTER (split = 'train'), count(*) FILTER (split = 'validation'), count(*) FILTER (split = 'test')] AS m FROM first),
+rest AS (
+  SELECT group_id, row_number() OVER (ORDER BY sha256(concat_ws(chr(31), '17', 'remaining', group_id))) AS i,
+    list_transform(['train', 'validation', 'test'], lambda s: sha256(concat_ws(chr(31), '17', group_id, s))) AS keys
+  FROM grp WHERE group_id NOT IN (SELECT group_id FROM first)),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS group_id, CAST(0 AS BIGINT) AS sp, list_transform(n, lambda x, k: x - m[k]) AS lack FROM want, have
+  UNION ALL
+  SELECT i, group_id, sp, list_transform(lack, lambda x, k: x - CASE WHEN k = sp THEN 1 ELSE 0 END)
+  FROM (SELECT r.i, r.group_id, lack, list_sort(list_transform([1, 2, 3], lambda k: {'lack': -lack[k], 'key': r.keys[k], 'sp': CAST(k AS BIGINT)}))[1].sp AS sp FROM walk JOIN rest r ON r.i = walk.i + 1))
+SELECT group_id, split FROM first UNION ALL SELECT group_id, ['train', 'validation', 'test'][sp] FROM walk WHERE group_id IS NOT NULL
+"""
+
+
+@query(_SPLITS)
 def split_assignment(spark, sf_dir):
-    """Greedy and sequential: the tests hold its invariants and a brute-force version."""
+    """Greedy: the SQL walks through the groups one by one."""
     by = placed_images(spark, sf_dir).select("group_id", F.explode("concepts").alias("c")).groupBy("group_id").agg(F.collect_set("c").alias("concepts"))
     return splits.assign_splits(write_table(by, "by_group"), CLASSES, {"train": 0.8, "validation": 0.1, "test": 0.1}, SEED)
 
