@@ -12,10 +12,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxloom.functions.matching import THRESHOLDS, matched, overlaps, true_positives
+from boxloom.functions.matching import match_many
 
 GRID = 1000
 
@@ -86,25 +87,36 @@ def parsed(raw: pa.Array) -> pa.Array:
 _SCORED = pa.struct([("valid", pa.bool_()), ("error", pa.string()), ("boxes", pa.list_(pa.list_(pa.int32()))), ("tp", pa.list_(pa.int32())), ("matched", pa.float64())])
 
 
+def _flat(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All boxes of an array of sets, one after the other, and where each set's begin (and the end)."""
+    sizes = pc.fill_null(pc.list_value_length(sets), 0).to_numpy()
+    numbers = sets.flatten().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return numbers.reshape(-1, 4), np.r_[0, np.cumsum(sizes)]
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """An array of lists, one a row of ``values``."""
+    rows, n = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * n, pa.int32()), pa.array(values.ravel(), pa.int32()))
+
+
 @F.arrow_udf(_fields(valid=T.BooleanType(), error=T.StringType(), boxes=_BOXES, tp=T.ArrayType(T.IntegerType()), matched=T.DoubleType()))
 def scored(raw: pa.Array, targets: pa.Array) -> pa.Array:
     """As :func:`parsed`, with matches at each threshold and the largest total IoU."""
-    out = []
-    for text, truth in zip(raw.to_pylist(), targets.to_pylist(), strict=True):
+    found, errors = [], []
+    for text in raw.to_pylist():
         try:
-            boxes, error = sorted(parse(text)[0]), None
+            found.append(sorted(parse(text)[0]))
+            errors.append(None)
         except ValueError as e:
-            boxes, error = [], str(e)
-        iou = overlaps(np.array(boxes, float), np.array(truth or [], float))
-        out.append({"valid": error is None, "error": error, "boxes": boxes, "tp": true_positives(iou) if iou.size else [0] * len(THRESHOLDS), "matched": matched(iou)[1]})
-    return pa.array(out, _SCORED)
+            found.append([])
+            errors.append(str(e))
+    boxes, error = pa.array(found, _SCORED.field("boxes").type), pa.array(errors, pa.string())
+    tp, total = match_many(*_flat(boxes), *_flat(targets))
+    return pa.StructArray.from_arrays([error.is_null(), error, boxes, _lists(tp), pa.array(total)], fields=list(_SCORED))
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
     """Matches of one prediction against another at each threshold."""
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        iou = overlaps(np.array(x, float), np.array(y, float))
-        out.append(true_positives(iou) if iou.size else [0] * len(THRESHOLDS))
-    return pa.array(out, pa.list_(pa.int32()))
+    return _lists(match_many(*_flat(a), *_flat(b), totals=False)[0])

@@ -96,7 +96,16 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.withColumn("raw_completion", F.when(F.col("k") % 11 == 0, F.concat(F.lit("```json"), text, F.lit("```"))).otherwise(text))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows in as many partitions as shuffles have: few bytes, but much work each."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(_examples(spark, sf_dir))
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).select(
         F.col("k").cast("string").alias("id"), F.concat(F.lit("c"), (F.col("k") % 3).cast("string")).alias("visual_concept"), F.lit("q").alias("query"), F.col("k").cast("string").alias("target_key"),
         F.lit("r0").alias("reference_key"), "targets", F.col("targets").alias("pixel_boxes"), F.lit(1000).alias("width"), F.lit(1000).alias("height"), "raw_completion",

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from boxloom.functions import detections
+from boxloom.functions import detections, matching
 from boxloom.functions.matching import THRESHOLDS, matched, overlaps, true_positives
 
 
@@ -99,3 +99,30 @@ def test_largest_by_random_graphs():
         edges = [[j for j in range(4) if rng.random() < 0.4] for _ in range(4)]
         best = max(sum(j in edges[i] for i, j in enumerate(p)) for p in itertools.permutations(range(4)))
         assert largest(edges) == best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_many_sets_as_one_by_one(seed):
+    rng = random.Random(seed)
+
+    def boxes(n):
+        corners = ((rng.randrange(0, 40, 4), rng.randrange(0, 40, 4)) for _ in range(n))
+        return [[x, y, x + rng.randrange(8, 40, 4), y + rng.randrange(8, 40, 4)] for x, y in corners]
+
+    sets = [(boxes(rng.randrange(0, 9)), boxes(rng.randrange(0, 9))) for _ in range(150)] + [(boxes(33), boxes(17)), ([], []), (boxes(2), [])]
+    flat = []
+    for side in (0, 1):
+        flat += [np.array([b for s in sets for b in s[side]], float).reshape(-1, 4), np.r_[0, np.cumsum([len(s[side]) for s in sets])]]
+    counts, totals = matching.match_many(*flat)
+    for (a, b), tp, total in zip(sets, counts, totals, strict=True):
+        iou = matching.overlaps(np.array(a, float), np.array(b, float))
+        assert tp.tolist() == (matching.true_positives(iou) if iou.size else [0] * 10)
+        assert total == pytest.approx(matching.matched(iou)[1])
+    assert matching.match_many(*flat, totals=False)[0].tolist() == counts.tolist()
+
+
+def test_many_assignments():
+    rng = np.random.default_rng(4)
+    gain = np.where(rng.random((200, 5, 7)) < 0.5, rng.random((200, 5, 7)), 0)
+    for one, cols in zip(gain, matching.assign_many(gain), strict=True):
+        assert len(set(cols)) == 5 and sum(one[i, c] for i, c in enumerate(cols)) == pytest.approx(sum(one[i, j] for i, j in matching.assign(one)))

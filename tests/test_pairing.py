@@ -41,10 +41,10 @@ def offers(rows, asked):
         yield r, c, [x for x, group, split, has in rows if split == s and c in has and group != g]
 
 
-@pytest.mark.parametrize("block", [3, 1024])
-def test_least_hash_reference(spark, block):
+@pytest.mark.parametrize(("block", "short_list"), [(3, 1), (8, 2), (1024, 32)])
+def test_least_hash_reference(spark, block, short_list):
     rows, asked = scene(1, 60, 6)
-    found = pairs(pairing.references(spark.createDataFrame(asked, ASKED), spark.createDataFrame(rows, IMAGE), 5, block))
+    found = pairs(pairing.references(spark.createDataFrame(asked, ASKED), spark.createDataFrame(rows, IMAGE), 5, block, short_list))
     assert found == {(r, c): min(xs, key=lambda x: digest(5, r, c, x)) for r, c, xs in offers(rows, asked) if xs}
 
 
