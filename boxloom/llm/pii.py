@@ -50,12 +50,22 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def _cased(blocks: list[tuple[int, int]]) -> list[str]:
-    """The lower-case, the upper-case and the other letters of each block."""
+    """The classes of each block: its small letters and, in the same order, their capitals; then the small ones, capitals and others without a counterpart.
+
+    Either case of a letter moves alike, so that a name and the name in capitals
+    correspond. A letter that would be alone in its class joins the others.
+    """
     out = []
     for lo, hi in blocks:
         letters = [chr(c) for c in range(lo, hi) if chr(c).isalpha()]
-        out += ["".join(x) for x in ([c for c in letters if c.islower()], [c for c in letters if c.isupper()], [c for c in letters if not c.islower() and not c.isupper()])]
-    return [x for x in out if x]
+        small = [c for c in letters if c.islower() and c.upper() in letters and c.upper().lower() == c]
+        capital = [c.upper() for c in small]
+        alone = [c for c in letters if c not in small and c not in capital]
+        kinds = [[c for c in alone if c.islower()], [c for c in alone if c.isupper()]]
+        kinds = [k for k in kinds if len(k) > 1]
+        rest = [c for c in alone if not any(c in k for k in kinds)]
+        out += ["".join(k) for k in (small, capital, *kinds, rest) if k]
+    return out
 
 
 #: Stand-ins for the sixteen hexadecimal digits while they are permuted.
@@ -238,9 +248,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
 
 
 def collisions(found: DataFrame, found_col: str = "entities") -> DataFrame:
-    """Surrogates that stand for more than one entity: kind, surrogate and entities. E-mail case does not tell entities apart."""
-    each = found.select(F.explode(found_col).alias("e")).select(F.col("e.kind").alias("kind"), F.lower("e.surrogate").alias("surrogate"), F.lower("e.value").alias("value")).distinct()
-    return each.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Surrogates that stand for more than one entity: kind, surrogate and entities. E-mail and IPv6 addresses are the same in either case."""
+    each = found.select(F.explode(found_col).alias("e"))
+    folded = F.col("e.kind").isin(KINDS.index("email"), KINDS.index("ipv6"))
+    shown = {side: F.when(folded, F.lower(f"e.{side}")).otherwise(F.col(f"e.{side}")).alias(side) for side in ("surrogate", "value")}
+    return each.select(F.col("e.kind").alias("kind"), *shown.values()).distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def checked(found: DataFrame, found_col: str = "entities") -> DataFrame:

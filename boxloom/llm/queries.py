@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +37,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-#: The setting that holds the surrogates' key, and a key for test data, which anyone can read here.
-PII_SETTING, PII_TEST_KEY = "spark.boxloom.pii.key", "boxloom surrogate key"
+#: The setting that holds the surrogates' key. Without it a run has a key of its own, which nobody gets to know.
+PII_SETTING = "spark.boxloom.pii.key"
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with surrogates, and what was replaced where: kind:start:end, without the entities themselves."""
-    key = spark.conf.get(PII_SETTING, PII_TEST_KEY)
+    key = spark.conf.get(PII_SETTING, None) or token_hex(32)
     found = pii.checked(write_table(pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key), "entities"))
     names = F.array(*[F.lit(k) for k in pii.KINDS])
     spans = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", F.get(names, e["kind"]), e["start"].cast("string"), e["end"].cast("string"))), ",")

@@ -176,9 +176,14 @@ def test_query_against_brute_force(spark, tmp_path):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     docs += [(-1, None), (-2, ""), (None, "Mr. Ångström, a.b@c-d.co.uk; Госпожа Ёлкина"), (-3, "fe80::1 DE89 3704 0044 0532 0130 00"), (-3, "fe80::1 DE89 3704 0044 0532 0130 00")]
     docs += [(-10 - i, f"u{i}@x.co, call +1 555-555-{i:04d}; 10.0.{i}.1 and Mrs. Kay Lo") for i in range(20)]
+    docs += [(-100 - i, f"Herr {c}{d}x, Frau Ý{c.lower()}ş") for i, (c, d) in enumerate((c, d) for c in "ÈÉÜÝÞ" for d in "àìÿßø")]
     spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    got = [tuple(r) for r in queries.op5_pii(spark, str(tmp_path)).collect()]
-    want = [(i, new, spans.count(",") + 1 if spans else 0, spans) for i, t in docs for new, spans in [brute(t, queries.PII_TEST_KEY)]]
+    spark.conf.set(queries.PII_SETTING, "of the tests")
+    try:
+        got = [tuple(r) for r in queries.op5_pii(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset(queries.PII_SETTING)
+    want = [(i, new, spans.count(",") + 1 if spans else 0, spans) for i, t in docs for new, spans in [brute(t, "of the tests")]]
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(r[2] for r in got) > 50
@@ -188,3 +193,16 @@ def test_collisions_are_refused(spark):
     df = spark.sql("SELECT array(named_struct('kind', 0, 'value', 'a@b.co', 'surrogate', 'x@y.co'), named_struct('kind', 0, 'value', 'c@d.co', 'surrogate', 'X@y.co')) AS entities")
     with pytest.raises(ValueError, match="stands for 2"):
         pii.checked(df)
+
+
+def test_accented_names_in_either_case(spark):
+    """Each of 744 names with an accented capital and an accented small letter, and the same names in capitals."""
+    small = [chr(c) for c in range(0xE0, 0x100) if chr(c).isalpha() and chr(c) not in "ßÿ"]
+    names = [f"{c.upper()}{d}{e}" for c in small for d in small for e in "xr"][:744]
+    _, found = run(spark, [f"Herr {n}, Herr {n.upper()}" for n in names])
+    made = [[e[4] for e in f] for f in found]
+    assert all(len(m) == 2 and m[0].split()[1].upper() == m[1].split()[1] for m in made)
+    assert len({m[0] for m in made}) == len({m[1] for m in made}) == len(names)
+    df = spark.createDataFrame(list(enumerate(f"Herr {n}, Herr {n.upper()}" for n in names)), "doc_id long, text string")
+    assert pii.collisions(pii.pseudonymize(df, "k")).count() == 0
+    assert all(len(k) > 1 for k in pii.CLASSES) and len(set("".join(pii.CLASSES))) == sum(map(len, pii.CLASSES))
