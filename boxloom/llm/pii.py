@@ -58,7 +58,7 @@ def _cased(blocks: list[tuple[int, int]]) -> list[str]:
     out = []
     for lo, hi in blocks:
         letters = [chr(c) for c in range(lo, hi) if chr(c).isalpha()]
-        small = [c for c in letters if c.islower() and c.upper() in letters and c.upper().lower() == c]
+        small = [c for c in letters if c.islower() and c.upper() != c and c.upper() in letters and c.upper().lower() == c]
         capital = [c.upper() for c in small]
         alone = [c for c in letters if c not in small and c not in capital]
         kinds = [[c for c in alone if c.islower()], [c for c in alone if c.isupper()]]
