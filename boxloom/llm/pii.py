@@ -64,6 +64,9 @@ def _cased(blocks: list[tuple[int, int]]) -> list[str]:
         kinds = [[c for c in alone if c.islower()], [c for c in alone if c.isupper()]]
         kinds = [k for k in kinds if len(k) > 1]
         rest = [c for c in alone if not any(c in k for k in kinds)]
+        if len(rest) == 1 and kinds:
+            kinds[0] += rest
+            rest = []
         out += ["".join(k) for k in (small, capital, *kinds, rest) if k]
     return out
 
