@@ -20,6 +20,7 @@ import argparse
 import importlib
 import json
 import sys
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -122,7 +123,7 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         done = None if config.overwrite else predict.finished(spark, f"{config.output}/outputs")
         found = predict.kept(predict.batch(tasks, _model(args.model), done))
         predict.write_outputs(found, tasks, f"{config.output}/outputs")
-        with sinks.publish(spark, f"{config.output}/results-{C.config_hash(config)[:12]}-{spark.sparkContext.applicationId}") as folder:
+        with sinks.publish(spark, f"{config.output}/results-{C.config_hash(config)[:12]}-{uuid.uuid4().hex[:12]}") as folder:
             predict.write_results(predict.result_lines(found, tasks, f"{config.output}/outputs"), folder)
         failed = found.where("status = 'failed'").count()
         _say({"output": config.output, "failed": failed})
@@ -137,13 +138,14 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.command == "artifact" and args.operation == "init":
         config = _settings(spark, args.settings, C.ArtifactConfig)
         resources.check(spark, config)
-        contract = sinks.read_document(spark, config.contract)
-        made = artifacts.wrap(spark, config.source_adapter, config.output, artifacts.verify_contract(contract, contract), _topology(spark, args.topology), config.stage, config.parent_artifact, C.config_hash(config))
-        _say({"artifact": made.path, "artifact_fingerprint": made.fingerprint})
+        contract, topology = sinks.read_document(spark, config.contract), _topology(spark, args.topology)
+        above = artifacts.unseal(spark, config.parent_artifact, contract, topology).seal if config.parent_artifact else None
+        card = {"stage": config.stage, "from": config.source_adapter, "parent": above, "config_hash": C.config_hash(config)}
+        made = artifacts.seal(spark, config.source_adapter, config.output, artifacts.verify_contract(contract, contract), topology, card)
+        _say({"artifact": made.path, "seal": made.seal})
     elif args.command == "artifact":
-        contract = sinks.read_document(spark, args.contract)
-        made = artifacts.open_artifact(spark, args.folder, contract, _topology(spark, args.topology))
-        _say({"path": made.path, "artifact_fingerprint": made.fingerprint, "contract_fingerprint": made.contract["contract_fingerprint"], "summary": made.summary})
+        made = artifacts.unseal(spark, args.folder, sinks.read_document(spark, args.contract), _topology(spark, args.topology))
+        _say({"path": made.path, "seal": made.seal, "card": made.card})
     else:
         made = gates.assemble(spark, args.profile, args.evidence, args.output)
         _say({"report": args.output, "accepted": made["accepted"]})

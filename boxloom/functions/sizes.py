@@ -24,13 +24,14 @@ def resized(width: Column, height: Column, factor: int = FACTOR, least: int = LE
     """
     w, h, unit = width.cast("double"), height.cast("double"), F.lit(float(factor))
 
-    def made(round_: Callable[[Column], Column], scale: Column) -> Column:
-        return F.struct((round_(w * scale / unit) * factor).cast("int").alias("width"), (round_(h * scale / unit) * factor).cast("int").alias("height"))
+    def size(side: Callable[[Column], Column]) -> Column:
+        return F.struct(*[(side(x) * factor).cast("int").alias(name) for name, x in (("width", w), ("height", h))])
 
-    plain = F.struct((F.bround(w / unit) * factor).cast("int").alias("width"), (F.bround(h / unit) * factor).cast("int").alias("height"))
+    plain = size(lambda x: F.bround(x / unit))
     pixels = plain["width"].cast("long") * plain["height"]
-    down = F.struct(*[F.greatest(F.lit(factor), made(F.floor, F.sqrt(F.lit(float(most)) / (w * h)))[s]).alias(s) for s in ("width", "height")])
-    up = made(F.ceil, F.sqrt(F.lit(float(least)) / (w * h)))
+    shrink, grow = F.sqrt(w * h / F.lit(float(most))), F.sqrt(F.lit(float(least)) / (w * h))
+    down = size(lambda x: F.greatest(F.lit(1).cast("long"), F.floor(x / shrink / unit)))
+    up = size(lambda x: F.ceil(x * grow / unit))
     fits = (w > 0) & (h > 0) & (F.greatest(w, h) / F.least(w, h) <= MOST_RATIO)
     return F.when(fits, F.when(pixels > most, down).when(pixels < least, up).otherwise(plain))
 

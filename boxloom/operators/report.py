@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.errors import EvaluationError
 from boxloom.functions.boxes import set_f1
 from boxloom.functions.detections import agreement
+from boxloom.functions.exact import exact_means
 from boxloom.operators.scoring import N_THRESHOLDS, mean_f1
 
 METRICS = (
@@ -17,26 +17,37 @@ METRICS = (
 )
 
 
-def _sums() -> list[Column]:
-    """The aggregates a summary needs; each is combined before the shuffle."""
+def _means() -> dict[str, Column]:
+    """What the summary's means are over; null where an example does not count."""
+    positive, found = F.size("targets") > 0, F.size("prediction")
+    return {
+        "positive_macro_mean_set_f1_50_95": F.when(positive, mean_f1(F.col("set_f1"))),
+        "all_macro_mean_set_f1_50_95": mean_f1(F.col("set_f1")),
+        "positive_macro_soft_set_f1": F.when(positive, F.col("soft_set_f1")),
+        "strict_valid_rate": F.col("format_valid").cast("double"),
+        "correct_empty_rate": F.when(~positive, (F.col("format_valid") & (found == 0)).cast("double")),
+        "negative_false_positive_boxes_per_image": F.when(~positive, found.cast("double")),
+    }
+
+
+def _counts() -> list[Column]:
     positive = F.size("targets") > 0
     tp, found, wanted = F.get("tp", F.lit(0)), F.size("prediction"), F.size("targets")
     return [
         F.count(F.lit(1)).alias("examples"),
         F.count_if(positive).alias("positive_examples"),
         F.count_if(~positive).alias("negative_examples"),
-        F.avg(F.when(positive, mean_f1(F.col("set_f1")))).alias("positive_macro_mean_set_f1_50_95"),
-        F.avg(mean_f1(F.col("set_f1"))).alias("all_macro_mean_set_f1_50_95"),
         F.coalesce(F.sum(tp), F.lit(0)).cast("long").alias("true_positives"),
         F.coalesce(F.sum(found - tp), F.lit(0)).cast("long").alias("false_positives"),
         F.coalesce(F.sum(wanted - tp), F.lit(0)).cast("long").alias("false_negatives"),
-        F.avg(F.when(positive, F.col("soft_set_f1"))).alias("positive_macro_soft_set_f1"),
-        F.avg(F.col("format_valid").cast("double")).alias("strict_valid_rate"),
-        F.avg(F.when(~positive, (F.col("format_valid") & (found == 0)).cast("double"))).alias("correct_empty_rate"),
-        F.avg(F.when(~positive, found.cast("double"))).alias("negative_false_positive_boxes_per_image"),
     ]
 
 
+def _sums() -> list[Column]:
+    """The aggregates a summary needs; each is combined before the shuffle."""
+    return [*_counts(), *[F.avg(c).alias(name) for name, c in _means().items()]]
+
+
 def _finished(summed: DataFrame, keys: list[str]) -> DataFrame:
     tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
     precision = F.coalesce(F.try_divide(tp, tp + fp), F.when(fn == 0, 1.0).otherwise(0.0))
@@ -50,6 +61,15 @@ def summarize(scored: DataFrame) -> DataFrame:
     return _finished(scored.agg(*_sums()), [])
 
 
+def exact_slices(scored: DataFrame) -> DataFrame:
+    """:func:`slices` with means that are the same bits under any partitions, for reports that must repeat byte by byte."""
+    of = {"overall": F.lit("all"), "count": F.col("count_slice"), "area": F.col("area_slice"), "concept": F.col("visual_concept")}
+    names = list(_means())
+    short = scored.select(F.explode(F.array(*[F.struct(F.lit(k).alias("slice"), v.alias("value")) for k, v in of.items()])).alias("_in"), *[c.alias(name) for name, c in _means().items()])
+    means = exact_means(short.select("_in.*", *names).where("value is not null"), ["slice", "value"], {name: F.col(name) for name in names})
+    return slices(scored).drop(*names).join(means, ["slice", "value"], "left").select("slice", "value", *METRICS)
+
+
 def slices(scored: DataFrame) -> DataFrame:
     """The summary overall and by count slice, area slice and concept, in one pass: slice, value and ``METRICS``.
 
@@ -98,12 +118,3 @@ def reference_swap(scored: DataFrame) -> DataFrame:
         F.avg(F.when(both, mean_f1(f1)).otherwise(0.0)).alias("pairwise_macro_mean_set_f1_50_95"),
     )
 
-
-def exact_means(scored: DataFrame, column: str) -> float | None:
-    """A mean that does not depend on partitions: values in id order, added up exactly. For reports that must repeat byte by byte."""
-    import math
-
-    values = [r[0] for r in scored.orderBy("id").select(column).toLocalIterator()]
-    if any(v is None or not math.isfinite(v) for v in values):
-        raise EvaluationError(f"{column} is not finite throughout")
-    return math.fsum(values) / len(values) if values else None

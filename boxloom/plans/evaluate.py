@@ -36,15 +36,16 @@ def prediction_hash(scored: DataFrame) -> str:
     return sinks.content_hash(scored.select("id", "format_valid", F.array_sort("prediction").alias("prediction"), F.when(~F.col("format_valid"), F.col("raw_completion")).alias("raw")))
 
 
-def evaluate(spark: SparkSession, records: DataFrame, predictions: DataFrame, output: str) -> dict[str, Any]:
-    """Score, summarize and publish report.json and the scored rows; the report."""
+def evaluate(spark: SparkSession, records: DataFrame, predictions: DataFrame, output: str, lineage: dict[str, str] | None = None) -> dict[str, Any]:
+    """Score, summarize and publish report.json and the scored rows; the report. ``lineage``: the hashes of what went in, by name (``gates.PROVENANCE``)."""
     scored = write_table(scoring.score(examples(records, predictions)), "scored")
     made = {
         "schema_version": 1,
-        "slices": [r.asDict() for r in report.slices(scored).orderBy("slice", "value").collect()],
+        "slices": [r.asDict() for r in report.exact_slices(scored).orderBy("slice", "value").collect()],
         "reference_swap": report.reference_swap(scored).first().asDict(),
         "prediction_hash": prediction_hash(scored),
     }
+    made |= {"prediction_content_fingerprint": made["prediction_hash"]} | (lineage or {})
     if not finite(made):
         raise EvaluationError("a metric is not finite")
     made["evaluation_fingerprint"] = digest(made)

@@ -8,10 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.errors import ArtifactError
-from boxloom.functions.detections import parse
+from boxloom.functions.detections import canonical, parsed
 from boxloom.plans import sinks
-from boxloom.plans.artifacts import Artifact, differences
 
 #: The gates, the memory a run may take, and the hashes an evaluation report must have (with their names in a gate's report).
 MEMORY_GIB = 44.0
@@ -59,71 +57,52 @@ def finite(value: Any) -> bool:
     return math.isfinite(value) if isinstance(value, float) else value is None or isinstance(value, (bool, str, int))
 
 
-def _number(value: Any) -> bool:
-    return isinstance(value, (int, float)) and not isinstance(value, bool)
+#: What rules of a gate can ask of a fact, as the text that names the fault.
+FAULTS = {"at_most": "is not at most", "at_least": "is not at least", "equals": "is not", "present": "is missing", "boxes": "is no detection set"}
+RULE = "gate string, name string, rule string, bound string"
 
 
-def hardware_faults(gate: str, facts: dict[str, Any], expected: dict[str, Any], offline: bool) -> list[str]:
-    """What speaks against a training run, from the facts it left.
+def hardware_rules(spark: SparkSession, equal: dict[str, str | None]) -> DataFrame:
+    """The rules (``RULE``) of the gates that judge a run by its facts; ``equal``: facts that must have these values."""
+    runs = [(g, *rule) for g in ("H1", "H2", "D1") for rule in (("peak_reserved_gib", "at_most", str(MEMORY_GIB)), ("positive_completion", "boxes", ""), ("negative_completion", "boxes", ""), ("offline", "equals", "true"))]
+    return spark.createDataFrame([*runs, ("D1", "world_size", "at_least", "2"), *[(g, k, "equals", v) for g in ("H1", "H2", "D1") for k, v in sorted(equal.items())]], RULE)
 
-    ``expected``: fields the facts must have with these values (fingerprints of
-    the artifact and of the dataset, and of the parent where the gate has one).
-    """
-    faults = [] if offline else ["it was not offline"]
-    if not finite(facts):
-        faults.append("a number is not finite")
-    peak = facts.get("peak_reserved_gib")
-    if not _number(peak) or not peak <= MEMORY_GIB:
-        faults.append(f"peak_reserved_gib is {peak!r}; {MEMORY_GIB} at most")
-    for name in ("positive_completion", "negative_completion"):
-        try:
-            if not isinstance(facts.get(name), str):
-                raise ValueError("missing")
-            parse(facts[name])
-        except ValueError as e:
-            faults.append(f"{name}: {e}")
-    faults += [f"{k} is {found!r}, not {wanted!r}" for k, (wanted, found) in differences(expected, facts).items() if k in expected]
-    if gate == "D1":
-        world = facts.get("world_size")
-        if type(world) is not int or world < 2:
-            faults.append("it needs two ranks")
-    return faults
-
-
-def evaluation_faults(report: dict[str, Any]) -> list[str]:
-    """What speaks against an evaluation report: numbers, or hashes of where it comes from."""
-    faults = [] if finite(report) else ["a number is not finite"]
-    lacking = [k for k in PROVENANCE if not isinstance(report.get(k), str) or not report[k]]
-    return faults + ([f"no {', '.join(lacking)}"] if lacking else [])
-
-
-def gate_document(profile: str, gate: str, faults: list[str], hashes: dict[str, Any], controls: dict[str, Any]) -> dict[str, Any]:
-    """The report of one gate; accepted if nothing speaks against it."""
-    status = "fail" if faults else "pass"
-    return {"schema_version": 1, "profile": profile, "gate": gate, "passed": not faults, "accepted": not faults, "gates": [{"gate": gate, "status": status, "mandatory": True, "diagnostics": faults}], "hashes": hashes, "controls": controls | {"memory_gate_gib": MEMORY_GIB}}
-
-
-def emit_hardware(spark: SparkSession, gate: str, facts_path: str, artifact: Artifact, settings_hash: str, dataset_hash: str, offline: bool) -> dict[str, Any]:
-    """Judge the facts of a run and leave acceptance_report.json beside them; it is never overwritten."""
-    facts = sinks.read_document(spark, facts_path)
-    if not isinstance(facts, dict):
-        raise ArtifactError(f"{facts_path} is no object")
-    expected = {"artifact_fingerprint": artifact.fingerprint, "dataset_fingerprint": dataset_hash}
-    if gate == "H2":
-        expected["parent_artifact_fingerprint"] = artifact.summary.get("parent_artifact_fingerprint")
-    faults = hardware_faults(gate, facts, expected, offline)
-    hashes = {"resolved_config": settings_hash, "contract": artifact.contract["contract_fingerprint"], "manifest": dataset_hash, "artifact": artifact.fingerprint, "lifecycle_file": sinks.file_digest(spark, facts_path)}
-    made = gate_document("hardware-gate", gate, faults, hashes, {"offline": offline, "finite_numeric": finite(facts), "strict_output": not any("_completion: " in f for f in faults)})
-    sinks.write_document(spark, f"{facts_path.rpartition('/')[0]}/acceptance_report.json", made)
-    return made
 
+def report_rules(spark: SparkSession) -> DataFrame:
+    """The rules of an evaluation report: it says where all that went into it comes from."""
+    return spark.createDataFrame([("evaluation", k, "present", "") for k in sorted(PROVENANCE)], RULE)
 
-def emit_evaluation(spark: SparkSession, folder: str, report: dict[str, Any]) -> dict[str, Any]:
-    """Judge an evaluation report and leave acceptance_report.json beside it."""
-    faults = evaluation_faults(report)
-    made = gate_document("evaluation", "evaluation", faults, {name: report.get(key) for key, name in PROVENANCE.items()}, {"finite_numeric": finite(report)})
-    sinks.write_document(spark, f"{folder}/acceptance_report.json", made)
-    return made
+
+def facts_of(spark: SparkSession, gate: str, document: dict[str, Any]) -> DataFrame:
+    """gate, name and value (as text) of the plain values of a document."""
+    rows = [(gate, k, canonical(v) if isinstance(v, bool) else str(v)) for k, v in document.items() if isinstance(v, (str, int, float, bool))]
+    return spark.createDataFrame(rows, "gate string, name string, value string")
+
+
+def judged(rules: DataFrame, facts: DataFrame) -> DataFrame:
+    """gate, passed and faults (sorted text) of every gate that has facts: its rules that they break, and numbers that are not finite.
+
+    A fact that is missing breaks its rule. Names with several values are judged
+    by each of them.
+    """
+    known = facts.select("gate").distinct()
+    met = rules.join(known, "gate").join(facts, ["gate", "name"], "left").withColumn("_x", F.col("value").try_cast("double")).withColumn("_bound", F.col("bound").try_cast("double"))
+    number = F.col("_x").isNotNull() & ~F.isnan("_x")
+    text = met.where("rule <> 'boxes'").withColumn(
+        "_held",
+        F.when(F.col("rule") == "at_most", number & (F.col("_x") <= F.col("_bound")))
+        .when(F.col("rule") == "at_least", number & (F.col("_x") >= F.col("_bound")))
+        .when(F.col("rule") == "equals", F.col("value").eqNullSafe(F.col("bound")))
+        .otherwise(F.coalesce(F.col("value") != "", F.lit(False))),
+    )
+    boxes = met.where("rule = 'boxes'").withColumn("_held", parsed("value")["valid"])
+    said = F.element_at(F.create_map(*[F.lit(x) for pair in FAULTS.items() for x in pair]), F.col("rule"))
+    broken = text.unionByName(boxes).where(~F.col("_held")).select("gate", F.rtrim(F.concat_ws(" ", F.col("name"), said, F.coalesce("bound", F.lit("null")))).alias("fault"))
+    value = F.col("value").try_cast("double")
+    odd = facts.where(F.isnan(value) | F.abs(value).isin(float("inf"))).select("gate", F.concat(F.col("name"), F.lit(" is not finite")).alias("fault"))
+    faults = broken.unionByName(odd).groupBy("gate").agg(F.array_sort(F.collect_set("fault")).alias("faults"))
+    none = F.array().cast("array<string>")
+    return known.join(faults, "gate", "left").select("gate", F.col("faults").isNull().alias("passed"), F.coalesce("faults", none).alias("faults"))
 
 
 def assemble(spark: SparkSession, profile: str, evidence: list[str], path: str) -> dict[str, Any]:

@@ -1,44 +1,14 @@
-"""Runs that can be taken up again: identities, checkpoints, metrics, and what ranks report."""
+"""What ranks and checkpoints of training runs report, as tables. boxloom.streaming.runs follows runs over time."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-import re
-from collections.abc import Iterable
-from typing import Any
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.errors import ArtifactError, DataError
-from boxloom.functions.detections import canonical
-from boxloom.plans import sinks
-from boxloom.plans.artifacts import differences, digest
-
-#: How a checkpoint's folder is named, and the file that says it is whole.
-NAMED, COMPLETE, STATE = r"checkpoint-([0-9]+)$", "complete", "run_state.json"
-
-
-def publish_checkpoint(spark: SparkSession, work: str, step: int, identity: dict[str, Any], state: dict[str, Any]) -> str:
-    """Write a checkpoint's state under its step; it shows when it is whole."""
-    path = f"{work}/checkpoint-{step:08d}"
-    with sinks.publish(spark, path) as folder:
-        sinks.write_document(spark, f"{folder}/{STATE}", {"schema_version": 1, "identity": identity, "identity_fingerprint": digest(identity), "state": state})
-        sinks.write_document(spark, f"{folder}/{COMPLETE}", "complete")
-    return path
+from boxloom.errors import DataError
 
-
-def checkpoints(spark: SparkSession, work: str) -> list[tuple[int, str]]:
-    """Complete checkpoints by step. Two folders for one step (``checkpoint-7`` and ``checkpoint-007``) are an error."""
-    found = []
-    for path in sinks.folders(spark, work):
-        m = re.search(NAMED, path)
-        if m and sinks.exists(spark, f"{path}/{COMPLETE}"):
-            found.append((int(m[1]), path))
-    if len({step for step, _ in found}) < len(found):
-        raise ArtifactError(f"a step has two checkpoints in {work}")
-    return sorted(found)
+#: Fixed value: how a checkpoint's folder is named.
+NAMED = r"checkpoint-([0-9]+)$"
 
 
 def complete_steps(listed: DataFrame) -> DataFrame:
@@ -50,44 +20,6 @@ def complete_steps(listed: DataFrame) -> DataFrame:
     return by_step.groupBy("run").agg(F.max(one).alias("step"))
 
 
-def resume_from(spark: SparkSession, work: str, how: str, identity: dict[str, Any]) -> tuple[str | None, dict[str, Any]]:
-    """The checkpoint to go on from and its state. ``how``: "none" (the folder must be empty), "auto" (the last one), or a checkpoint's path.
-
-    A checkpoint made by another run, config, dataset or number of ranks is
-    refused, and the fields that differ are named.
-    """
-    if how == "none":
-        if sinks.exists(spark, work) and sinks.entries(spark, work):
-            raise ArtifactError(f"{work} is not empty; resume with auto or from a checkpoint")
-        return None, {}
-    if how == "auto":
-        known = checkpoints(spark, work)
-        if not known:
-            raise ArtifactError(f"no complete checkpoint in {work}")
-        path = known[-1][1]
-    else:
-        path = how.rstrip("/")
-        if not re.search(NAMED, path) or not sinks.exists(spark, f"{path}/{COMPLETE}"):
-            raise ArtifactError(f"{path} is no complete checkpoint")
-    found = sinks.read_document(spark, f"{path}/{STATE}")
-    if not isinstance(found, dict) or found.get("schema_version") != 1:
-        raise ArtifactError(f"{path} is of an unknown schema")
-    stored = found.get("identity")
-    if not isinstance(stored, dict) or found.get("identity_fingerprint") != digest(stored):
-        raise ArtifactError(f"the identity in {path} changed")
-    other = {k: v for k, v in differences(identity, stored).items() if k in identity}
-    if other:
-        raise ArtifactError(f"{path} belongs to another run: " + "; ".join(f"{k} is {b!r}, not {a!r}" for k, (a, b) in other.items()))
-    if not isinstance(found.get("state"), dict):
-        raise ArtifactError(f"{path} has no state")
-    return path, found["state"]
-
-
-def append_metrics(spark: SparkSession, folder: str, rows: Iterable[dict[str, Any]]) -> None:
-    """Add JSON lines to a folder of metrics; nothing there is changed."""
-    spark.createDataFrame([(canonical(r),) for r in rows], "value string").coalesce(1).write.mode("append").text(folder)
-
-
 def over_ranks(reports: DataFrame) -> DataFrame:
     """One row of what (rank, peak_gib, seen_positive, seen_negative) reports come to: the highest peak, and what any rank saw."""
     return reports.agg(
@@ -107,20 +39,3 @@ def require_kinds(seen: DataFrame, least: int = 4) -> None:
     r = seen.first()
     if r["events"] < least or not r["positive"] or not r["negative"] or not r["uneven_ids"]:
         raise DataError(f"too little was seen: {r.asDict()}")
-
-
-def require_same(rows: DataFrame, column: str) -> None:
-    """All ranks must report the same value; the first few that they do report are named."""
-    seen = [r[0] for r in rows.select(F.col(column).cast("string")).distinct().limit(5).collect()]
-    if len(seen) > 1:
-        raise DataError(f"ranks disagree on {column}: {sorted(map(str, seen))}")
-
-
-def code_fingerprint(paths: Iterable[str]) -> str:
-    """SHA-256 over names and contents of program files, in the order of their paths."""
-    total = hashlib.sha256()
-    for path in sorted(map(os.path.realpath, paths)):
-        total.update(os.path.basename(path).encode())
-        with open(path, "rb") as f:
-            total.update(f.read())
-    return total.hexdigest()

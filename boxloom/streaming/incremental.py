@@ -7,7 +7,6 @@ stream's checkpoint, in the cluster's shared folder, says what is done.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from boxloom.functions.schema import PREDICTION
@@ -35,7 +34,3 @@ def pending(tasks: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Tasks without a result."""
     return tasks.join(done.select(key).distinct(), key, "left_anti")
 
-
-def latest_complete(steps: DataFrame) -> DataFrame:
-    """Of (run, step, complete) rows, the last complete step of each run."""
-    return steps.where("complete").groupBy("run").agg(F.max("step").alias("step"))
