@@ -45,12 +45,16 @@ def visual_tokens(size: Column, factor: int = FACTOR) -> Column:
 CounterFactory = Callable[[], Callable[[str, str], tuple[int, int]]]
 
 
+#: What passes by the counter of text tokens.
+_SEEN = ("id", "reference_tokens", "target_tokens")
+
+
 def _counter(factory: CounterFactory):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = factory()
         for batch in batches:
             made = [count(q, a) for q, a in zip(batch.column("query").to_pylist(), batch.column("answer").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([m[i] for m in made], pa.int64()) for i in range(2)]], names=["id", "prompt_text", "total_text"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, _SEEN), *[pa.array([m[i] for m in made], pa.int64()) for i in range(2)]], names=[*_SEEN, "prompt_text", "total_text"])
 
     return run
 
@@ -62,9 +66,8 @@ def preflight(rows: DataFrame, factory: CounterFactory) -> DataFrame:
     has a problem. No pixels are read.
     """
     sizes = {side: resized(F.col(f"{side}.width"), F.col(f"{side}.height")) for side in ("reference", "target")}
-    seen = rows.select("id", *[visual_tokens(size).alias(f"{side}_tokens") for side, size in sizes.items()])
-    counted = rows.select("id", "query", "answer").mapInArrow(_counter(factory), "id string, prompt_text long, total_text long").withColumnRenamed("id", "counted_id")
-    both = seen.join(counted, F.col("id") == F.col("counted_id"))
+    seen = rows.select("id", *[visual_tokens(size).alias(f"{side}_tokens") for side, size in sizes.items()], "query", "answer")
+    both = seen.mapInArrow(_counter(factory), "id string, reference_tokens int, target_tokens int, prompt_text long, total_text long")
     extra = F.col("reference_tokens") + F.col("target_tokens") - 2
     told = both.select("id", "reference_tokens", "target_tokens", (F.col("prompt_text") + extra).alias("prompt_tokens"), (F.col("total_text") - F.col("prompt_text")).alias("completion_tokens"), (F.col("total_text") + extra).alias("total_tokens"))
     bad = lambda c: F.col(c).isNull() | ~F.col(c).between(LEAST_TOKENS, MOST_TOKENS)

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import boxes as B
 from boxloom.functions.detections import parsed
+from boxloom.functions.exact import exact_means
 from boxloom.functions.hashing import group_key, safe_name, stable_hash
-from boxloom.operators import checks, grouping, pairing, report, schedule, scoring, splits
-from boxloom.plans import gates, predict
+from boxloom.functions.sizes import preflight, resized, visual_tokens
+from boxloom.operators import checks, coverage, grouping, pairing, report, schedule, scoring, splits
+from boxloom.plans import gates, predict, runs
 from boxloom.runtime import new_path, write_table
 from boxloom.sources import files, voc
+from boxloom.streaming import runs as followed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,14 +276,16 @@ def eval_slices(spark, sf_dir):
     return _rounded(report.slices(scored(spark, sf_dir)))
 
 
-@query(_MATCH + """, pairs AS (SELECT k, valid, np, nt, f1 FROM sc)
-SELECT count(*) > 0 AS applicable, count(*) AS groups, count(*) AS pairs, round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 9) AS strict_valid_pair_rate, round(avg(CASE WHEN valid THEN f1 ELSE 0.0 END), 9) AS pairwise_macro_mean_set_f1_50_95 FROM pairs""")
+@query(_MATCH + """, said AS (SELECT k, list_sort(list([x1, y1, x2, y2])) AS boxes FROM preds GROUP BY k), true_ AS (SELECT k, list_sort(list([x1, y1, x2, y2])) AS boxes FROM truth GROUP BY k),
+pairs AS (SELECT sc.k, valid, np, nt, f1, said.boxes IS NOT DISTINCT FROM true_.boxes AS same FROM sc LEFT JOIN said ON said.k = sc.k LEFT JOIN true_ ON true_.k = sc.k)
+SELECT count(*) > 0 AS applicable, count(*) AS groups, count(*) AS pairs, round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 9) AS strict_valid_pair_rate,
+  round(avg(CASE WHEN valid AND same THEN 1.0 ELSE 0.0 END), 9) AS exact_detection_set_rate, round(avg(CASE WHEN valid THEN f1 ELSE 0.0 END), 9) AS pairwise_macro_mean_set_f1_50_95 FROM pairs""")
 def reference_swap(spark, sf_dir):
     """Each order under two references: one with its completion, one with the truth as the completion."""
     rows = examples(spark, sf_dir)
     items = F.transform("targets", lambda b: F.concat(F.lit('{"bbox_2d":['), F.array_join(F.transform(b, lambda v: v.cast("string")), ","), F.lit("]}")))
     other = rows.withColumn("raw_completion", F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))).withColumn("id", F.concat("id", F.lit("b"))).withColumn("reference_key", F.lit("r1"))
-    return _rounded(report.reference_swap(write_table(scoring.score(rows.unionByName(other)), "swap")).drop("exact_detection_set_rate"))
+    return _rounded(report.reference_swap(write_table(scoring.score(rows.unionByName(other)), "swap")))
 
 
 # ---------------------------------------------------------------- hashes, schedules, shards
@@ -478,14 +483,16 @@ def dataset_records(spark, sf_dir):
 
 
 @query(_PLACED + """SELECT 'concept' AS kind, concept AS name, count(*) AS n FROM has GROUP BY concept
+UNION ALL SELECT 'instances', concept, 2 * count(*) FROM has GROUP BY concept
 UNION ALL SELECT 'images', s.split, count(img.record_id) FROM (VALUES ('train'), ('validation'), ('test')) s(split) LEFT JOIN img ON img.split = s.split GROUP BY s.split
 UNION ALL SELECT 'groups', s.split, count(DISTINCT img.group_id) FROM (VALUES ('train'), ('validation'), ('test')) s(split) LEFT JOIN img ON img.split = s.split GROUP BY s.split
 UNION ALL SELECT 'duplicates', 'groups', count(*) FROM named WHERE members > 1""")
 def audit_counts(spark, sf_dir):
     images = placed_images(spark, sf_dir)
     objects = F.transform("concepts", lambda c: F.struct(c.alias("concept"), F.array(F.lit(1), F.lit(1), F.lit(5), F.lit(6)).alias("box")))
-    counts = pairing.audit(write_table(images.withColumn("objects", objects), "audit"))
+    counts = pairing.audit(write_table(images.withColumn("objects", F.concat(objects, objects)), "audit"))
     rows = counts["class_images"].select(F.lit("concept").alias("kind"), F.col("concept").alias("name"), "n")
+    rows = rows.unionByName(counts["class_instances"].select(F.lit("instances").alias("kind"), F.col("concept").alias("name"), "n"))
     for column in ("images", "groups"):
         rows = rows.unionByName(counts["splits"].select(F.lit(column).alias("kind"), F.col("split").alias("name"), F.col(column).alias("n")))
     return rows.unionByName(counts["duplicate_groups"].select(F.lit("duplicates").alias("kind"), F.lit("groups").alias("name"), "n"))
@@ -602,3 +609,144 @@ def prediction_round_trip(spark, sf_dir):
     path = new_path(spark, "predictions")
     made.write.json(path)
     return files.predictions(spark, path)
+
+
+# ---------------------------------------------------------------- means, coverage, runs, sizes
+
+@query("""SELECT l_returnflag AS flag, round(avg(l_extendedprice / 7), 6) AS mean_price, round(avg(CASE WHEN l_linenumber > 3 THEN l_discount END), 9) AS mean_discount FROM lineitem GROUP BY 1""")
+def exact_mean(spark, sf_dir):
+    """Means that are the same bits under any partitions; rounded here, as SQL adds in some order."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("flag", F.col("l_returnflag"))
+    means = exact_means(rows, ["flag"], {"mean_price": F.col("l_extendedprice") / 7, "mean_discount": F.when(F.col("l_linenumber") > 3, F.col("l_discount"))})
+    return means.select("flag", F.round("mean_price", 6).alias("mean_price"), F.round("mean_discount", 9).alias("mean_discount"))
+
+
+@query(_MATCH + """, v AS (
+  SELECT sc.*, u.slice, u.value FROM sc, LATERAL (VALUES ('overall', 'all'), ('concept', 'c' || CAST(sc.k % 3 AS VARCHAR))) u(slice, value))
+SELECT slice, value, count(*) AS examples, round(avg(f1), 9) AS all_macro_mean_set_f1_50_95, round(avg(soft) FILTER (WHERE nt > 0), 9) AS positive_macro_soft_set_f1 FROM v GROUP BY slice, value""")
+def exact_slices(spark, sf_dir):
+    rows = report.exact_slices(write_table(scored(spark, sf_dir), "scored")).where("slice IN ('overall', 'concept')")
+    return _rounded(rows.select("slice", "value", "examples", "all_macro_mean_set_f1_50_95", "positive_macro_soft_set_f1"))
+
+
+@query("""WITH p AS (SELECT doc_id AS p FROM documents WHERE doc_id % 97 > 2 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 89 = 5 AND doc_id % 97 > 2 UNION ALL SELECT -1 - doc_id FROM documents WHERE doc_id < 2),
+e AS (SELECT max(doc_id) + 1 AS n FROM documents),
+d AS (SELECT DISTINCT p FROM p, e WHERE p BETWEEN 0 AND n - 1 UNION SELECT n FROM e),
+g AS (SELECT lag(p, 1, -1) OVER (ORDER BY p) + 1 AS lo, p - 1 AS hi FROM d)
+SELECT 'gap' AS kind, lo, hi FROM g WHERE lo <= hi UNION ALL SELECT 'repeat', p, p FROM p GROUP BY p HAVING count(*) > 1 UNION ALL SELECT 'outside', p, p FROM p WHERE p < 0""")
+def sampler_coverage(spark, sf_dir):
+    """What a sampler that drops some documents, repeats others and makes two up leaves to find."""
+    d = table(spark, sf_dir, "documents")
+    kept = d.where("doc_id % 97 > 2").select(F.col("doc_id").alias("item"))
+    items = kept.unionByName(kept.where("item % 89 = 5")).unionByName(d.where("doc_id < 2").select((-1 - F.col("doc_id")).alias("item")))
+    return coverage.sampler_faults(items, 0, d.agg(F.max("doc_id")).first()[0] + 1)
+
+
+_RUNS = """e AS (
+  SELECT CAST(user_id % 40 AS VARCHAR) AS run, event_id % 3 AS k, CASE WHEN user_id % 40 = 3 AND event_id % 2 = 0 THEN 'y' ELSE 'x' END AS identity, event_id % 11 AS step,
+    'f' || CAST(CASE WHEN user_id % 5 = 0 THEN event_id % 2 ELSE 0 END AS VARCHAR) AS folder, event_id % 4 <> 0 AS complete, 'i' || CAST(event_id % 13 AS VARCHAR) AS id, event_id % 5 <> 0 AS positive, value AS reward
+  FROM events)"""
+
+
+@query(f"""WITH {_RUNS},
+last AS (SELECT run, max(step) AS step FROM e WHERE k = 1 AND complete GROUP BY run),
+folders AS (SELECT e.run, count(DISTINCT folder) AS n FROM e JOIN last ON last.run = e.run AND last.step = e.step WHERE k = 1 AND complete GROUP BY e.run),
+ids AS (SELECT run, id, max(reward) - min(reward) > 1e-8 AS uneven FROM e WHERE k = 2 GROUP BY run, id),
+seen AS (SELECT run, count(DISTINCT identity) FILTER (k = 0) AS identities, count(*) FILTER (k = 2) AS rewards, coalesce(bool_or(positive) FILTER (k = 2), false) AS positive, coalesce(bool_or(NOT positive) FILTER (k = 2), false) AS negative FROM e GROUP BY run)
+SELECT seen.run, last.step, CASE WHEN identities > 1 THEN 'refused' WHEN folders.n > 1 THEN 'ambiguous' WHEN last.step IS NULL THEN 'open' ELSE 'ready' END AS status, rewards, positive, negative,
+  (SELECT count(*) FROM ids WHERE ids.run = seen.run AND uneven) AS uneven_ids
+FROM seen LEFT JOIN last ON last.run = seen.run LEFT JOIN folders ON folders.run = seen.run""")
+def run_events(spark, sf_dir):
+    e, kind = table(spark, sf_dir, "events"), F.col("event_id") % 3
+    known = e.select(
+        (F.col("user_id") % 40).cast("string").alias("run"), F.when(kind == 0, "start").when(kind == 1, "checkpoint").otherwise("reward").alias("kind"),
+        F.when((F.col("user_id") % 40 == 3) & (F.col("event_id") % 2 == 0), "y").otherwise("x").alias("identity"), (F.col("event_id") % 11).alias("step"),
+        F.concat(F.lit("f"), F.when(F.col("user_id") % 5 == 0, F.col("event_id") % 2).otherwise(0).cast("string")).alias("folder"), (F.col("event_id") % 4 != 0).alias("complete"),
+        F.concat(F.lit("i"), (F.col("event_id") % 13).cast("string")).alias("id"), (F.col("event_id") % 5 != 0).alias("positive"), F.col("value").alias("reward"),
+    )
+    return followed.follow(known).drop("identity")
+
+
+@query("""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS run, user_id * 100000 + event_id AS step FROM events WHERE event_type <> 'error' AND event_id % 2 = 0) SELECT run, max(step) AS step FROM c GROUP BY run""")
+def complete_steps(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, "checkpoint-").otherwise("best-"), F.lpad((F.col("user_id") * 100000 + F.col("event_id")).cast("string"), 12, "0"))
+    return runs.complete_steps(e.select(F.col("user_id").cast("string").alias("run"), name.alias("folder"), (F.col("event_type") != "error").alias("complete")))
+
+
+@query("SELECT count(DISTINCT user_id % 8) AS ranks, max(value) AS peak_gib, bool_or(event_type = 'click') AS seen_positive, coalesce(bool_or(CASE WHEN value > 1e9 THEN true END), false) AS seen_negative FROM events")
+def rank_reports(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return runs.over_ranks(e.select((F.col("user_id") % 8).alias("rank"), F.col("value").alias("peak_gib"), (F.col("event_type") == "click").alias("seen_positive"), F.when(F.col("value") > 1e9, True).alias("seen_negative")))
+
+
+@query("""WITH i AS (SELECT user_id, count(*) AS n, count_if(event_type = 'click') AS p, max(value) - min(value) AS spread FROM events GROUP BY user_id)
+SELECT CAST(sum(n) AS BIGINT) AS events, sum(p) > 0 AS positive, sum(n - p) > 0 AS negative, count_if(n >= 2 AND spread > 1e-8) AS uneven_ids FROM i""")
+def kinds_seen(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return runs.kinds_seen(e.select(F.col("user_id").alias("id"), (F.col("event_type") == "click").alias("positive"), F.col("value").alias("reward")))
+
+
+@query("""WITH c AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS records, count_if(doc_id % 4 <> 0) AS positive, count_if(doc_id % 4 = 0) AS negative FROM documents GROUP BY 1)
+SELECT s.split, coalesce(records, 0) AS records, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative FROM (VALUES ('train'), ('validation'), ('test')) s(split) LEFT JOIN c ON c.split = s.split""")
+def kind_counts(spark, sf_dir):
+    return checks.kind_counts(kinds(spark, sf_dir).withColumn("split", F.when(F.col("id") % 10 == 0, "test").otherwise("train")))
+
+
+_SIZES = """s AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS k,
+  CAST(1 + (l_partkey * 37) % 2900 AS DOUBLE) AS w, CAST(1 + (l_suppkey * 53 + l_partkey) % 2700 AS DOUBLE) AS h FROM lineitem),
+r AS (SELECT *, CAST(round_even(w / 32, 0) * 32 AS INTEGER) AS nw, CAST(round_even(h / 32, 0) * 32 AS INTEGER) AS nh, sqrt(w * h / 655360.0::DOUBLE) AS shrink, sqrt(65536.0::DOUBLE / (w * h)) AS grow FROM s),
+z AS (SELECT k, greatest(w, h) / least(w, h) <= 200 AS fits,
+  CASE WHEN nw * nh > 655360 THEN greatest(1, floor(w / shrink / 32)) * 32 WHEN nw * nh < 65536 THEN ceil(w * grow / 32) * 32 ELSE nw END AS width,
+  CASE WHEN nw * nh > 655360 THEN greatest(1, floor(h / shrink / 32)) * 32 WHEN nw * nh < 65536 THEN ceil(h * grow / 32) * 32 ELSE nh END AS height FROM r)"""
+
+
+def sizes(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    w, h = 1 + (F.col("l_partkey") * 37) % 2900, 1 + (F.col("l_suppkey") * 53 + F.col("l_partkey")) % 2700
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 1000 + F.row_number().over(order)).alias("k"), w.cast("int").alias("width"), h.cast("int").alias("height"))
+
+
+@query(f"WITH {_SIZES} SELECT k, CASE WHEN fits THEN CAST(width AS INTEGER) END AS width, CASE WHEN fits THEN CAST(height AS INTEGER) END AS height, CASE WHEN fits THEN CAST(width * height / 1024 AS INTEGER) END AS tokens FROM z")
+def smart_sizes(spark, sf_dir):
+    rows = sizes(spark, sf_dir).withColumn("s", resized(F.col("width"), F.col("height")))
+    return rows.select("k", F.col("s.width").alias("width"), F.col("s.height").alias("height"), visual_tokens(F.col("s")).alias("tokens"))
+
+
+@query(f"""WITH {_SIZES}, t AS (SELECT k, CASE WHEN fits THEN CAST(width * height / 1024 AS BIGINT) END AS n, 20 + k % 900 AS q, k % 250 AS a FROM z), u AS (SELECT k, n, q + n + 638 AS prompt, a AS completion FROM t)
+SELECT CAST(k AS VARCHAR) AS id, prompt AS prompt_tokens, completion AS completion_tokens, prompt + completion AS total_tokens,
+  CASE WHEN n IS NULL OR n NOT BETWEEN 64 AND 640 THEN 'image' WHEN prompt + completion > 1536 THEN 'sequence' WHEN completion NOT BETWEEN 1 AND 192 THEN 'completion' END AS problem FROM u""")
+def token_preflight(spark, sf_dir):
+    """Sequences of an image beside one of 640 tokens, their texts counted by a seam that counts letters."""
+
+    def factory():
+        return lambda query, answer: (len(query), len(query) + len(answer))
+
+    side = F.struct("width", "height")
+    full = F.struct(F.lit(640).alias("width"), F.lit(1024).alias("height"))
+    letters = lambda n: F.repeat(F.lit("q"), n.cast("int"))
+    rows = sizes(spark, sf_dir).select(F.col("k").cast("string").alias("id"), letters(20 + F.col("k") % 900).alias("query"), letters(F.col("k") % 250).alias("answer"), full.alias("reference"), side.alias("target"))
+    return preflight(rows, factory)
+
+
+@query("""WITH f AS (
+  SELECT event_type AS gate, max(value) AS peak, count(DISTINCT user_id) AS world, min(event_id) % 2 = 0 AS clean FROM events GROUP BY 1)
+SELECT gate, peak <= 350 AND world >= 150 AND clean AS passed,
+  list_sort(list_filter([CASE WHEN peak > 350 THEN 'peak is not at most 350' END, CASE WHEN world < 150 THEN 'world is not at least 150' END, CASE WHEN NOT clean THEN 'said is no detection set' END, CASE WHEN NOT clean THEN 'state is missing' END], lambda x: x IS NOT NULL)) AS faults FROM f""")
+def gate_rules(spark, sf_dir):
+    """Facts of five gates, one an event type, against rules of four kinds."""
+    clean = F.min("event_id") % 2 == 0
+    told = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("gate")).agg(
+        F.max("value").cast("string").alias("peak"), F.count_distinct("user_id").cast("string").alias("world"), F.when(clean, "[]").otherwise("[").alias("said"), F.when(clean, "done").alias("state")
+    )
+    facts = told.unpivot("gate", ["peak", "world", "said", "state"], "name", "value")
+    rules = [("peak", "at_most", "350"), ("world", "at_least", "150"), ("said", "boxes", ""), ("state", "present", "")]
+    listed = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("name", "rule", "bound"), rule, strict=True)]) for rule in rules])
+    return gates.judged(told.select("gate", F.inline(listed)), facts)
+
+
+@query("""SELECT source, '{' || string_agg('"' || lang || '":' || n, ',' ORDER BY lang) || '}' AS by_lang FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source""")
+def count_maps(spark, sf_dir):
+    """Counts by key, rendered as one map a group."""
+    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("source").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "n"))))).alias("by_lang"))
