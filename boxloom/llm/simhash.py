@@ -42,7 +42,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.llm.shingles import Sets, alike, mix, seeds, set_numbers, shingle_sets
@@ -427,19 +427,72 @@ def _candidates(nodes: DataFrame, block: int) -> DataFrame:
     return found
 
 
-def _verified(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """Links between texts alike. ``docs``: rows by :func:`_keyed`; ``wanted``: their keys with node and labels."""
-    on = F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("t0") == F.col("k1")) & (F.col("t1") == F.col("k2"))
-    met = docs.join(sized_broadcast(wanted), on).select("node", "text", F.explode("labels").alias("l"))
-    own = F.pmod(F.xxhash64("node"), F.col("l.blocks")).cast("int")
-    # of two blocks of one label one asks the other
-    asked = F.filter(F.sequence(F.lit(0), F.col("l.blocks") - 1), lambda b: (b != F.col("own")) & ((F.col("own") < b) == ((F.col("own") + b) % 2 == 0)))
-    places = F.concat(F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("query"))), F.transform(asked, lambda b: F.struct(b.alias("block"), F.lit(1).alias("query"))))
-    dealt = met.withColumn("own", own).select(F.col("l.label").alias("label"), F.explode(places).alias("p"), "node", "text").select("label", "p.block", "p.query", "node", "text")
+#: Members of a block's component that speak for it before all are asked.
+SPEAKERS = 32
+
+
+def _links(met: DataFrame, places: Column, shingle: int) -> DataFrame:
+    """Links between texts alike that meet in a block of a label. ``met``: label, blocks, own, node and text; ``places``: the blocks each goes to, as struct(block, query)."""
+    dealt = met.select("label", F.explode(places).alias("p"), "node", "text").select("label", "p.block", "p.query", "node", "text")
     together = dealt.repartition("label", "block").sortWithinPartitions("label", "block", "query", "node")
     return together.mapInArrow(_verifier(shingle), "src long, dst long").where("src <> dst")
 
 
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` (label, blocks, own, node) with the component that links have made of each node so far."""
+    known = connected_components(links).withColumnRenamed("node", "known")
+    return members.join(known, F.col("node") == F.col("known"), "left").withColumn("component", F.coalesce("component", "node")).drop("known")
+
+
+def _verified(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """A written table of links that join the texts alike of every label. ``docs``: rows by :func:`_keyed`; ``wanted``: their keys with node and labels.
+
+    A label of several blocks is joined block by block. Then a few members of
+    each block's components meet those of the other blocks, which joins a group
+    of copies. What is not in the label's largest component by then goes to
+    every block: of two members in different blocks, one does, or both are
+    joined already. So no link that matters is missed, and the texts sent are in
+    proportion to a group of copies, whatever its size.
+    """
+    on = F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("t0") == F.col("k1")) & (F.col("t1") == F.col("k2"))
+    used = []
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        used.append(write_table(rows, name))
+        return used[-1]
+
+    def with_texts(members: DataFrame) -> DataFrame:
+        keys = wanted.select(F.col("node").alias("of"), "k0", "k1", "k2")
+        chosen = kept(members.join(keys, F.col("node") == F.col("of")).drop("of"), "members")
+        return docs.join(sized_broadcast(chosen, row_bytes=256), on).select("label", "blocks", "own", "node", "text")
+
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = kept(wanted.select("node", F.inline("labels")).withColumn("own", own), "labels")
+    here = F.array(F.struct(F.col("own").alias("block"), F.lit(0).alias("query")))
+    inside = write_table(_links(with_texts(members), here, shingle), "inside")
+    many = members.where("blocks > 1")
+    if many.isEmpty():
+        drop_tables(*used)
+        return inside
+    rank = F.row_number().over(Window.partitionBy("label", "own", "component").orderBy(F.xxhash64("node"), "node"))
+    speakers = _joined(many, inside).withColumn("rank", rank).where(F.col("rank") <= SPEAKERS).drop("rank", "component")
+    seats = F.pmod(F.xxhash64("node", F.lit("seat")), F.col("seats")).cast("int")
+    sizes = speakers.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("seats"))
+    seated = speakers.join(sizes, "label").select("label", F.col("seats").alias("blocks"), seats.alias("own"), "node")
+    asked = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b != F.col("own")) & ((F.col("own") < b) == ((F.col("own") + b) % 2 == 0)))
+    halves = F.concat(here, F.transform(asked, lambda b: F.struct(b.alias("block"), F.lit(1).alias("query"))))
+    between = write_table(inside.unionByName(_links(with_texts(seated), halves, shingle)), "between")
+    placed = kept(_joined(many, between), "placed")
+    largest = placed.groupBy("label", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("left"))
+    split = placed.join(largest.where("left > 1"), "label").withColumn("stray", F.col("component") != F.col("largest"))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("block"), F.when(b == F.col("own"), 0).otherwise(1).alias("query")))
+    apart = split.select("label", F.when(F.col("stray"), F.col("blocks")).otherwise(-F.col("blocks")).alias("blocks"), "own", "node")
+    met = with_texts(apart).withColumn("stray", F.col("blocks") > 0).withColumn("blocks", F.abs("blocks"))
+    links = write_table(between.unionByName(_links(met, F.when(F.col("stray"), every).otherwise(here), shingle)), "links")
+    drop_tables(*used, inside, between)
+    return links
+
+
 def _classes(docs: DataFrame, shingle: int, block: int, id_col: str, text_col: str) -> DataFrame:
     """A written table of every row's key, and the key of the row that stands for its near copies (k0, k1, k2)."""
     keyed = _keyed(docs, id_col, text_col)
@@ -449,13 +502,14 @@ def _classes(docs: DataFrame, shingle: int, block: int, id_col: str, text_col: s
     nodes = write_table(found.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     sought = _candidates(nodes.where("size > 0"), block)
     wanted = write_table(nodes.join(sought, "node").select("node", F.col("first.doc_id").alias("k0"), F.col("first.t0").alias("k1"), F.col("first.t1").alias("k2"), "labels"), "wanted")
-    components = connected_components(_verified(keyed, wanted, shingle))
+    links = _verified(keyed, wanted, shingle)
+    components = connected_components(links)
     joined = nodes.join(components, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("group"), "first")
     least = joined.groupBy("group").agg(F.min("first").alias("least"))
     # each table goes as soon as nothing reads it
     known = joined.join(least, "group").select("s0", "s1", F.col("least.doc_id").alias("k0"), F.col("least.t0").alias("k1"), F.col("least.t1").alias("k2"))
     classes = write_table(marks.select(*_KEY, "s0", "s1").join(known, ["s0", "s1"]).select(*_KEY, "k0", "k1", "k2"), "classes")
-    drop_tables(marks, nodes, sought, wanted, components)
+    drop_tables(marks, nodes, sought, wanted, links, components)
     return classes
 
 

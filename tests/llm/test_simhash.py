@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -201,3 +202,24 @@ def test_without_copies(spark):
     assert [(i, x) for i, _, x in got] == [(0, "z"), (1, "x"), (3, "x"), (3, "x"), (5, "x")]
     empty = df.where("false")
     assert simhash.without_copies(empty).collect() == [] and near_copies(empty).collect() == []
+
+
+def test_texts_sent_are_in_proportion_to_a_group(spark, monkeypatch):
+    """A group of near copies among texts that only look alike; every text is sent a few times, however large the group."""
+    rng, sent, links = random.Random(12), [], simhash._links
+
+    def counted(met, places, shingle):
+        sent.append(met.select(F.explode(places)).count())
+        return links(met, places, shingle)
+
+    monkeypatch.setattr(simhash, "_links", counted)
+    lead = [f"w{rng.randrange(900)}" for _ in range(120)]
+    for n in (96, 384):
+        swapped = [rng.randrange(120) for _ in range(n)]  # one word each: any two copies have 0.84 in common
+        copies = [" ".join(f"x{i}" if k == at else w for k, w in enumerate(lead)) for i, at in enumerate(swapped)]
+        docs = [(i, t) for i, t in enumerate(copies)] + [(10_000, "a text apart from all of them in every word"), (10_001, None)]
+        sent.append(0)
+        found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), block=16).collect()}
+        assert all(found[i] == 0 for i in range(n)) and found[10_000] == 10_000
+    first, then = sent[1 : sent.index(0, 1)], sent[sent.index(0, 1) + 1 :]
+    assert len(first) > 1 and sum(then) < 6 * sum(first)
