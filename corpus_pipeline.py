@@ -7,8 +7,8 @@
 4. secret scans: secrets in the texts are replaced by a mask; no document goes.
 5. packing: the places of all pieces in sequences of 1024 tokens.
 
-Rows with a null doc_id pass stages 2 and 3, which decide by doc_id; rows that
-repeat a doc_id share its fate. Columns beyond those of ``documents`` are kept
+Rows with a null doc_id pass stage 3, which decides by doc_id; rows that repeat a
+doc_id share its fate there. Columns beyond those of ``documents`` are kept
 up to stage 4.
 """
 
@@ -22,14 +22,24 @@ from boxloom.llm import decontam, language, packing, secrets, simhash
 from boxloom.runtime import write_table
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``gone``."""
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = _unused(docs, "gone_id")
+    return docs.join(gone.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = language.predictor(language.sample(docs))(F.col("text"))
-    return docs.withColumn("_told", told).where(F.col("_told.lang") != "und").drop("_told")
+    name = _unused(docs, "told")
+    return docs.withColumn(name, told).where(F.col(name)["lang"] != "und").drop(name)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
