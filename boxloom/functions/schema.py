@@ -1,6 +1,7 @@
 """Schemas of the tables that pass between the pipelines. Nothing is inferred."""
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
+SIZE = "struct<width:int,height:int>"
 DETECTIONS = "array<struct<bbox_2d:array<int>>>"
 IMAGE_REF = "struct<source:string,path:string,width:int,height:int,boxes_xyxy:array<array<int>>>"
 RECORD = (

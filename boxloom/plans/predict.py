@@ -123,7 +123,7 @@ def _result_lines(rows: pa.Array) -> pa.Array:
 def result_lines(results: DataFrame, tasks: DataFrame, folder: str) -> DataFrame:
     """ordinal and the JSON line of each result: what was found, where it stood already, or at which line what failed."""
     named = tasks.select(F.col("ordinal").alias("_ordinal"), "output_name", F.col("line").cast("long").alias("line"))
-    place = F.concat(F.lit(folder.rstrip("/") + "/output_name="), F.col("output_name"))
+    place = F.concat(F.lit(folder.rstrip("/") + "#"), F.col("output_name"))
     met = results.join(named, F.col("ordinal") == F.col("_ordinal"))
     return met.select("ordinal", _result_lines(F.struct("id", "status", "raw_completion", "error", "line", place.alias("place"))).alias("value"))
 
@@ -134,22 +134,34 @@ def write_results(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange(parts, "ordinal").sortWithinPartitions("ordinal").select("value").write.text(path)
 
 
-def write_outputs(results: DataFrame, tasks: DataFrame, folder: str) -> None:
-    """A JSON document for each task that went well, in a folder of its output's name; a repeated run replaces those it makes."""
+#: Documents a file, about.
+FILE_ROWS = 10_000
+
+
+def write_outputs(results: DataFrame, tasks: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> None:
+    """Add a JSON document for each task that went well to the table at ``folder``.
+
+    Documents lie together, ordered by output name, so that one is found by the
+    files' own ranges of names. Files show when Spark commits them all, and a
+    run adds to what is there: of two documents of one name the later counts.
+    """
     named = tasks.select(F.col("ordinal").alias("_ordinal"), "output_name", "reference_image", "target_image", "query")
-    met = results.where("status = 'ok'").join(named, F.col("ordinal") == F.col("_ordinal"))
+    good = results.where("status = 'ok'")
+    met = good.join(named, F.col("ordinal") == F.col("_ordinal"))
     told = F.to_json(F.struct(F.lit(1).alias("schema_version"), "id", "reference_image", "target_image", "query", "raw_completion"))
-    spark = results.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        met.select(told.alias("value"), "output_name").write.mode("overwrite").partitionBy("output_name").text(folder)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    files = max(1, -(-good.count() // file_rows))
+    rows = met.select("output_name", told.alias("value"), F.current_timestamp().alias("made"))
+    rows.repartitionByRange(files, "output_name").sortWithinPartitions("output_name").write.mode("append").parquet(folder)
 
 
-def finished(spark: SparkSession, folder: str) -> DataFrame:
-    """output_name of the tasks with an output in ``folder``; none if there is no folder."""
+def outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """output_name and value of every document in ``folder``, the last of each name; none if there is no folder."""
     if not sinks.exists(spark, folder):
-        return spark.createDataFrame([], "output_name string")
-    return spark.read.text(folder, pathGlobFilter="part-*").select(F.regexp_extract("_metadata.file_path", "/output_name=([^/]+)/", 1).alias("output_name")).distinct()
+        return spark.createDataFrame([], "output_name string, value string")
+    rows = spark.read.schema("output_name string, value string, made timestamp").parquet(folder)
+    return rows.groupBy("output_name").agg(F.max_by("value", "made").alias("value"))
+
+
+def finished(spark: SparkSession, folder: str) -> DataFrame:
+    """output_name of the tasks with a document in ``folder``."""
+    return outputs(spark, folder).select("output_name")

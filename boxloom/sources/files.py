@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.errors import DataError
 from boxloom.functions import strict
 from boxloom.functions.hashing import safe_name
+from boxloom.functions.images import HEAD
+from boxloom.functions.images import size as image_size
+from boxloom.functions.images import whole as image_whole
 from boxloom.functions.schema import RECORD
 from boxloom.operators.checks import repeated
 
@@ -32,17 +41,50 @@ def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> Data
     return found.select("path", stem_of(F.col("path")).alias("stem"), "content", F.sha2("content", 256).alias("content_sha256"))
 
 
-def images(spark: SparkSession, folder: str, source: str) -> DataFrame:
-    """source, path, stem, width, height and content_sha256; a stem that repeats is an error, and so is a broken image.
+#: Files above this many bytes are read in pieces; Spark's reader holds a file in one value.
+WHOLE = 1 << 30
+PIECE, TAIL = 8 << 20, 64
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, content_sha256, head and tail of files of any length, read through Arrow's file systems."""
+    for batch in batches:
+        rows = []
+        for path in batch.column("path").to_pylist():
+            system, place = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as stream:
+                head = tail = stream.read(HEAD)
+                digest.update(head)
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+                    tail = (tail + piece)[-TAIL:]
+            rows.append((path, digest.hexdigest(), head, tail[-TAIL:]))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["path", "content_sha256", "head", "tail"])
+
+
+def read_once(found: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """path, content_sha256, head and tail of ``found`` (rows of Spark's binaryFile source), each file read once and none held whole if it is large."""
+    content = F.col("content")
+    small = found.where(F.col("length") <= whole).select("path", F.sha2(content, 256).alias("content_sha256"), F.substring(content, 1, HEAD).alias("head"), F.substring(content, -TAIL, TAIL).alias("tail"))
+    large = found.where(F.col("length") > whole).select("path")
+    spread = large.repartition(F.col("path")).mapInArrow(_in_pieces, "path string, content_sha256 string, head binary, tail binary")
+    return small.unionByName(spread)
+
+
+def images(spark: SparkSession, folder: str, source: str, whole: int = WHOLE) -> DataFrame:
+    """source, path, stem, width, height and content_sha256; a stem that repeats is an error, and a broken image has no size.
 
-    Sizes come from Spark's image reader, which drops the pixels here again.
+    Sizes come from the files' first bytes; an image is broken if they hold none
+    or its end is missing. Its pixels are not decoded.
     """
-    files = listing(spark, folder, IMAGE_SUFFIXES)
-    twice = repeated(files.select("stem"), "stem").orderBy("stem").limit(10).collect()
+    found = spark.read.format("binaryFile").load(folder).where(suffix_of(F.col("path")).isin(*IMAGE_SUFFIXES))
+    twice = repeated(found.select(stem_of(F.col("path")).alias("stem")), "stem").orderBy("stem").limit(10).collect()
     if twice:
         raise DataError(f"{source} has several images called {[r['stem'] for r in twice]}")
-    sizes = spark.read.format("image").option("dropInvalid", True).load(folder).select(stem_of(F.col("image.origin")).alias("stem"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
-    return files.drop("content").join(sizes, "stem", "left").withColumn("source", F.lit(source))
+    sized = read_once(found, whole).withColumn("size", F.when(image_whole(F.col("head"), F.col("tail")), image_size(F.col("head"))))
+    return sized.select(F.lit(source).alias("source"), "path", stem_of(F.col("path")).alias("stem"), F.col("size.width").alias("width"), F.col("size.height").alias("height"), "content_sha256")
 
 
 def records(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
