@@ -9,11 +9,12 @@ A cascade holds one list exactly over that universe: level 0 is a Bloom filter
 of the listed keys, level 1 one of the universe's keys that level 0 wrongly
 takes, level 2 one of the listed keys that level 1 takes, and so on until a
 level takes nothing wrongly. A key is listed if the first level that refuses it
-is an odd one. A level's bits travel with the plan as one binary value, so that
-the URLs are judged without any join, whatever the list's length; the size
-follows from the list alone (some 1.5 log2(universe / list) bits a listed key:
-3 MB for a million hosts of a universe of 10**9), and a list whose cascade would
-pass ``MAX_BYTES`` is refused with an error.
+is an odd one. Only listed keys that the universe has are held, as no others can
+be asked for. A level's bits travel with the plan as one binary value, so that
+the URLs are judged without any join (some 1.5 log2(universe / held) bits a held
+key: 3 MB for a million hosts of a universe of 10**9). A list whose cascade would
+pass ``MAX_BYTES`` is dealt into shards by hash, each with a cascade of its own,
+and the URLs are judged by one shard after the other.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 no rule, and is allowed; rows that repeat are judged each; an empty table gives
@@ -25,18 +26,18 @@ from __future__ import annotations
 import math
 import sys
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm.text import lower_ascii
+from boxloom.llm.text import let, lower_ascii
 from boxloom.runtime import drop_tables, sized_broadcast, write_table
 
-#: Bytes of one cascade at most, some 50 million listed keys.
-MAX_BYTES = 256 << 20
+#: Bytes of one cascade at most, some 10 million held keys.
+MAX_BYTES = 64 << 20
 #: Sides of fewer keys take levels of a lower rate: these cost a few bytes more and save rounds over the tables.
 SMALL = 1 << 20
 #: Words of a level that are gathered in one job; more come partition by partition.
@@ -75,13 +76,16 @@ class Level:
         return [F.pmod(F.xxhash64(F.lit(self.seed), F.lit(i), key), F.lit(self.bits)) for i in range(self.hashes)]
 
     def takes(self, key: Column) -> Column:
-        out = F.lit(True)
-        for place in self.places(key):
-            at = (F.floor(place / WORD) * (WORD // 8) + 1).cast("int")
-            word = F.conv(F.hex(F.substring(F.lit(self.blob), at, F.lit(WORD // 8))), 16, 10).cast("bigint")
-            bit = F.call_function("shiftright", word, F.pmod(place, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1))
-            out = out & (bit == 1)
-        return out
+        def taken(blob: Column) -> Column:
+            out = F.lit(True)
+            for place in self.places(key):
+                at = (F.floor(place / WORD) * (WORD // 8) + 1).cast("int")
+                word = F.conv(F.hex(F.substring(blob, at, F.lit(WORD // 8))), 16, 10).cast("bigint")
+                bit = F.call_function("shiftright", word, F.pmod(place, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1))
+                out = out & (bit == 1)
+            return out
+
+        return let(F.lit(self.blob), taken)  # the plan holds the words once
 
 
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
@@ -98,6 +102,20 @@ def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     return Level(words.tobytes(), bits, shape.hashes, seed)
 
 
+def _rate(listed: int, universe: int) -> float:
+    """The share of the universe's other keys that level 0 may take."""
+    return min(0.5, listed / (math.sqrt(2) * max(universe, 1)))
+
+
+def shards(listed: int, universe: int) -> int:
+    """How many cascades a list is held in."""
+    return max(1, math.ceil(-listed * math.log(_rate(listed, universe)) / math.log(2) ** 2 / 8 * 2 / MAX_BYTES)) if listed else 0
+
+
+def _of_shard(key: Column, shard: int, of: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(of)) == shard
+
+
 class Cascade:
     """Exact membership of a list over a universe of keys."""
 
@@ -117,9 +135,7 @@ class Cascade:
         if not counts[0]:
             return cls([])
         sides = [listed, universe.join(sized_broadcast(listed), "key", "left_anti")]
-        rate = min(0.5, counts[0] / (math.sqrt(2) * max(counts[1], 1)))
-        if -counts[0] * math.log(rate) / math.log(2) ** 2 / 8 * 2 > MAX_BYTES:
-            raise ValueError(f"a cascade of {counts[0]} listed keys would pass {MAX_BYTES} bytes")
+        rate = _rate(*counts)
         levels: list[Level] = []
         made: list[DataFrame] = []
         while counts[0]:
@@ -132,6 +148,11 @@ class Cascade:
         return cls(levels)
 
 
+def _test(cascade: Cascade, shard: int, of: int) -> Callable[[Column], Column]:
+    """Whether a key is of the shard and held by its cascade."""
+    return lambda key: cascade.holds(key) if of == 1 else F.when(_of_shard(key, shard, of), cascade.holds(key)).otherwise(F.lit(False))
+
+
 def _lists(spark: SparkSession, rules: dict[str, str], listed: DataFrame | Iterable[str]) -> dict[str, DataFrame]:
     """The lists as written tables of different keys."""
 
@@ -163,12 +184,28 @@ def judge(pages: DataFrame, rules: dict[str, str], listed: DataFrame | Iterable[
         return parted.select("*", none.alias("rule"), F.lit("allow").alias("verdict"))
     shape = {r["labels"] for r in seen}, {r["length"] for r in seen}
     universe = write_table(parted.select("host", "path").select(F.explode(candidates(F.col("host"), F.col("path"), *shape)).alias("key")).distinct(), "universe")
-    cascades = {name: Cascade.build(keys, universe) for name, keys in lists.items()}
-    drop_tables(universe, *lists.values())
-    first = {name: F.get(F.filter(F.col("_keys"), c.holds), 0) for name, c in cascades.items() if c.levels}
+    held = {name: write_table(keys.join(universe, "key", "left_semi"), "held") for name, keys in lists.items()}
+    total = universe.count()
+    dealt = {name: shards(keys.count(), total) for name, keys in held.items()}
     columns = [f"c{i}" for i in range(len(kept))]
     plain = parted.toDF(*columns, "_host", "_path").withColumn("_keys", candidates(F.col("_host"), F.col("_path"), *shape))
-    found = plain.select(*columns, "_host", "_path", *[first.get(n, none).alias(f"_{n}") for n in lists])
+    found = plain.select(*columns, "_host", "_path", "_keys", *[none.alias(f"_{name}") for name in lists])
+    passes = max(dealt.values())
+    before: list[DataFrame] = []
+    for shard in range(passes):
+        met = {}
+        for name, of in dealt.items():
+            if shard < of:
+                cascade = Cascade.build(*[keys.where(_of_shard(F.col("key"), shard, of)) for keys in (held[name], universe)])
+                hit = F.get(F.filter("_keys", _test(cascade, shard, of)), 0)
+                old = F.col(f"_{name}")
+                met[f"_{name}"] = hit if not shard else F.when(old.isNull() | (F.length(hit) > F.length(old)), hit).otherwise(old)
+        found = found.withColumns(met)
+        if shard + 1 < passes:
+            found = write_table(found, "judged")
+            drop_tables(*before)
+            before = [found]
+    drop_tables(universe, *lists.values(), *held.values())
     blocks = F.col("_block").isNotNull() & (F.col("_allow").isNull() | (F.length("_block") > F.length("_allow")))
     rule = F.when(blocks, F.col("_block")).otherwise(F.col("_allow"))
     verdict = F.when(blocks, "block").when(F.col("_allow").isNotNull(), "allow").when(F.col("_listed").isNotNull(), "block").otherwise("allow")

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from boxloom.llm import url_filter
@@ -42,10 +41,14 @@ def test_list_as_a_table(spark):
     assert rows(spark, URLS, rules=RULES, listed=listed) == [brute(u, RULES, ["ads.example.com", "c.net"]) for u in URLS]
 
 
-def test_too_long_a_list_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BYTES", 1)
-    with pytest.raises(ValueError, match="listed keys"):
-        rows(spark, URLS, rules=RULES, listed=["ads.example.com"])
+def test_a_list_in_shards(spark, monkeypatch):
+    """Lists whose cascades would be too large are judged shard by shard; what is in no page is not held at all."""
+    monkeypatch.setattr(url_filter, "MAX_BYTES", 8)
+    assert url_filter.shards(0, 50) == 0 and url_filter.shards(1, 50) <= 2 < url_filter.shards(300, 400)
+    listed = [f"h{i}.example.com" for i in range(0, 400, 3)] + ["c.net"]
+    urls = URLS + [f"http://{'' if i % 2 else 'sub.'}h{i}.example.com/de/p" for i in range(12)]
+    monkeypatch.setattr(url_filter, "shards", lambda n, universe: min(n, 3))
+    assert rows(spark, urls, rules=RULES, listed=listed) == [brute(u, RULES, listed) for u in urls]
 
 
 def test_cascade_is_exact(spark):
