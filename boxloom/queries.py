@@ -653,7 +653,7 @@ last AS (SELECT run, max(step) AS step FROM e WHERE k = 1 AND complete GROUP BY
 folders AS (SELECT e.run, count(DISTINCT folder) AS n FROM e JOIN last ON last.run = e.run AND last.step = e.step WHERE k = 1 AND complete GROUP BY e.run),
 ids AS (SELECT run, id, max(reward) - min(reward) > 1e-8 AS uneven FROM e WHERE k = 2 GROUP BY run, id),
 seen AS (SELECT run, count(DISTINCT identity) FILTER (k = 0) AS identities, count(*) FILTER (k = 2) AS rewards, coalesce(bool_or(positive) FILTER (k = 2), false) AS positive, coalesce(bool_or(NOT positive) FILTER (k = 2), false) AS negative FROM e GROUP BY run)
-SELECT seen.run, last.step, CASE WHEN identities > 1 THEN 'refused' WHEN folders.n > 1 THEN 'ambiguous' WHEN last.step IS NULL THEN 'open' ELSE 'ready' END AS status, rewards, positive, negative,
+SELECT seen.run, coalesce(last.step, -1) AS step, CASE WHEN identities > 1 THEN 'refused' WHEN folders.n > 1 THEN 'ambiguous' WHEN last.step IS NULL THEN 'open' ELSE 'ready' END AS status, rewards, positive, negative,
   (SELECT count(*) FROM ids WHERE ids.run = seen.run AND uneven) AS uneven_ids
 FROM seen LEFT JOIN last ON last.run = seen.run LEFT JOIN folders ON folders.run = seen.run""")
 def run_events(spark, sf_dir):
@@ -664,7 +664,7 @@ def run_events(spark, sf_dir):
         F.concat(F.lit("f"), F.when(F.col("user_id") % 5 == 0, F.col("event_id") % 2).otherwise(0).cast("string")).alias("folder"), (F.col("event_id") % 4 != 0).alias("complete"),
         F.concat(F.lit("i"), (F.col("event_id") % 13).cast("string")).alias("id"), (F.col("event_id") % 5 != 0).alias("positive"), F.col("value").alias("reward"),
     )
-    return followed.follow(known).drop("identity")
+    return followed.follow(known).drop("identity").fillna(-1, ["step"])
 
 
 @query("""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS run, user_id * 100000 + event_id AS step FROM events WHERE event_type <> 'error' AND event_id % 2 = 0) SELECT run, max(step) AS step FROM c GROUP BY run""")
@@ -707,14 +707,14 @@ def sizes(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 1000 + F.row_number().over(order)).alias("k"), w.cast("int").alias("width"), h.cast("int").alias("height"))
 
 
-@query(f"WITH {_SIZES} SELECT k, CASE WHEN fits THEN CAST(width AS INTEGER) END AS width, CASE WHEN fits THEN CAST(height AS INTEGER) END AS height, CASE WHEN fits THEN CAST(width * height / 1024 AS INTEGER) END AS tokens FROM z")
+@query(f"WITH {_SIZES} SELECT k, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, CAST(width * height / 1024 AS INTEGER) AS tokens FROM z WHERE fits")
 def smart_sizes(spark, sf_dir):
-    rows = sizes(spark, sf_dir).withColumn("s", resized(F.col("width"), F.col("height")))
+    rows = sizes(spark, sf_dir).withColumn("s", resized(F.col("width"), F.col("height"))).where("s is not null")
     return rows.select("k", F.col("s.width").alias("width"), F.col("s.height").alias("height"), visual_tokens(F.col("s")).alias("tokens"))
 
 
 @query(f"""WITH {_SIZES}, t AS (SELECT k, CASE WHEN fits THEN CAST(width * height / 1024 AS BIGINT) END AS n, 20 + k % 900 AS q, k % 250 AS a FROM z), u AS (SELECT k, n, q + n + 638 AS prompt, a AS completion FROM t)
-SELECT CAST(k AS VARCHAR) AS id, prompt AS prompt_tokens, completion AS completion_tokens, prompt + completion AS total_tokens,
+SELECT CAST(k AS VARCHAR) AS id, coalesce(prompt, -1) AS prompt_tokens, completion AS completion_tokens, coalesce(prompt + completion, -1) AS total_tokens,
   CASE WHEN n IS NULL OR n NOT BETWEEN 64 AND 640 THEN 'image' WHEN prompt + completion > 1536 THEN 'sequence' WHEN completion NOT BETWEEN 1 AND 192 THEN 'completion' END AS problem FROM u""")
 def token_preflight(spark, sf_dir):
     """Sequences of an image beside one of 640 tokens, their texts counted by a seam that counts letters."""
@@ -726,7 +726,7 @@ def token_preflight(spark, sf_dir):
     full = F.struct(F.lit(640).alias("width"), F.lit(1024).alias("height"))
     letters = lambda n: F.repeat(F.lit("q"), n.cast("int"))
     rows = sizes(spark, sf_dir).select(F.col("k").cast("string").alias("id"), letters(20 + F.col("k") % 900).alias("query"), letters(F.col("k") % 250).alias("answer"), full.alias("reference"), side.alias("target"))
-    return preflight(rows, factory)
+    return preflight(rows, factory).fillna(-1, ["prompt_tokens", "total_tokens"])
 
 
 @query("""WITH f AS (
