@@ -106,7 +106,7 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     elif args.command == "evaluate":
         config = _settings(spark, args.settings, C.EvaluateConfig)
         resources.check(spark, config)
-        made = evaluate(spark, files.records(spark, config.records, config.split), files.predictions(spark, config.predictions), config.output)
+        made = evaluate(spark, files.records(spark, config.records, config.split), files.predictions(spark, config.predictions), config.output, {"config_hash": C.config_hash(config)})
         _say({"evaluation": config.output, "evaluation_fingerprint": made["evaluation_fingerprint"], "slices": made["slices"]})
     elif args.command == "predict":
         config = _settings(spark, args.settings, C.PredictConfig)

@@ -40,9 +40,9 @@ def accepted(report: DataFrame) -> DataFrame:
 
 
 def read_evidence(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """gate and passed from evidence files: a list under ``gates``, or ``gate`` with ``passed`` or ``accepted``."""
+    """gate and passed from evidence files: a list under ``gates``, or ``gate`` with ``passed`` or ``accepted``. A file that is no JSON stops the job."""
     shape = "gate string, passed boolean, accepted boolean, gates array<struct<gate:string,status:string>>"
-    rows = spark.read.schema(shape).option("multiLine", True).json(paths)
+    rows = spark.read.schema(shape).option("multiLine", True).option("mode", "FAILFAST").json(paths)
     listed = rows.select(F.explode("gates").alias("g")).select(F.col("g.gate").alias("gate"), (F.col("g.status") == "pass").alias("passed"))
     single = rows.where("gate is not null").select("gate", F.coalesce("passed", "accepted", F.lit(False)).alias("passed"))
     return listed.unionByName(single)

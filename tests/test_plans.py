@@ -125,6 +125,9 @@ def test_evidence(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"gate": "H1", "passed": told["H1"]}))
     rows = gates.read_evidence(spark, [f"file://{tmp_path}/many.json", f"file://{tmp_path}/one.json"])
     assert {r[0]: r[1] for r in rows.collect()} == told
+    (tmp_path / "cut.json").write_text('{"gate": "C0", "passed": tr')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        gates.read_evidence(spark, [f"file://{tmp_path}/cut.json"]).collect()
 
 
 def test_stream(spark, tmp_path):
