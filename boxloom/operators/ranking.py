@@ -10,6 +10,14 @@ from boxloom.runtime import write_table
 _ROWS = (1 << 33) - 1
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """``df`` with its zero-based place in ``order`` (ties in any order).
 
@@ -18,7 +26,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = "_at" + "_" * max((len(c) for c in df.columns), default=0)  # no name of the table's own
+    at = unused(df, "_at")
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     table = write_table(placed, "ranked")
     part, row = F.shiftrightunsigned(at, 33).cast("int"), F.col(at).bitwiseAND(F.lit(_ROWS))
@@ -31,6 +39,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 
 def class_rank(df: DataFrame, flag: str, order: list[Column], name: str = "rank") -> DataFrame:
     """As :func:`global_rank`, within the rows where the boolean ``flag`` is true and within those where it is false."""
-    ranked = global_rank(df, [F.col(flag).desc(), *order], "_all")
+    all_ = unused(df, "_all")
+    ranked = global_rank(df, [F.col(flag).desc(), *order], all_)
     ahead = ranked.where(F.col(flag)).count()
-    return ranked.withColumn(name, F.when(F.col(flag), F.col("_all")).otherwise(F.col("_all") - ahead)).drop("_all")
+    return ranked.withColumn(name, F.when(F.col(flag), F.col(all_)).otherwise(F.col(all_) - ahead)).drop(all_)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.errors import DataError
-from boxloom.operators.ranking import class_rank, global_rank
+from boxloom.operators.ranking import class_rank, global_rank, unused
 
 
 def _kind_hash(prefix: list) -> Column:
@@ -18,25 +18,27 @@ def _kind_hash(prefix: list) -> Column:
 
 def interleave(rows: DataFrame, seed: int) -> DataFrame:
     """Positives and negatives in turn, what is left at the end: ``rows`` with position."""
-    hashed = rows.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.when(F.col("positive"), "positive").otherwise("negative"), F.col("id").cast("string")), 256))
-    ranked = class_rank(hashed, "positive", [F.col("_h")], "_i")
-    return global_rank(ranked, [F.col("_i"), F.col("positive").desc()], "position").drop("_h", "_i")
+    place = unused(rows, "_i")
+    hashed = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.when(F.col("positive"), "positive").otherwise("negative"), F.col("id").cast("string")), 256)
+    ranked = class_rank(rows, "positive", [hashed], place)
+    return global_rank(ranked, [F.col(place), F.col("positive").desc()], "position").drop(place)
 
 
-def _ratio_place(n_pos: int, n_neg: int) -> Column:
+def _ratio_place(place: Column, n_pos: int, n_neg: int) -> Column:
     """(bucket, kind, place) that sorts max(1, P // N) positives before each negative."""
     ratio = max(1, n_pos // n_neg)
-    bucket = F.when(F.col("positive"), F.least(F.floor(F.col("_i") / ratio), F.lit(n_neg))).otherwise(F.col("_i"))
-    return F.struct(bucket.cast("long").alias("bucket"), (~F.col("positive")).cast("int").alias("kind"), F.col("_i").alias("i"))
+    bucket = F.when(F.col("positive"), F.least(F.floor(place / ratio), F.lit(n_neg))).otherwise(place)
+    return F.struct(bucket.cast("long").alias("bucket"), (~F.col("positive")).cast("int").alias("kind"), place.alias("i"))
 
 
 def ratio_epoch(rows: DataFrame, seed: int, epoch: int) -> DataFrame:
     """One epoch: as many positives as the ratio gives, then a negative, again and again; what is left last."""
-    ranked = class_rank(rows.withColumn("_h", _kind_hash([seed, epoch])), "positive", [F.col("_h")], "_i")
+    place = unused(rows, "_i")
+    ranked = class_rank(rows, "positive", [_kind_hash([seed, epoch])], place)
     counts = ranked.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n")).first()
     if not counts["p"] or not counts["n"]:
         raise DataError("a schedule needs positive and negative rows")
-    return global_rank(ranked, [_ratio_place(counts["p"], counts["n"])], "place").drop("_h", "_i").withColumn("epoch", F.lit(epoch))
+    return global_rank(ranked, [_ratio_place(F.col(place), counts["p"], counts["n"])], "place").drop(place).withColumn("epoch", F.lit(epoch))
 
 
 def epochs(rows: DataFrame, n: float, seed: int) -> DataFrame:
@@ -60,8 +62,8 @@ def front_load(rows: DataFrame, k: int) -> DataFrame:
         raise DataError("no positive and negative pair to begin with")
     (p, p_id), (n, n_id) = firsts[True], firsts[False]
     front = F.when(F.col("position") == p, 0).when(F.col("position") == n, 1).otherwise(2)
-    kept = rows.withColumn("_front", front).where((F.col("_front") < 2) | ~F.col("id").isin(p_id, n_id))
-    return global_rank(kept, [F.col("_front"), F.col("position")], "place").where(F.col("place") < k).drop("_front")
+    kept = rows.where((front < 2) | ~F.col("id").isin(p_id, n_id))
+    return global_rank(kept, [front, F.col("position")], "place").where(F.col("place") < k)
 
 
 def within_length(rows: DataFrame, tokens: str, limit: int) -> tuple[DataFrame, DataFrame]:

@@ -11,33 +11,34 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import boxes
 from boxloom.functions.detections import scored
+from boxloom.operators.ranking import unused
 
 N_THRESHOLDS = 10
 
 
-def _f1_at(i: Column) -> Column:
-    tp = F.get("_s.tp", i)
-    return boxes.set_f1(tp, F.size("_s.boxes") - tp, F.size("targets") - tp)
-
-
 def score(examples: DataFrame) -> DataFrame:
     """``examples`` with format_valid, format_error, prediction, tp, set_f1 (ten values), soft_set_f1 and slices.
 
     An invalid completion has no boxes and scores 0 throughout, though its
     targets still count as missed; a valid empty one beside no targets scores 1.
     """
-    rows = examples.withColumn("_s", scored("raw_completion", "targets"))
-    n = F.size("targets")
-    valid = F.col("_s.valid")
-    f1 = F.transform(F.sequence(F.lit(0), F.lit(N_THRESHOLDS - 1)), lambda i: F.when(valid, _f1_at(i)).otherwise(0.0))
+    told = unused(examples, "_scored")
+    rows, n, found = examples.withColumn(told, scored("raw_completion", "targets")), F.size("targets"), F.col(told)
+    valid = found["valid"]
+
+    def f1_at(i: Column) -> Column:
+        tp = F.get(found["tp"], i)
+        return boxes.set_f1(tp, F.size(found["boxes"]) - tp, n - tp)
+
+    f1 = F.transform(F.sequence(F.lit(0), F.lit(N_THRESHOLDS - 1)), lambda i: F.when(valid, f1_at(i)).otherwise(0.0))
     return rows.select(
         *examples.columns,
         valid.alias("format_valid"),
-        F.col("_s.error").alias("format_error"),
-        F.col("_s.boxes").alias("prediction"),
-        F.col("_s.tp").alias("tp"),
+        found["error"].alias("format_error"),
+        found["boxes"].alias("prediction"),
+        found["tp"].alias("tp"),
         f1.alias("set_f1"),
-        F.when(valid, boxes.soft_set_f1(F.col("_s.matched"), F.size("_s.boxes"), n)).otherwise(0.0).alias("soft_set_f1"),
+        F.when(valid, boxes.soft_set_f1(found["matched"], F.size(found["boxes"]), n)).otherwise(0.0).alias("soft_set_f1"),
         boxes.count_slice(n).alias("count_slice"),
         boxes.area_slice(F.col("pixel_boxes"), F.col("width"), F.col("height")).alias("area_slice"),
     )
@@ -49,9 +50,10 @@ def mean_f1(values: Column) -> Column:
 
 def rewards(completions: DataFrame) -> DataFrame:
     """``completions`` (raw_completion, targets) with format_valid, soft_set_f1, format_reward, quality_reward and reward."""
-    rows = completions.withColumn("_s", scored("raw_completion", "targets"))
-    valid = F.col("_s.valid")
-    soft = F.when(valid, boxes.soft_set_f1(F.col("_s.matched"), F.size("_s.boxes"), F.size("targets"))).otherwise(0.0)
+    told = unused(completions, "_scored")
+    rows, found = completions.withColumn(told, scored("raw_completion", "targets")), F.col(told)
+    valid = found["valid"]
+    soft = F.when(valid, boxes.soft_set_f1(found["matched"], F.size(found["boxes"]), F.size("targets"))).otherwise(0.0)
     return rows.select(
         *completions.columns, valid.alias("format_valid"), soft.alias("soft_set_f1"),
         F.when(valid, 0.10).otherwise(0.0).alias("format_reward"), F.when(valid, 0.90 * soft).otherwise(0.0).alias("quality_reward"), boxes.reward(valid, soft).alias("reward"),

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from boxloom.operators import grouping, pairing, ranking, splits
+from boxloom.operators import grouping, pairing, ranking, schedule, scoring, splits
 from tests.test_operators import brute_splits
 
 IMAGE = "record_id string, group_id string, split string, concepts array<string>"
@@ -110,3 +110,11 @@ def test_seed_groups_with_small_pools(spark, pool):
 def test_ranks_keep_every_column(spark):
     rows = spark.createDataFrame([(3, "x"), (1, "y"), (2, "z")], "_id long, _at string")
     assert {tuple(r) for r in ranking.global_rank(rows, [F.col("_id")]).collect()} == {(1, "y", 0), (2, "z", 1), (3, "x", 2)}
+
+
+def test_schedules_and_scores_keep_every_column(spark):
+    names = ["_i", "_h", "_at", "_all", "_front", "_scored"]
+    rows = spark.createDataFrame([(i, i % 3 > 0, i, "[]", []) for i in range(7)], "id long, positive boolean, position long, raw_completion string, targets array<array<int>>").selectExpr("*", *[f"id AS {n}" for n in names])
+    for made in (schedule.interleave(rows, 1), schedule.ratio_epoch(rows, 1, 0), schedule.front_load(rows, 7), scoring.rewards(rows)):
+        got = made.collect()
+        assert len(got) == 7 and all(r[n] == r["id"] for r in got for n in names)
